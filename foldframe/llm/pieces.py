@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, slices
@@ -301,7 +302,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 def encoded_slices(model: PieceModel, batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        sizes = np.diff(np.concatenate([[0], np.cumsum(np.array(pa.compute.binary_length(texts)), dtype=np.int64)])) if batch.num_rows else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate([[0], np.cumsum(np.array(pc.binary_length(texts)), dtype=np.int64)])) if batch.num_rows else np.zeros(0, np.int64)
         for a, b in slices(sizes, slice_bytes):
             yield ids.slice(a, b - a), model.encode_texts(texts.slice(a, b - a).to_pylist())
 
