@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .pieces import piece_digests
 from .quality import quality_scores, train_quality
+from .toxicity import toxicity_scores, train_toxicity
 
 
 def piece_model_path() -> str:
@@ -21,6 +22,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_scores(docs, train_quality(docs, table(spark, sf_dir, "labels")))
@@ -28,6 +34,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
 }
 
