@@ -170,18 +170,20 @@ class BoostedTrees:
 
 
 class Isotonic:
-    """Pool-adjacent-violators fit: constant over a block's scores, linear between blocks."""
+    """Pool-adjacent-violators fit, linear between block centres and the midpoints at block edges."""
 
     def fit(self, score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Isotonic:
         order = np.argsort(score, kind="stable")
-        blocks: list[list[float]] = []  # weight, weighted sum of y, least and largest score
+        blocks: list[list[float]] = []  # weight, weighted sum of y, weighted sum of score, least and largest score
         for s, v, w in zip(score[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
-            blocks.append([w, w * v, s, s])
+            blocks.append([w, w * v, w * s, s, s])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][0] >= blocks[-1][1] * blocks[-2][0]:
                 a, b = blocks.pop(), blocks.pop()
-                blocks.append([a[0] + b[0], a[1] + b[1], b[2], a[3]])
-        self.at = np.array([x for b in blocks for x in b[2:]])
-        self.value = np.repeat([b[1] / b[0] for b in blocks], 2)
+                blocks.append([a[0] + b[0], a[1] + b[1], a[2] + b[2], b[3], a[4]])
+        value = np.array([b[1] / b[0] for b in blocks])
+        below, above = np.concatenate([value[:1], value[:-1]]), np.concatenate([value[1:], value[-1:]])
+        self.at = np.array([x for b in blocks for x in (b[3], b[2] / b[0], b[4])])
+        self.value = np.stack([(value + below) / 2, value, (value + above) / 2], 1).ravel()
         return self
 
     def __call__(self, score: np.ndarray) -> np.ndarray:
