@@ -136,7 +136,7 @@ def item_blocks(items: DataFrame, block_bytes: int, id_col: str, text_col: str)
         yield sorted((r.doc_id, r.text) for r in part.toLocalIterator())
 
 
-def benchmark_matches(docs: DataFrame, items: DataFrame, error_rate: float = 0.1, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def benchmark_matches(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """Every (document, item) match: doc_id, item_id, distance, start, end (places in the normalised text)."""
     found: DataFrame | None = None
     blocks = item_blocks(items, block_bytes, item_id, text_col)
@@ -163,7 +163,7 @@ def _finder(packed: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.1, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item within its error budget."""
     blocks = item_blocks(items, block_bytes, item_id, text_col)
     block = next(blocks)
