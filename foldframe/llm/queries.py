@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontam import benchmark_matches
+from .ngram_join import ngram_components
 from .pieces import piece_digests
 from .quality import quality_scores, train_quality
 from .toxicity import toxicity_scores, train_toxicity
@@ -23,6 +24,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), piece_model_path())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +44,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_ngram_join": op2_ngram_join,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
