@@ -11,6 +11,7 @@ from .decontam import benchmark_matches
 from .ngram_join import ngram_components
 from .pieces import piece_digests
 from .quality import quality_scores, train_quality
+from .suffix_dedup import suffix_dedup_digests
 from .toxicity import toxicity_scores, train_toxicity
 
 
@@ -28,6 +29,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -45,6 +50,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_join": op2_ngram_join,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
