@@ -12,7 +12,9 @@ from .ngram_join import ngram_components
 from .pieces import piece_digests
 from .quality import quality_scores, train_quality
 from .suffix_dedup import suffix_dedup_digests
+from .token_counts import section_token_counts
 from .toxicity import toxicity_scores, train_toxicity
+from .warc import archive_round_trip
 
 
 def piece_model_path() -> str:
@@ -33,6 +35,16 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_digests(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return section_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -51,9 +63,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_join": op2_ngram_join,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_token_counts": op5_token_counts,
+    "op6_warc": op6_warc,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f
+    """,
+}
