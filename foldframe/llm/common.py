@@ -35,9 +35,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that every executor and a restarted driver can read."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table in the shared folder, which every executor and a restarted driver can read.
+
+    Unlike ``DataFrame.checkpoint`` the files are columnar and compressed, and the planner knows their size.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -49,6 +54,31 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(n: int) -> np.ndarray:
+    """``n`` integers that hash partitioning by an int column deals to the partitions 0 .. n - 1, one each.
+
+    The hash is Murmur3 (32 bit, seed 42) of one 4-byte word, as Spark documents it for hash partitioning.
+    """
+    keys, found = np.full(n, -1, np.int64), 0
+    start = 0
+    while found < n:
+        k = np.arange(start, start + 8 * n + 64, dtype=np.uint64)
+        m = np.uint64(0xFFFFFFFF)
+        turn = lambda x, r: ((x << np.uint64(r)) | (x >> np.uint64(32 - r))) & m
+        x = turn(k * np.uint64(0xCC9E2D51) & m, 15) * np.uint64(0x1B873593) & m
+        h = (turn(np.uint64(42) ^ x, 13) * np.uint64(5) + np.uint64(0xE6546B64)) & m
+        h ^= np.uint64(4)
+        h = ((h ^ (h >> np.uint64(16))) * np.uint64(0x85EBCA6B)) & m
+        h = ((h ^ (h >> np.uint64(13))) * np.uint64(0xC2B2AE35)) & m
+        h ^= h >> np.uint64(16)
+        part = h.astype(np.uint32).astype(np.int32).astype(np.int64) % n
+        target, first = np.unique(part, return_index=True)
+        new = keys[target] < 0
+        keys[target[new]] = k[first[new]].astype(np.int64)
+        found, start = int((keys >= 0).sum()), start + len(k)
+    return keys
+
+
 def fold(doc_id: int, n: int) -> int:
     """crc32 of the id as text, modulo ``n``."""
     return zlib.crc32(str(doc_id).encode()) % n

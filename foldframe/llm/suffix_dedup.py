@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, parallelism, slices
+from .common import even_keys, id_and_text, parallelism, slices
 from .shingles import mix
 
 WINDOW, GRAM = 100, 32
@@ -99,6 +99,8 @@ HASHES = "bucket int, g int, hashes binary"
 
 
 def _anchor_hashes(buckets: int):
+    keys = even_keys(buckets)
+
     def run(group: pa.Table) -> pa.Table:
         g = group.column("g")[0].as_py()
         _, texts = group_texts(group)
@@ -108,7 +110,7 @@ def _anchor_hashes(buckets: int):
         bucket = _bucket(hashes >> np.uint64(1), buckets)
         by = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        rows = [(b, g, hashes[by[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()]
+        rows = [(keys[b], g, hashes[by[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()]
         return _table(rows, [("bucket", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary())])
 
     return run
@@ -168,6 +170,8 @@ def front_code(suffixes: list[bytes]) -> tuple[bytes, bytes, bytes]:
 
 
 def _runs(buckets: int):
+    keys = even_keys(buckets)
+
     def run(group: pa.Table, repeated: pa.Table) -> pa.Table:
         if not group.num_rows or not repeated.num_rows:
             return _table([], RUN)
@@ -193,24 +197,24 @@ def _runs(buckets: int):
                 marks.append((d, p - len(left), p + len(right)))
                 continue
             if before is not None and s[0] != before[0]:
-                rows.append(_packed(part, g, ids))
+                rows.append(_packed(part, int(keys[part[0][0]]), g, ids))
                 part = []
             part.append(s)
             before = s
         if part:
-            rows.append(_packed(part, g, ids))
+            rows.append(_packed(part, int(keys[part[0][0]]), g, ids))
         if marks:
-            rows.append((g % buckets, g, *[None] * 7, np.array(marks, np.int32).tobytes()))
+            rows.append((int(keys[g % buckets]), g, *[None] * 7, np.array(marks, np.int32).tobytes()))
         return _table(rows, RUN)
 
     return run
 
 
-def _packed(part: list[tuple], g: int, ids: np.ndarray) -> tuple:
+def _packed(part: list[tuple], key: int, g: int, ids: np.ndarray) -> tuple:
     lefts = [s[2] for s in part]
     doc = np.array([s[3] for s in part], np.int32)
     place = np.stack([doc, np.array([s[4] for s in part], np.int32)], 1)
-    return (part[0][0], g, *front_code([s[1] for s in part]), b"".join(lefts), bytes(map(len, lefts)), ids[doc].astype(np.int64).tobytes(), place.tobytes(), None)
+    return (key, g, *front_code([s[1] for s in part]), b"".join(lefts), bytes(map(len, lefts)), ids[doc].astype(np.int64).tobytes(), place.tobytes(), None)
 
 
 class Run:
@@ -397,15 +401,15 @@ def _digest(group: pa.Table, marks: pa.Table) -> pa.Table:
     return _table(rows, DIGEST)
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, int]:
+def _grouped(docs: DataFrame) -> DataFrame:
     groups = 4 * parallelism(docs.sparkSession)
     rows = id_and_text(docs).where("doc_id is not null")
-    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int")), groups
+    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
 
 
-def _marked(grouped: DataFrame, buckets: int) -> DataFrame:
+def _marked(grouped: DataFrame) -> DataFrame:
     """(g, marks): in each group, (text, start, end) of marked bytes; texts in the order of ``group_texts``."""
-    width = parallelism(grouped.sparkSession)
+    width = buckets = parallelism(grouped.sparkSession)
     hashes = grouped.groupBy("g").applyInArrow(_anchor_hashes(buckets), HASHES)
     repeated = hashes.repartition(width, "bucket").mapInArrow(_repeated, "g int, hashes binary")
     runs = grouped.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(_runs(buckets), RUNS)
@@ -414,8 +418,8 @@ def _marked(grouped: DataFrame, buckets: int) -> DataFrame:
 
 def suffix_dedup_digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    grouped, buckets = _grouped(docs)
-    marks = _marked(grouped, buckets)
+    grouped = _grouped(docs)
+    marks = _marked(grouped)
     return grouped.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -443,7 +447,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return group.set_column(group.column_names.index("text"), "text", pa.array(new, group.schema.field("text").type)).select(["doc_id", "text", "was_null", "rest"])
 
     schema = grouped.select("doc_id", "text", "was_null", "rest").schema
-    done = grouped.groupBy("g").cogroup(_marked(grouped, groups).groupBy("g")).applyInArrow(run, schema)
+    done = grouped.groupBy("g").cogroup(_marked(grouped).groupBy("g")).applyInArrow(run, schema)
     kind = dict(docs.dtypes)
     text = F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("text"))
     value = {"doc_id": F.col("doc_id").cast(kind["doc_id"]), "text": text}
