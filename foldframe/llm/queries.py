@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontam import benchmark_matches
+from .licenses import license_matches
 from .ngram_join import ngram_components
 from .pieces import piece_digests
 from .quality import quality_scores, train_quality
@@ -45,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_scores(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
+    "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
     "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
