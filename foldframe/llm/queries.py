@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chroma import search_recordings, tune_of_vector
 from .common import table
 from .decontam import benchmark_matches
 from .licenses import license_matches
@@ -32,6 +33,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio: each vector of ``embeddings`` is played as a tune, whose samples are the recording."""
+    return search_recordings(table(spark, sf_dir, "embeddings"), decode=tune_of_vector, id_col="vec_id", value_col="embedding")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_join": op2_ngram_join,
+    "op3_media": op3_media,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
