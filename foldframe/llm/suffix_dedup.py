@@ -314,11 +314,13 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts[:, :REACH][inside] = left[((left_end - left_len)[at][:, None] + np.arange(REACH))[inside]]
         found = equal_strings(lcp, lefts, longest, nearest, np.lexsort((place[:, 1], place[:, 0], doc)))
         which, d_low, d_high = found
+        if not len(which):
+            continue
         spans = np.stack([place[which, 0], place[which, 1] - d_high, place[which, 1] - d_low + WINDOW], 1).astype(np.int32)
         own = group[which]
         by = np.argsort(own, kind="stable")
         own, spans = own[by], spans[by]
-        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         for a, b in zip(cut.tolist(), np.append(cut[1:], len(own)).tolist(), strict=True):
             yield _marks(int(own[a]), spans[a:b].tobytes())
 
