@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dataset, embeddings, features, matching, rows, training
-from .operators.structure import parse_atoms  # noqa: F401  (part of the public surface)
 from .sources import readers, writers
 
 

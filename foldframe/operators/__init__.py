@@ -1 +1 @@
-"""See the README for what lies here."""
+"""Operators on DataFrames: alignment, matching, structures, features, rows, datasets, training."""
