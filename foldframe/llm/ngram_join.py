@@ -12,7 +12,7 @@ Texts with equal sets are one class from the start.  Prefix tokens go to buckets
 tokens of a single class; from the rest candidates come in two ways:
 
 * tokens of up to ``CROWDED`` classes give their pairs, counted within the bucket and then summed;
-* tokens of more classes form crowds.  In pivot rounds each of their classes is verified against the partners that it
+* tokens of more classes, and tokens so frequent that their lists are dealt over buckets, form crowds.  In pivot rounds each of their classes is verified against the partners that it
   shares most tokens with among a few random classes of each list, and what links is united.  Pairs that remain
   apart are counted block by block over inverted indexes, and only those that share enough are put out.
 
@@ -88,6 +88,11 @@ class Order:
         return keys[: lengths[int(cost.argmin())]]
 
 
+def ways(keys: np.ndarray, split: int) -> np.ndarray:
+    """Over how many buckets the list of each token is dealt, by its frequency class alone."""
+    return (np.uint64(1) << (keys >> CLASS_AT)) // np.uint64(split) + np.uint64(1)
+
+
 def slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
 
@@ -166,11 +171,7 @@ def _packed_postings(docs: DataFrame, order: Order, k: int, buckets: int) -> Dat
             lengths = np.array([len(p) for p in prefixes], np.int32)
             tokens, doc = np.concatenate(prefixes), np.repeat(np.arange(len(ids), dtype=np.uint32), lengths)
             sig = np.array(list(seen), np.int64)
-            salt = np.zeros(len(tokens), np.uint64)
-            heavy = tokens >> CLASS_AT > 10
-            if heavy.any():
-                ways = (order.frequency(tokens[heavy]) // SPLIT).astype(np.uint64) + np.uint64(1)
-                salt[heavy] = sig[doc[heavy], 0].astype(np.uint64) % ways
+            salt = sig[doc, 0].astype(np.uint64) % ways(tokens, SPLIT)  # 0 for a token that is not split
             bucket = (mix(tokens + salt * np.uint64(7919)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             tokens, doc, bucket = tokens[by], doc[by], bucket[by]
@@ -243,7 +244,10 @@ def _list_pairs(token: np.ndarray, doc: np.ndarray, n: np.ndarray, p: np.ndarray
 
 def _shared_tokens(postings: DataFrame) -> DataFrame:
     """What a bucket finds: for tokens of at most ``CROWDED`` classes, pairs (a, b) with how many tokens they share
-    here; for others, a row per token and class, with a pivot of the token's list."""
+    here; for others, a row per token and class, with a pivot of the token's list.
+
+    A bucket knows only a part of a split token's list, so its classes are always rows, however few are here.
+    """
     fields = [("crowded", pa.bool_()), ("token", pa.int64()), ("df", pa.int32()), ("doc", pa.int64()), ("n", pa.int32()), ("p", pa.int32()), ("near", pa.int64()), ("near_n", pa.int32()), ("near_p", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("need", pa.int32())]
 
     def out(size: int, **cols: np.ndarray) -> pa.RecordBatch:
@@ -265,6 +269,7 @@ def _shared_tokens(postings: DataFrame) -> DataFrame:
         same = token[by][1:] == token[by][:-1]
         keep = np.zeros(len(token), bool)
         keep[by[1:][same]] = keep[by[:-1][same]] = True
+        keep |= ways(token, SPLIT) > 1  # its other classes may be in other buckets
         token, doc, n, p, s1, s2 = (c[keep] for c in (token, doc, n, p, s1, s2))
         by = np.lexsort((doc, s2, s1, token))  # of a class, the least id
         token, doc, n, p, s1, s2 = (c[by] for c in (token, doc, n, p, s1, s2))
@@ -276,12 +281,13 @@ def _shared_tokens(postings: DataFrame) -> DataFrame:
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
         df = np.diff(np.append(start, len(token)))
         pivot, df = np.repeat(start, df), np.repeat(df, df)
-        short = (df > 1) & (df <= CROWDED)
+        split = ways(token, SPLIT) > 1
+        short = (df > 1) & (df <= CROWDED) & ~split
         a, b, c, need = _list_pairs(*(v[short] for v in (token, doc, n, p)))
         for i in range(0, len(a), 200_000):
             part = slice(i, i + 200_000)
             yield out(len(a[part]), crowded=np.zeros(len(a[part]), bool), a=a[part], b=b[part], c=c[part], need=need[part])
-        long = np.flatnonzero(df > CROWDED)
+        long = np.flatnonzero((df > CROWDED) | split)
         for i in range(0, len(long), 200_000):
             m, q = long[i : i + 200_000], pivot[long[i : i + 200_000]]
             yield out(len(m), crowded=np.ones(len(m), bool), token=token[m].astype(np.int64), df=df[m], doc=doc[m], n=n[m], p=p[m], near=doc[q], near_n=n[q], near_p=p[q])

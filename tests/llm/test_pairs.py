@@ -80,6 +80,18 @@ def test_ngram_blocks_and_repeats(spark, monkeypatch):
     assert ngram_join.ngram_components(docs.where("false")).count() == 0
 
 
+def test_ngram_split_tokens_meet_across_buckets(spark, monkeypatch):
+    """Equal copies make the tokens of their near copies so frequent that the lists are dealt over 33 buckets."""
+    monkeypatch.setattr(ngram_join, "SPLIT", 64)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base = [word() for _ in range(80)]
+    rows = [(i, " ".join(base)) for i in range(2_200)]
+    rows += [(3_000 + i, " ".join(base[: 8 * i + 4] + [word()] + base[8 * i + 5 :])) for i in range(9)]
+    got = {x.doc_id: x.component_id for x in ngram_join.ngram_components(frame(spark, rows)).collect()}
+    assert got == {i: 0 for i, _ in rows}
+
+
 def test_prefix_bound():
     """The number of shared prefix tokens that a link guarantees, for every order of random sets."""
     r = np.random.default_rng(3)
