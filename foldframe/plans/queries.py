@@ -140,6 +140,15 @@ def candidate_exact(spark, sf_dir):
     return found.where((F.col("label_id") < F.col("m_ord")) & (F.col("label_id") % 97 == F.col("m_ord") % 97)).select(F.col("label_id").alias("p_partkey"), F.col("m_ord").alias("other"))
 
 
+@query(f"""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(seq, '^H{{6,}}', ''), 'H{{6,}}$', '') AS stripped FROM ({TAGGED}))
+    SELECT p_partkey, min(p_partkey) OVER (PARTITION BY stripped) AS class_id, count(*) OVER (PARTITION BY stripped) AS class_size FROM s""")
+def candidate_exact_groups(spark, sf_dir):
+    """Every pair of equal stripped sequences, as classes: two parts are a pair if they have the same class_id."""
+    parts = tagged_parts(spark, sf_dir).select("p_partkey", sequences.strip_tags(F.col("seq")).alias("stripped"))
+    classes = parts.groupBy("stripped").agg(F.min("p_partkey").alias("class_id"), F.count("*").alias("class_size"))
+    return parts.join(classes, "stripped").select("p_partkey", "class_id", "class_size")
+
+
 @query(f"""SELECT l.p_name, m.p_name AS protein_id FROM ({LABELS}) l JOIN ({LABELS}) m ON length(m.sequence) BETWEEN greatest(1, floor(length(l.sequence) * 0.75)) AND floor(length(l.sequence) * 1.35) + 25""")
 def candidate_band(spark, sf_dir):
     labels, manifest = matching.prepare_labels(name_labels(spark, sf_dir)), matching.prepare_manifest(name_manifest(spark, sf_dir))
