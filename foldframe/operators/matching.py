@@ -37,18 +37,23 @@ def candidates_exact(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     return labels.withColumn("_s", strip_tags(F.col("sequence"))).join(manifest, F.col("_s") == F.col("stripped")).drop("_s").withColumn("c_ord", F.col("m_ord"))
 
 
-def candidates_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Entities whose stripped length is within the label's band: an equi-join on buckets of lengths.
-
-    Where a label has more than ``TOP`` of them, only those that share a 6-mer and more than half of their letters,
-    and of these the ``TOP`` most similar, stay.
-    """
+def length_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
+    """All entities whose stripped length is within the label's band: an equi-join on buckets of lengths."""
     size = F.length("sequence")
     low, high = F.greatest(F.lit(1), F.floor(size * 0.75)).cast("int"), (F.floor(size * 1.35) + 25).cast("int")
     left = labels.withColumn("_low", low).withColumn("_high", high)
     left = left.withColumn("_b", F.explode(F.sequence((F.col("_low") / BUCKET).cast("int"), (F.col("_high") / BUCKET).cast("int"))))
     right = manifest.withColumn("_b", (F.length("stripped") / BUCKET).cast("int"))
-    band = left.join(right, "_b").where(F.length("stripped").between(F.col("_low"), F.col("_high"))).drop("_b", "_low", "_high")
+    return left.join(right, "_b").where(F.length("stripped").between(F.col("_low"), F.col("_high"))).drop("_b", "_low", "_high")
+
+
+def candidates_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
+    """The entities of the label's length band.
+
+    Where a label has more than ``TOP`` of them, only those that share a 6-mer and more than half of their letters,
+    and of these the ``TOP`` most similar, stay.
+    """
+    band = length_band(labels, manifest)
     many = band.groupBy("label_id").agg(F.count("*").alias("_n"))
     counted = band.join(many, "label_id")
     few = counted.where(F.col("_n") <= TOP).withColumn("c_ord", F.col("m_ord")).drop("_n")

@@ -190,11 +190,40 @@ def align_score(spark, sf_dir):
     return align.align_pairs(pairs, "sequence", "target").select(F.col("source_entry_id").alias("p_name"), "protein_id", "alignment.score")
 
 
+# The three queries above meet entities of the same first letter only, as their SQL does; these meet the whole band.
+BAND = f"""SELECT l.p_name, m.protein_id, l.sequence AS a, m.target AS b FROM ({LABELS}) l JOIN (SELECT *, regexp_replace(regexp_replace(target, '^H{{6,}}', ''), 'H{{6,}}$', '') AS stripped FROM ({MANIFEST})) m
+    ON length(m.stripped) BETWEEN greatest(1, floor(length(l.sequence) * 0.75)) AND floor(length(l.sequence) * 1.35) + 25"""
+
+
+def _band(spark, sf_dir):
+    return matching.length_band(*_labels_and_manifest(spark, sf_dir))
+
+
+@query(f"""WITH p AS ({BAND}),
+    s AS (SELECT p_name, protein_id, round(2.0 * ({_COUNTS}) / (length(a) + length(b)), 6) AS score FROM p)
+    SELECT p_name, protein_id, score, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, protein_id) AS rn FROM s WHERE score > 0.5) WHERE rn <= 5""")
+def quick_ratio_topk_band(spark, sf_dir):
+    from pyspark.sql import Window
+
+    pairs = _band(spark, sf_dir).select(F.col("source_entry_id").alias("p_name"), "protein_id", F.round(sequences.quick_ratio(F.col("sequence"), F.col("target")), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("score"), "protein_id"))
+    return pairs.where("score > 0.5").withColumn("rn", rank).where("rn <= 5")
+
+
+@query(f"""SELECT p_name, protein_id, (length(a) < 6 OR list_bool_or(list_transform(range(1, greatest(length(a) - 4, 2)), lambda i: contains(b, substr(a, i, 6))))) AS shared FROM ({BAND})""")
+def kmer_share_band(spark, sf_dir):
+    return _band(spark, sf_dir).select(F.col("source_entry_id").alias("p_name"), "protein_id", sequences.shares_kmer(F.col("sequence"), F.col("target")).alias("shared"))
+
+
+@query()
+def align_score_band(spark, sf_dir):
+    pairs = _band(spark, sf_dir).select("source_entry_id", "protein_id", "sequence", "target")
+    return align.align_pairs(pairs, "sequence", "target").select(F.col("source_entry_id").alias("p_name"), "protein_id", "alignment.score")
+
+
 @query()
 def alignment_qc(spark, sf_dir):
-    labels, manifest = _labels_and_manifest(spark, sf_dir)
-    pairs = labels.join(manifest, F.substring("sequence", 1, 1) == F.substring("target", 1, 1))
-    return align.evaluate_alignments(pairs, "sequence", "target").drop("alignment")
+    return align.evaluate_alignments(_band(spark, sf_dir), "sequence", "target").drop("alignment")
 
 
 @query()

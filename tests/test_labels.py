@@ -95,3 +95,27 @@ def test_exact_groups_hold_every_pair(spark):
     kept = {tuple(r) for r in queries.QUERIES["candidate_exact"](spark, "/root/testdata/sf0.001").collect()}
     assert kept <= pairs and len(pairs) > len(kept)
     assert all(size == sum(c == d for _, d, _ in rows) for _, c, size in rows)
+
+
+def test_band_queries_meet_every_first_letter(spark):
+    from foldframe.plans import queries
+
+    top, shared = (against_sql(spark, f"{name}_band") for name in ("quick_ratio_topk", "kmer_share"))
+    assert any(name[0] != entity[0] for name, entity, *_ in top)
+    folder = "/root/testdata/sf0.001"
+    wanted = {row[:2] for row in shared}
+    scores = {(r.p_name, r.protein_id): r.score for r in queries.QUERIES["align_score_band"](spark, folder).collect()}
+    qc = {(r.source_entry_id, r.protein_id) for r in queries.QUERIES["alignment_qc"](spark, folder).collect()}
+    assert set(scores) == qc == wanted
+    sequences = {(r.source_entry_id, r.protein_id): (r.sequence, r.target) for r in queries._band(spark, folder).collect()}
+
+    def score(a, b):
+        row = [-2 * j for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            new = [-2 * i]
+            for j, y in enumerate(b, 1):
+                new.append(max(row[j - 1] + (2 if x == y else -1), row[j] - 2, new[-1] - 2))
+            row = new
+        return row[-1]
+
+    assert all(scores[k] == score(*sequences[k]) for k in sorted(scores)[::50])
