@@ -16,10 +16,10 @@ tokens of a single class; from the rest candidates come in two ways:
   shares most tokens with among a few random classes of each list, and what links is united.  Pairs that remain
   apart are counted block by block over inverted indexes, and only those that share enough are put out.
 
-All pairs that share enough prefix tokens and are not yet united are verified.  Pairs within one component need no
-verification, as links only serve components; no pair across components is left out.
+All pairs that share enough prefix tokens and are not yet united are verified; no pair across components is left
+out.  Once the components stand, each class's links are counted over all pairs of its component, on whole sets.
 
-The result has one row per document (class and component), never the pairs of a group.
+The result has one row per document (class, number of links, component), never the pairs of a group.
 
 Cases: null or empty texts, and texts without words, have n_shingles 0 and are their own component; repeated rows
 and equal texts fall into one class and get equal components; rows without an id are left out; an empty table gives
@@ -314,9 +314,8 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole sets of both documents."""
-    nodes = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc_id, text) of at least the documents of ``nodes`` (doc), and of few others."""
     bits = _bitmap(nodes)
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,6 +324,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
             word, bit = (h % (BITMAP_WORDS * 64)) // 64, (h % 64).astype(np.uint64)
             yield batch.select([0, 1]).filter(pa.array(bits[word] >> bit & np.uint64(1) == 1))
 
+    return docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(wanted, "doc_id long, text string")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """The pairs (a, b) that link, decided on the whole sets of both documents."""
+    nodes = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
@@ -343,8 +349,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
                     keep.append(100 * both >= 75 * (len(x) + len(y) - both))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    rows = docs.withColumn("h", F.xxhash64("doc_id")).mapInArrow(wanted, "doc_id long, text string")
-    found = checkpointed(rows)
+    found = checkpointed(_texts(docs, nodes))
     left = pairs.select("a", "b").join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
     return checkpointed(both.mapInArrow(check, "a long, b long").distinct())
@@ -500,22 +505,114 @@ def _crowd_pairs(rows: DataFrame, count: int, short: DataFrame, block: int = 4_0
     return hot.join(short.select("a", "b", "c"), ["a", "b"], "left").where(F.col("hot") + F.coalesce("c", F.lit(0)) >= F.col("need")).select("a", "b")
 
 
-def ngram_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """Per document: doc_id, n_shingles, class_id (least doc_id with the same set), n_links, component_id.
+def _shared(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 4_000_000) -> np.ndarray:
+    """How many tokens each set of ``left`` shares with each of ``right``: rare tokens by their lists, frequent ones
+    as columns of a product of matrices."""
+    m, q = len(left), len(right)
+    every, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    x, y = (np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (left, right))
+    cx, cy = column[: len(x)], column[len(x) :]
+    fx, fy = np.bincount(cx, minlength=len(every)), np.bincount(cy, minlength=len(every))
+    dense = fx * fy * 150 > m * q
+    out = np.zeros(m * q, np.int64)
+    by = np.argsort(cy, kind="stable")
+    listed, start = y[by], np.cumsum(fy) - fy
+    rare = ~dense[cx] & (fy[cx] > 0)
+    row, col = x[rare], cx[rare]
+    size = fy[col]
+    for a, b in slices(size, chunk):
+        n = size[a:b]
+        at = np.arange(n.sum()) + np.repeat(start[col[a:b]] - (np.cumsum(n) - n), n)
+        out += np.bincount(np.repeat(row[a:b], n) * q + listed[at], minlength=m * q)
+    out = out.reshape(m, q)
+    number = np.cumsum(dense) - 1
+    wide = int(dense.sum())
+    step = max(64, chunk // (m + q))
+    for a in range(0, wide, step):
+        blocks = []
+        for size, holder, c in ((m, x, cx), (q, y, cy)):
+            block = np.zeros((size, min(step, wide - a)), np.float32)
+            here = dense[c] & (number[c] >= a) & (number[c] < a + step)
+            block[holder[here], number[c[here]] - a] = 1
+            blocks.append(block)
+        out += (blocks[0] @ blocks[1].T).astype(np.int64)
+    return out
+
+
+def _degrees(docs: DataFrame, classes: DataFrame, k: int, block: int = 2_000, weight: int = 2_000_000) -> DataFrame:
+    """(class_id, others): the documents of other classes that link to each class, by the whole sets.
 
-    n_links counts the links of the class that were found while components were united (a lower bound of its degree).
+    All links are within components, so all pairs of a component's classes are compared, block by block, and only
+    sums are put out.  Small components share a bucket; a component beyond ``block`` classes or ``weight`` tokens is
+    dealt to blocks.
     """
+    whole = classes.groupBy("component_id").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w")).where("m > 1")
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("w") / weight)).cast("int")
+    inner = checkpointed(classes.join(whole.select("component_id", blocks.alias("blocks")), "component_id"))
+    count, total = inner.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    if not count:
+        return inner.select("class_id", F.lit(0).cast("long").alias("others"))
+    buckets = max(parallelism(docs.sparkSession), -(-count // block), -(-total // weight))
+    small = F.col("blocks") == 1
+    placed = inner.select(
+        "class_id", "component_id", "copies", "blocks", F.pmod(F.xxhash64("class_id"), "blocks").cast("int").alias("own"),
+        F.when(small, F.pmod(F.xxhash64("component_id"), F.lit(buckets))).otherwise(F.col("component_id")).alias("team"), small.alias("small"),
+    )
+    texts = _texts(docs, inner.select(F.col("class_id").alias("doc"))).withColumnRenamed("doc_id", "class_id")
+    rows = placed.join(texts, "class_id")
+    dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        ids, comp, copies, own = (group.column(c).to_numpy().astype(np.int64) for c in ("class_id", "component_id", "copies", "own"))
+        text = group.column("text").combine_chunks()
+        first = np.unique(ids, return_index=True)[1]  # repeated rows count once
+        first = first[np.argsort(comp[first], kind="stable")]
+        out: list[list[np.ndarray]] = [[], []]
+        for at in np.split(first, np.flatnonzero(np.diff(comp[first])) + 1):
+            x, y = (at, at) if i == j else (at[own[at] == i], at[own[at] == j])
+            left = distinct_shingles(*column_bytes(text.take(pa.array(x))), k)
+            right = left if i == j else distinct_shingles(*column_bytes(text.take(pa.array(y))), k)
+            if not left or not right:
+                continue
+            both = _shared(left, right)
+            n, m = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+            link = 100 * both >= 75 * (n[:, None] + m - both)
+            if i == j:
+                np.fill_diagonal(link, False)
+            else:
+                out[0].append(ids[y])
+                out[1].append(copies[x] @ link)
+            out[0].append(ids[x])
+            out[1].append(link @ copies[y])
+        return pa.table({c: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64()) for c, v in zip(("class_id", "others"), out, strict=True)})
+
+    return dealt.groupBy("small", "team", "i", "j").applyInArrow(run, "class_id long, others long").groupBy("class_id").agg(F.sum("others").alias("others"))
+
+
+def _classified(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n_shingles, class_id and component_id of each document."""
     profile, links = ngram_links(docs, k)
-    links = checkpointed(links)
     meta = profile.where("slots is null").select(F.col("id").alias("doc_id"), "n", "sig_a", "sig_b")
     classes = meta.where("n > 0").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("class_id"))
     joined = meta.join(classes, ["sig_a", "sig_b"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    comp = connected_components(links).withColumnRenamed("node", "class_id").join(degree, "class_id", "left")
-    return joined.join(comp, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    comp = connected_components(links).withColumnRenamed("node", "class_id")
+    return joined.join(comp, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+
+
+def ngram_components(docs: DataFrame, k: int = 5) -> DataFrame:
+    """Per document: doc_id, n_shingles, class_id (least doc_id with the same set), n_links, component_id.
+
+    n_links is the number of other rows that the document links to, equal sets included.
+    """
+    rows = checkpointed(_classified(docs, k))
+    classes = checkpointed(rows.where("n_shingles > 0").groupBy("class_id", "component_id").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")))
+    others = _degrees(id_and_text(docs).where("doc_id is not null"), classes, k)
+    degree = classes.join(others, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(degree, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).alias("n_links"), "component_id")
 
 
 def keep_first_of_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its component (of repeated rows, all)."""
-    drop = ngram_components(docs, k).where("doc_id <> component_id").select(F.col("doc_id")).distinct()
+    drop = _classified(docs, k).where("doc_id <> component_id").select(F.col("doc_id")).distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)

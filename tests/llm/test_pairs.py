@@ -80,6 +80,28 @@ def test_ngram_blocks_and_repeats(spark, monkeypatch):
     assert ngram_join.ngram_components(docs.where("false")).count() == 0
 
 
+def brute_links(rows):
+    sets = [(i, shingle_set(t)) for i, t in rows]
+    return {i: sum(i != j and 100 * len(s & u) >= 75 * len(s | u) and len(s) > 0 for j, u in sets) for i, s in sets}
+
+
+@pytest.mark.parametrize("block", [2_000, 7])
+def test_ngram_links_are_all_counted(spark, monkeypatch, block):
+    real = ngram_join._degrees
+    monkeypatch.setattr(ngram_join, "_degrees", lambda docs, classes, k: real(docs, classes, k, block=block))
+    rows = near_copies(5)
+    assert {x.doc_id: x.n_links for x in ngram_join.ngram_components(frame(spark, rows)).collect()} == brute_links(rows)
+
+
+def test_shared_tokens_of_blocks():
+    r = np.random.default_rng(1)
+    left, right = ([np.unique(r.integers(0, 90, int(r.integers(1, 40))).astype(np.uint64) ** 2) for _ in range(n)] for n in (70, 41))
+    right = [np.unique(np.append(s, np.uint64(7))) for s in right]
+    left = [np.unique(np.append(s, np.uint64(7))) for s in left]
+    got = ngram_join._shared(left, right, chunk=500)
+    assert (got == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
+
+
 def test_ngram_split_tokens_meet_across_buckets(spark, monkeypatch):
     """Equal copies make the tokens of their near copies so frequent that the lists are dealt over 33 buckets."""
     monkeypatch.setattr(ngram_join, "SPLIT", 64)
