@@ -5,7 +5,8 @@ over time.  Sixteen box filters over the (frame, pitch class) plane, evaluated w
 bits; together they are one packed 32-bit integer for each frame.
 
 Recordings with equal fingerprints are one class.  An index of integer pairs (a frame's and that of ``GAP`` frames
-later) finds frames that recordings share; the histogram of their offsets names the likeliest alignments, and the
+later) finds frames that recordings share.  Each pair has a key for each of eight masks, which holds the answers of 19
+of its 32 filters, so that frames meet although bits differ; the histogram of their offsets names the likeliest alignments, and the
 share of differing bits over the overlap decides.  Matches are reported between class representatives, with the
 class of each recording beside, so copies are never expanded into pairs.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import wave
 from collections.abc import Callable, Iterator
 
@@ -27,9 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
+from .shingles import mix
 
 RATE, FRAME, HOP = 4_000, 1_024, 256
-CLASSES, WIDTH, GAP = 12, 12, 4
+CLASSES, WIDTH, GAP = 12, 12, 12
 
 
 def _filters() -> list[tuple[int, int, int, int]]:
@@ -40,6 +43,8 @@ def _filters() -> list[tuple[int, int, int, int]]:
 FILTERS = _filters()
 STEPS = (-0.12, 0.0, 0.12)  # the limits between a filter's four answers
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+_DRAW = random.Random(5)
+MASKS = [np.uint64(sum(3 << 2 * f for f in _DRAW.sample(range(32), 19))) for _ in range(8)]  # of pairs, two bits a filter
 
 
 def _fold() -> np.ndarray:
@@ -136,7 +141,10 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.array([len(k) for k in pairs], np.int64)
         at = np.concatenate([np.arange(n) for n in size.tolist()]) if len(size) else np.zeros(0)
         keys = np.concatenate(pairs) if pairs else np.zeros(0, np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(np.repeat(ids, size)), pa.array(np.repeat(asked, size).astype(bool)), pa.array(at.astype(np.int32))], names=["key", "id", "asked", "at"])
+        rest = [pa.array(np.repeat(ids, size)), pa.array(np.repeat(asked, size).astype(bool)), pa.array(at.astype(np.int32))]
+        for n, mask in enumerate(MASKS):
+            key = mix((keys & mask) + mix(np.array([n + 1], np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *rest], names=["key", "id", "asked", "at"])
 
 
 def _bit_errors(least: int, most: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

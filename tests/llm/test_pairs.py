@@ -286,6 +286,29 @@ def test_recordings_align(spark):
     assert chroma.search_recordings(empty).count() == 0
 
 
+def test_recordings_meet_over_the_whole_range_of_errors(spark):
+    """Recall against all offsets within 60 frames, at noise that leads up to the limit and at shifts within a hop."""
+    r = np.random.default_rng(8)
+    rows, truth = [], {}
+    for i in range(72):
+        a = tune(r.integers(0, 24, 60)) if i % 2 else chroma.tune_of_vector(r.normal(size=96) / np.sqrt(96))
+        noise, shift = (0.4, 0.7, 1.0, 1.2, 1.3)[i % 5], (0, 64, 128)[i % 3]
+        b = (a + noise * r.normal(size=len(a)))[shift:].astype(np.float32)
+        rows += [(20 * i, a.tolist()), (20 * i + 1, b.tolist())]
+        x, y = chroma.fingerprint(a), chroma.fingerprint(b)
+        for o in range(-60, 61):
+            low, high = max(0, o), min(len(x), len(y) + o)
+            if high - low >= 40:
+                error = np.bitwise_count(x[low:high] ^ y[low - o : high - o]).sum() / (32 * (high - low))
+                if error <= min(0.2, truth.get(20 * i, 1)):
+                    truth[20 * i] = error
+    media = spark.createDataFrame(pd.DataFrame(rows, columns=["media_id", "audio"]), "media_id long, audio array<float>")
+    got = {x.class_id for x in chroma.search_recordings(media, decode=np.asarray).collect() if x.match_id == x.class_id + 1}
+    for low, high in ((0, 0.1), (0.1, 0.15), (0.15, 0.2)):
+        true = [i for i, e in truth.items() if low <= e <= high]
+        assert len(true) >= 8 and np.mean([i in got for i in true]) >= 0.9, (low, len(true), np.mean([i in got for i in true]))
+
+
 def test_integral_image_equals_sums():
     samples = tune([3, 7, 10, 5, 12, 0, 3, 8, 1])
     plane, got = chroma.chroma(samples), chroma.fingerprint(samples)
