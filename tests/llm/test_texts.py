@@ -231,3 +231,18 @@ def test_shingle_sets():
         want = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
         assert len(s) == len(want) and known.setdefault(want, s.tobytes()) == s.tobytes()
     assert len(set(known.values())) == len(known)
+
+
+def test_lightly_edited_passage_is_contamination(spark, tmp_path):
+    """An item with nine errors in a hundred characters, for the query and the pipeline's stage."""
+    import corpus_pipeline
+    from foldframe.llm.queries import QUERIES
+
+    r = random.Random(3)
+    item = "".join(r.choice("abcdefghijklmnop") for _ in range(100))
+    edited = "".join("z" if i % 11 == 5 else c for i, c in enumerate(item))
+    docs = spark.createDataFrame([(1, "before " + edited + " after"), (2, "nothing of it")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(x.doc_id, x.item_id, x.distance) for x in QUERIES["op10_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7, 9)]
+    assert [x.doc_id for x in corpus_pipeline.contamination(spark, docs, str(tmp_path)).collect()] == [2]
