@@ -234,7 +234,8 @@ class PieceModel:
         return out
 
     def agree(self, segments: list[str], texts: list[str], encoded: list[bytes]) -> bool:
-        """Does the library give the same ids for these segments (in one text) and these whole texts?"""
+        """Does the library give the same ids for these whole texts, and for the segments (in one text) that begin with
+        a word mark and are not all marks?  Other segments are checked only where the texts hold them."""
         same = all(self.library.encode(t, add_bos=True, add_eos=True) == np.frombuffer(e, "<u4").tolist() for t, e in zip(texts, encoded, strict=True))
         if same and self.cuts and segments:
             feed = [self.byte_ids[10]]
