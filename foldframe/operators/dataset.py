@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import numeric
 from ..schemas import require_columns, require_rows
-from .rows import masked
+from .rows import before_parts, dense_index, in_ranges, masked
 
 KEYS = ["protein_id", "sequence_pos_1based"]
 
@@ -63,8 +63,6 @@ def hash_split(clusters: DataFrame, val_fraction: float, test_fraction: float, s
     """Clusters in the order of md5(seed:name); the first are test, the next val."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), "cluster"))
     total = clusters.agg(F.count("*").alias("_n"))
-    from .rows import dense_index
-
     ranked = dense_index(clusters.withColumn("_h", order), ["_h"], "_rank").join(F.broadcast(total))
     n_test, n_val = F.bround(F.col("_n") * test_fraction), F.bround(F.col("_n") * val_fraction)
     return ranked.select("cluster", F.when(F.col("_rank") < n_test, "test").when(F.col("_rank") < n_test + n_val, "val").otherwise("train").alias("split"))
@@ -104,9 +102,16 @@ def fit_normalizer(df: DataFrame, columns: list[str]) -> Normalizer:
 
 
 def _metrics(groups: DataFrame, by: list[str]) -> DataFrame:
-    """AUROC and step-wise average precision from (group, score) counts; ties share a threshold."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = groups.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w))
+    """AUROC and step-wise average precision from (group, score) counts; ties share a threshold.
+
+    Counts are range-partitioned by group and score, so a group of any size is dealt over tasks; what stands before a
+    partition is a running sum over one row for each partition and group.
+    """
+    ranged = in_ranges(groups, [*(F.col(c) for c in by), F.desc("score")])
+    w = Window.partitionBy("_part", *by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    before = before_parts(ranged.groupBy("_part", *by).agg(F.sum("tp").alias("tp"), F.sum("n").alias("n")), ["tp", "n"], by)
+    run = ranged.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w)).join(before, ["_part", *by])
+    run = run.withColumn("ctp", F.col("ctp") + F.col("_before_tp")).withColumn("cn", F.col("cn") + F.col("_before_n"))
     area = F.sum((F.col("n") - F.col("tp")) * (F.col("ctp") - F.col("tp") / 2))
     summed = run.groupBy(*by).agg(F.sum("tp").alias("p"), F.sum("n").alias("n"), area.alias("u"), F.sum(F.col("tp") * F.col("ctp") / F.col("cn")).alias("ap"))
     p, q = F.col("p"), F.col("n") - F.col("p")
@@ -117,8 +122,7 @@ def _metrics(groups: DataFrame, by: list[str]) -> DataFrame:
 def ranking_metrics(predictions: DataFrame, group: str | Column = "protein_id") -> DataFrame:
     """group, protein_id, AUROC, AUPRC, AUPRC_norm, baseline: overall, then per protein (null ids have no group).
 
-    Rows are first summed to (group, score), so a window never sees more rows than there are distinct scores.  An
-    AUROC of one class is null.
+    Rows are first summed to (group, score), then dealt out by ranges.  An AUROC of one class is null.
     """
     require_columns(predictions, {"label", "score", "eval_mask"} | ({group} if isinstance(group, str) else set()), "Prediction table missing columns")
     rows = masked(predictions).select((F.col(group) if isinstance(group, str) else group).cast("string").alias("protein_id"), F.col("label").cast("int").alias("label"), F.col("score").cast("double").alias("score"))

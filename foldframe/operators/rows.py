@@ -4,23 +4,39 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
+
+def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``df`` range-partitioned by ``order`` and written once, with its partition's number in ``_part``.
+
+    What is computed from it twice (counts and places) sees the same partitions: sampling and adaptive plans could
+    deal two exchanges out differently.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
+
+
+def before_parts(sums: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """Running sums over the parts before each one: a row per part (and group) at most, whatever the data's size."""
+    earlier = Window.partitionBy(*(by or [])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("_part", *(by or []), *(F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_before_{v}") for v in values))
+
 
 def dense_index(df: DataFrame, order: list, name: str = "row_index") -> DataFrame:
     """0-based index in the order of ``order``, without one task that sees all rows.
 
-    Rows are range-partitioned and numbered inside their partition; the offsets are the running counts of the
-    partitions, a table of one row each.
+    Rows are range-partitioned, written once, and numbered inside their partition; the offsets are the running counts
+    of the partitions, a table of one row each.  Rows that tie are numbered in any order.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = df.repartitionByRange(*cols).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*cols)
-    numbered = ranged.withColumn("_own", F.row_number().over(own) - 1)
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before")).select(F.col("_part"), "_before")
-    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+    ranged = in_ranges(df, cols)
+    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)) - 1)
+    before = before_parts(ranged.groupBy("_part").agg(F.count("*").alias("n")), ["n"])
+    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_before_n") + F.col("_own")).select(*df.columns, name)
 
 
 def select_rows(df: DataFrame, index: str, limit: int | None = None, start: int | None = None, count: int | None = None, shard_index: int | None = None, num_shards: int | None = None) -> DataFrame:

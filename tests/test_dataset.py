@@ -2,6 +2,7 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,38 @@ def test_command_line(spark, tmp_path):
     assert math.isclose(float(readers.read_table(spark, str(tmp_path / "e")).first().AUROC), 1.0)
     with pytest.raises(RuntimeError, match="encoder"):
         cli.main(["extract-esm2-embeddings", "--manifest", str(tmp_path / "m.csv"), "--out-dir", str(tmp_path / "none")], spark)
+
+
+def test_dense_index_of_many_wide_rows(spark):
+    """Every index once, whatever adaptive plans make of the partitions; ties and several order columns included."""
+    from foldframe.operators.rows import dense_index
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        df = spark.range(2_000_000).select((F.xxhash64("id") % 50_021).alias("k"), "id", F.repeat(F.lit("x"), 40).alias("wide"))
+        indexed = dense_index(df, ["k", F.desc("id")], "i")
+        assert indexed.columns == ["k", "id", "wide", "i"]
+        count, distinct, low, high = indexed.agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i")).first()
+        assert (count, distinct, low, high) == (2_000_000, 2_000_000, 0, 1_999_999)
+        same = indexed.alias("a").join(indexed.alias("b"), F.col("a.i") + 1 == F.col("b.i"))
+        assert same.where("a.k > b.k or (a.k = b.k and a.id < b.id)").isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_ranking_metrics_of_continuous_scores(spark, partitions):
+    """The overall group is dealt over partitions by score; sums before a partition are added."""
+    from foldframe.operators.dataset import ranking_metrics
+
+    r = np.random.default_rng(3)
+    score, label = r.normal(size=3_000).round(3), r.integers(0, 2, 3_000)
+    data = spark.createDataFrame(pd.DataFrame({"protein_id": r.integers(0, 3, 3_000).astype(str), "score": score, "label": label, "eval_mask": 1}))
+    order = np.argsort(-score, kind="stable")
+    cut = np.flatnonzero(np.append(np.diff(score[order]) != 0, True))
+    tp, n = np.cumsum(label[order])[cut], cut + 1
+    ap = (np.diff(tp, prepend=0) * tp / n).sum() / tp[-1]
+    for found in partitions(lambda: ranking_metrics(data).collect()):
+        overall = next(x for x in found if x.group == "overall")
+        positive, negative = score[label == 1][:, None], score[label == 0][None, :]
+        auc = ((positive > negative) + 0.5 * (positive == negative)).mean()
+        assert len(found) == 4 and abs(overall.AUROC - auc) < 1e-9 and abs(overall.AUPRC - ap) < 1e-9
