@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed, outliving, scratch, shared_folder  # noqa: F401  (the operators import them from here)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,33 +24,6 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where it is unset (tests) one of our own."""
-    jsc = spark.sparkContext._jsc.sc()
-    current = jsc.getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/foldframe-checkpoints"
-    spark.sparkContext.setCheckpointDir(base)
-    return jsc.getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder, which every executor and a restarted driver can read.
-
-    Unlike ``DataFrame.checkpoint`` the files are columnar and compressed, and the planner knows their size.
-    """
-    spark = df.sparkSession
-    path = shared_folder(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the shared checkpoint folder (URI)."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -12,8 +12,9 @@ Files go to a folder that driver and executors share, under names of their own f
 attempts that ended are in the returned manifest, so a lost executor leaves nothing that is read.  Memory is bounded
 by one record and one block of a stream.
 
-Cases: a null payload is empty; a null address becomes the record's own name; rows without an id are left out; of
-repeated rows each has a record; an empty table gives no archive and an empty result; other columns are ignored.
+Cases: a null payload is empty; a null address becomes the record's own name; rows without an id are left out; an
+id with several rows has a record for each, decided by that row's payload; rows that repeat the smallest id of a
+payload are responses too; an empty table gives no archive and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,14 +107,16 @@ def records(blocks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
 def page_decisions(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", text_col: str = "html") -> DataFrame:
     """page_id, url, payload, digest and, for revisits, refers_to.
 
-    Only ids and digests are grouped; a group of any size is a partial minimum per task.
+    Only ids and digests are grouped; a group of any size is a partial minimum per task.  What is joined to the
+    payloads, on id and digest, has the rows of revisits alone; payloads move once, and only where it is too large to
+    be sent to all.
     """
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(text_col), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    same = checkpointed(first)
-    revisits = checkpointed(rows.where(F.octet_length("payload") >= least).select("page_id", "digest").join(same, "digest").where("page_id <> first").select("page_id", F.col("first").alias("refers_to")).distinct())
-    return rows.join(revisits, "page_id", "left")
+    long = rows.where(F.octet_length("payload") >= least)
+    same = checkpointed(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first"))
+    revisits = checkpointed(long.select("page_id", "digest").join(same, "digest").where("page_id <> first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct())
+    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
 
 def write_archives(decided: DataFrame, folder: str, level: int = 3, roll: int = 256 << 20) -> DataFrame:

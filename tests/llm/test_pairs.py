@@ -233,6 +233,18 @@ def test_warc_round_trip(spark):
     assert warc.archive_round_trip(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("rows", ["1a 2b 5a 5b", "3x 5x 5y", "4a 4a 9a 9a 2b"])
+def test_warc_decides_rows_of_one_id_by_their_own_payloads(spark, rows):
+    rows = [(int(r[0]), r[1] * 120) for r in rows.split()]
+    df = spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id long, url string, html string")
+    want = []
+    for i, t in rows:
+        first = min(j for j, u in rows if u == t)
+        want.append((i, hashlib.sha256(t.encode()).hexdigest(), "response" if i == first else "revisit", None if i == first else first))
+    got = [(x.page_id, x.payload_digest, x.record_type, x.refers_to) for x in warc.archive_round_trip(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_monolithic_streams(spark, tmp_path):
     import csv
     import gzip
