@@ -69,7 +69,7 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, crowded):
 def test_ngram_blocks_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CROWDED", 2)
     real = ngram_join._crowd_pairs
-    monkeypatch.setattr(ngram_join, "_crowd_pairs", lambda rows, count, short: real(rows, count, short, block=20))
+    monkeypatch.setattr(ngram_join, "_crowd_pairs", lambda rows, short: real(rows, short, block=20))
     rows = near_copies(9, 90)
     docs = frame(spark, rows)
     twice = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(None, "a b c d e f", 1, "y")], docs.schema))
@@ -114,10 +114,60 @@ def test_ngram_split_tokens_meet_across_buckets(spark, monkeypatch):
     assert got == {i: 0 for i, _ in rows}
 
 
+def many_near_copies(count, seed=12):
+    """Near copies of two texts (similarity above 0.9 within a group), a chain between them, and strangers that share
+    a passage with one of them."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    base = [[word() for _ in range(90)] for _ in range(2)]
+    rows = []
+    for i in range(count):
+        w = list(base[i % 2])
+        w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    rows += [(count + i, " ".join(base[0][:35] + [word() for _ in range(30 + i)])) for i in range(60)]
+    return rows
+
+
+@pytest.mark.parametrize(("split", "crowded"), [(64, 8), (10**6, 8), (40, 100)])
+def test_ngram_large_groups_of_near_copies(spark, monkeypatch, split, crowded):
+    """Lists dealt over many buckets: their parts meet, and components are those of all pairs."""
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
+    monkeypatch.setattr(ngram_join, "CROWDED", crowded)
+    monkeypatch.setattr(ngram_join, "CHUNK", 3_000)
+    rows = many_near_copies(700)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in ngram_join.ngram_components(frame(spark, rows)).collect()}
+    links = brute_links(rows)
+    assert got == {i: (*v, links[i]) for i, v in brute_components(rows).items()}
+
+
+def test_ngram_join_without_frequencies(spark, monkeypatch):
+    """A table of heavy tokens that is far too small costs candidates, never links."""
+    monkeypatch.setattr(ngram_join, "HEAVY", 64)
+    monkeypatch.setattr(ngram_join, "SMALL_IDS", 10)
+    rows = near_copies(6)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.ngram_components(frame(spark, rows)).collect()} == brute_components(rows)
+
+
+def test_size_blocks_meet_every_fitting_size():
+    r = random.Random(5)
+    for block in (3, 50):
+        sizes = [r.choice([1, 2, 3, 5, 8, 20, 21, 27, 28, 300]) for _ in range(200)]
+        band = lambda n: int(np.floor(np.log(n) / np.log(ngram_join.BAND)))
+        counts = {b: sum(band(n) == b for n in sizes) for b in {band(n) for n in sizes}}
+        rows = {b: rest for b, *rest in ngram_join.size_blocks(counts, block)}
+        for n in set(sizes):
+            for m in set(sizes):
+                if 100 * min(n, m) >= 75 * max(n, m):
+                    first, number, _, _ = rows[band(n)]
+                    _, _, low, high = rows[band(m)]
+                    assert low <= first and first + number - 1 <= high
+
+
 def test_prefix_bound():
     """The number of shared prefix tokens that a link guarantees, for every order of random sets."""
     r = np.random.default_rng(3)
-    order = ngram_join.Order(np.zeros(ngram_join.SLOTS, np.uint8))
+    order = ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     for _ in range(300):
         n = int(r.integers(1, 60))
         x = np.unique(r.integers(0, 1 << 58, n).astype(np.uint64))
