@@ -371,6 +371,67 @@ def test_recordings_meet_over_the_whole_range_of_errors(spark):
         assert len(true) >= 8 and np.mean([i in got for i in true]) >= 0.9, (low, len(true), np.mean([i in got for i in true]))
 
 
+def brute_alignments(audio, least=40, most=0.2, reach=60):
+    """The best alignment of each pair, over all offsets."""
+    prints, out = {i: chroma.fingerprint(np.asarray(a, np.float32)) for i, a in audio}, {}
+    for i, x in prints.items():
+        for j, y in prints.items():
+            for o in range(-reach, reach + 1) if i != j else ():
+                a, b = max(0, o), min(len(x), len(y) + o)
+                u, v = x[a : max(a, b)], y[a - o : max(a, b) - o]
+                heard = (u != chroma.SILENT) | (v != chroma.SILENT)
+                if heard.sum() >= least:
+                    rate = np.bitwise_count(u[heard] ^ v[heard]).sum() / (32 * heard.sum())
+                    if rate <= most:
+                        out[i, j] = min(out.get((i, j), (2, 0, 0)), (rate, abs(o), o))
+    return out
+
+
+def test_alignments_equal_brute_force(spark):
+    """All pairs over all offsets: what is reported is exact, and at least nine in ten are found."""
+    r = np.random.default_rng(21)
+    songs = [tune(r.integers(0, 24, 40)) for _ in range(6)]
+    audio = []
+    for i, s in enumerate(songs):
+        part = s[int(r.integers(0, 20)) * chroma.HOP :]
+        audio += [(10 * i, s), (10 * i + 1, s + 0.8 * r.normal(size=len(s))), (10 * i + 2, part), (10 * i + 3, (part + 0.5 * r.normal(size=len(part)))[90:])]
+    audio += [(90, np.zeros(30_000)), (91, np.zeros(24_000)), (92, np.append(np.zeros(20_000), songs[0])), (93, np.sin(np.arange(30_000) / 3))]
+    media = spark.createDataFrame(pd.DataFrame([(i, a.tolist()) for i, a in audio], columns=["media_id", "audio"]), "media_id long, audio array<float>")
+    got = {(x.class_id, x.match_id): (x.bit_error_rate, abs(x.offset), x.offset) for x in chroma.search_recordings(media, every=1, decode=np.asarray).collect() if x.match_id is not None}
+    want = brute_alignments([(i, np.float32(a)) for i, a in audio])
+    assert set(got) <= set(want) | {k for k, v in got.items() if v[1] > 60} and not {90, 91} & {i for k in got for i in k}
+    assert len(want) >= 60 and np.mean([k in got for k in want]) >= 0.9
+    same = [got[k][0] <= want[k][0] + 1e-9 for k in got if k in want]
+    assert np.mean(same) >= 0.9
+
+
+def test_long_silence_has_no_keys(spark):
+    """Unrelated tunes after a long silence do not meet at it."""
+    r = np.random.default_rng(2)
+    prints = [chroma.fingerprint(np.append(np.zeros(40_000, np.float32), tune(r.integers(0, 24, 20)))) for _ in range(40)]
+    keys = [chroma.keys_of(p) for p in prints]
+    assert all(len(p) > 200 and len(k[0]) < len(p) - 130 for p, k in zip(prints, keys, strict=True))
+    asked = np.concatenate([chroma.turned(k, u)[1] for _, k, u in keys[::20]])
+    index = np.sort(np.concatenate([k for _, k, _ in keys]))
+    rows = (np.searchsorted(index, asked, "right") - np.searchsorted(index, asked, "left")).sum()
+    assert rows < 5_000  # a hundred silent frames each would make two in a hundred of 40 * 100 squared
+    index, key = chroma.turned(np.array([8], np.uint64), np.array([0b1011], np.uint64))
+    assert sorted(key.tolist()) == [0, 1, 2, 3, 8, 9, 10, 11] and set(index.tolist()) == {0}
+
+
+def test_audio_that_cannot_be_decoded(spark):
+    good = wav(tune([3, 7, 10, 5, 12, 0, 3, 8, 1]))
+    wide = io.BytesIO()
+    with wave.open(wide, "wb") as f:
+        f.setnchannels(1), f.setsampwidth(3), f.setframerate(chroma.RATE)
+        f.writeframes(b"".join(int(x * 20_000 * 256).to_bytes(3, "little", signed=True) for x in tune([3, 7, 10, 5, 12, 0, 3, 8, 1]).clip(-1, 1)))
+    rows = [(1, b"no audio"), (2, good[:20]), (3, good), (4, b""), (5, wide.getvalue()), (6, good[: len(good) // 2])]
+    got = {x.media_id: x for x in chroma.search_recordings(spark.createDataFrame(rows, "media_id long, audio binary"), every=1).collect() if x.match_id is None}
+    assert [bool(got[i].reason) for i in range(1, 7)] == [True, True, False, True, False, False] and all(got[i].class_id == i for i in (1, 2, 3, 4, 6))
+    x, y = chroma.decode_wav(good), chroma.decode_wav(wide.getvalue())
+    assert np.abs(x - y).max() < 1e-3
+
+
 def test_integral_image_equals_sums():
     samples = tune([3, 7, 10, 5, 12, 0, 3, 8, 1])
     plane, got = chroma.chroma(samples), chroma.fingerprint(samples)
