@@ -6,9 +6,12 @@ can only be equal if the same place of both is chosen as their anchor: the leftm
 only those whose anchor gram occurs twice:
 
 1. documents are dealt to groups by a hash of their id (the one shuffle of the texts, reused below);
-2. each group sends its distinct anchor hashes; those that occur once in the corpus are dropped;
+2. each group sends its distinct anchor hashes; those that occur once in the corpus are dropped.  Grams that stand in
+   very many different contexts (a line that every document has) are hot: for these the groups send the hashes of the
+   strings around them, and strings that occur once are dropped;
 3. each group sorts the suffixes at its remaining anchors, settles those whose whole context is equal within the
-   group, cuts the rest into a run for each bucket of anchor grams and front-codes every run;
+   group, cuts the rest into a run for each bucket of anchor grams and front-codes every run.  At an anchor with a hot
+   gram, each remaining string goes to a bucket of its own, so no bucket has all contexts of the gram;
 4. a bucket merges its runs with a loser tree of (run, common prefix with the last suffix put out).  A comparison
    first looks at the two known common prefixes and reads characters, beyond them, only if they are equal.  What
    comes out is the sorted order with the exact common prefix of neighbours;
@@ -34,11 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import even_keys, id_and_text, parallelism, slices
+from .common import even_keys, id_and_text, parallelism, slices, trimmed
 from .shingles import mix
 
 WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM + 1  # grams in a string
+HOT = 20_000  # contexts of a gram from which on its strings are dealt out one by one
+GROUP_BYTES = 16 << 20  # of the scanned files, in a group of documents
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -53,6 +58,23 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+_POWERS = np.ones((2, 1), np.uint64)  # of an odd number and of its inverse
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; equal bytes have equal hashes."""
+    global _POWERS
+    if _POWERS.shape[1] <= len(raw):
+        odd = 0x9E3779B97F4A7C15
+        both = np.array([[odd], [pow(odd, -1, 1 << 64)]], np.uint64)
+        grown = np.ones((2, len(raw) + 1), np.uint64)
+        grown[:, 1:] = both
+        _POWERS = np.multiply.accumulate(grown, axis=1)
+    before = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _POWERS[0, : len(raw)], out=before[1:])
+    return mix((before[end] - before[start]) * _POWERS[1, start] + (end - start).astype(np.uint64))
+
+
 def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first and last start of the strings that choose it, hash of its gram) in texts laid end to end."""
     n = len(raw)
@@ -88,36 +110,53 @@ def group_texts(group: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return ids[order], [texts[i] for i in order.tolist()]
 
 
-def laid(texts: list[bytes], limit: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def laid(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, bytes, offsets) of runs of texts."""
     sizes = np.array([len(t) for t in texts], np.int64)
     for a, b in slices(sizes, limit):
         yield a, np.frombuffer(b"".join(texts[a:b]), np.uint8), np.concatenate([[0], np.cumsum(sizes[a:b])])
 
 
-HASHES = "bucket int, g int, hashes binary"
+HASHES = "bucket int, g int, strings boolean, hashes binary"
+HASH = [("bucket", pa.int32()), ("g", pa.int32()), ("strings", pa.bool_()), ("hashes", pa.binary())]
+CODE, CODES = np.uint64(5), np.uint64(31)  # low bits of a hash that is sent: how often a group has it
 
 
 def _anchor_hashes(buckets: int):
+    """The distinct hashes of a group's anchor grams; the low bits are 0 where the gram occurs once in the group, else one
+    more than the binary logarithm of its contexts."""
     keys = even_keys(buckets)
 
     def run(group: pa.Table) -> pa.Table:
         g = group.column("g")[0].as_py()
         _, texts = group_texts(group)
-        found = [anchors(raw, offsets)[3] for _, raw, offsets in laid(texts)]
-        hashes, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-        hashes = hashes << np.uint64(1) | (count > 1).astype(np.uint64)  # the lowest bit: twice in this group
-        bucket = _bucket(hashes >> np.uint64(1), buckets)
-        by = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        rows = [(keys[b], g, hashes[by[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()]
-        return _table(rows, [("bucket", pa.int32()), ("g", pa.int32()), ("hashes", pa.binary())])
+        found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]]
+        for _, raw, offsets in laid(texts):
+            _, lo, hi, gram = anchors(raw, offsets)
+            found[0].append(gram >> CODE)
+            found[1].append(span_hashes(raw, lo, hi + WINDOW))
+        gram, context = (np.concatenate(c) for c in found)
+        by = np.lexsort((context, gram))
+        gram, context = gram[by], context[by]
+        start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, len(gram)))
+        other = np.append(True, (gram[1:] != gram[:-1]) | (context[1:] != context[:-1]))[: len(gram)]
+        contexts = np.add.reduceat(other.astype(np.int64), start) if len(start) else count
+        code = np.where(count > 1, np.minimum(1 + np.log2(np.maximum(contexts, 1)).astype(np.uint64), CODES), np.uint64(0))
+        return _table(_by_bucket(gram[start] << CODE | code, buckets, keys, g, False), HASH)
 
     return run
 
 
-def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(gram & np.uint64(0x7FFFFFFFFFFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+def _by_bucket(sent: np.ndarray, buckets: int, keys: np.ndarray, g: int, strings: bool) -> list[tuple]:
+    bucket = _bucket(sent >> CODE, buckets)
+    by = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    return [(int(keys[b]), g, strings, sent[by[edge[b] : edge[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(edge)).tolist()]
+
+
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key) % np.uint64(buckets)).astype(np.int64)
 
 
 def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
@@ -125,24 +164,85 @@ def _table(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.Table
     return pa.table({name: pa.array(c, kind) for (name, kind), c in zip(fields, cols, strict=True)})
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group, which of the hashes it sent occur twice in the corpus."""
-    groups, parts = [], []
-    for batch in batches:
-        groups += batch.column(1).to_pylist()
-        parts += [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
-    if not parts:
-        return
-    every = np.sort(np.concatenate(parts) & ~np.uint64(1))
-    twice = every[1:][every[1:] == every[:-1]]
-    for g, part in zip(groups, parts, strict=True):
-        plain = part & ~np.uint64(1)
-        hit = part != plain
-        if len(twice):
-            at = np.minimum(np.searchsorted(twice, plain), len(twice) - 1)
-            hit = hit | (twice[at] == plain)
-        if hit.any():
-            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([(part[hit] >> np.uint64(1)).tobytes()], pa.binary())], names=["g", "hashes"])
+def _repeated(hot: int):
+    """For each group, which of the hashes it sent occur twice in the corpus; the lowest bit says that they stand in
+    ``hot`` contexts or more.  Rows that are not the last step's pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, parts, strings = [], [], False
+        for batch in batches:
+            for key, g, kind, hashes in zip(*(batch.column(c) for c in range(4)), strict=True):
+                if key.is_valid:
+                    groups.append(g.as_py())
+                    parts.append(np.frombuffer(hashes.as_buffer(), np.uint64))
+                    strings = kind.as_py()
+                else:
+                    yield _table([(None, g.as_py(), False, hashes.as_py())], HASH).to_batches()[0]
+        if not parts:
+            return
+        every = np.sort(np.concatenate(parts))
+        plain, code = every >> CODE, every & CODES
+        start = np.flatnonzero(np.append(True, plain[1:] != plain[:-1]))
+        times = np.add.reduceat(np.where(code > 0, np.uint64(1) << np.maximum(code, np.uint64(1)) - np.uint64(1), np.uint64(1)), start)
+        again = (np.diff(np.append(start, len(plain))) > 1) | (np.maximum.reduceat(code, start) > 0)
+        known = plain[start][again]
+        crowded = (times[again] >= hot).astype(np.uint64)
+        if not len(known):
+            return
+        for g, part in zip(groups, parts, strict=True):
+            at = np.minimum(np.searchsorted(known, part >> CODE), len(known) - 1)
+            hit = known[at] == part >> CODE
+            if hit.any():
+                yield _table([(None, g, strings, (known[at[hit]] << np.uint64(1) | crowded[at[hit]]).tobytes())], HASH).to_batches()[0]
+
+    return run
+
+
+def _marked_hashes(table: pa.Table, strings: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, whether it is hot) of what came back to a group, in order."""
+    sent = [np.frombuffer(h.as_buffer(), np.uint64) for h, kind in zip(table.column("hashes"), table.column("strings").to_pylist(), strict=True) if kind == strings]
+    every = np.sort(np.concatenate([np.zeros(0, np.uint64), *sent]))
+    return every >> np.uint64(1), every & np.uint64(1) == 1
+
+
+def _member(sorted_values: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each value would be, whether it is there)."""
+    if not len(sorted_values):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)
+    return at, sorted_values[at] == values
+
+
+def _string_hashes(buckets: int):
+    """What came back to a group, and the hashes of its strings around hot grams."""
+    keys = even_keys(buckets)
+
+    def run(group: pa.Table, repeated: pa.Table) -> pa.Table:
+        if not group.num_rows or not repeated.num_rows:
+            return _table([], HASH)
+        g = group.column("g")[0].as_py()
+        rows = [(None, g, False, h) for h in repeated.column("hashes").to_pylist()]
+        known, hot = _marked_hashes(repeated, False)
+        if hot.any():
+            _, texts = group_texts(group)
+            found = [np.zeros(0, np.uint64)]
+            for _, raw, offsets in laid(texts):
+                _, lo, hi, gram = anchors(raw, offsets)
+                at, there = _member(known[hot], gram >> CODE)
+                _, start = _strings(lo[there], hi[there])
+                found.append(span_hashes(raw, start, start + WINDOW) >> CODE)
+            string, count = np.unique(np.concatenate(found), return_counts=True)
+            rows += _by_bucket(string << CODE | (count > 1).astype(np.uint64), buckets, keys, g, True)
+        return _table(rows, HASH)
+
+    return run
+
+
+def _strings(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the anchor, start) of every string of some anchors."""
+    size = hi - lo + 1
+    index = np.repeat(np.arange(len(lo)), size)
+    return index, np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
 
 
 RUN = [("bucket", pa.int32()), ("g", pa.int32()), ("lcp", pa.binary()), ("rest", pa.binary()), ("rest_len", pa.binary()), ("left", pa.binary()), ("left_len", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()), ("marks", pa.binary())]
@@ -177,17 +277,26 @@ def _runs(buckets: int):
             return _table([], RUN)
         g = group.column("g")[0].as_py()
         ids, texts = group_texts(group)
-        wanted = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in repeated.column("hashes").combine_chunks()]))
-        suffixes: list[tuple] = []  # right context, left context reversed, document, place, bucket
+        wanted, hot = _marked_hashes(repeated, False)
+        strings, _ = _marked_hashes(repeated, True)
+        suffixes: list[tuple] = []  # bucket, right context, left context reversed, document, place
         for base, raw, offsets in laid(texts):
             at, lo, hi, gram = anchors(raw, offsets)
-            gram = gram & np.uint64(0x7FFFFFFFFFFFFFFF)
-            where = np.minimum(np.searchsorted(wanted, gram), len(wanted) - 1)
-            keep = wanted[where] == gram
-            at, lo, hi, gram = at[keep], lo[keep], hi[keep], gram[keep]
+            key = gram >> CODE
+            where, keep = _member(wanted, key)
+            if hot.any():
+                crowd = np.flatnonzero(keep & hot[where])
+                keep[crowd] = False
+                index, start = _strings(lo[crowd], hi[crowd])
+                own = span_hashes(raw, start, start + WINDOW) >> CODE
+                again = _member(strings, own)[1]
+                index, start, own = crowd[index[again]], start[again], own[again]
+                at, lo, hi, key = np.append(at[keep], at[index]), np.append(lo[keep], start), np.append(hi[keep], start), np.append(key[keep], own)
+            else:
+                at, lo, hi, key = at[keep], lo[keep], hi[keep], key[keep]
             text, back = raw.tobytes(), raw[::-1].tobytes()
             n, doc = len(raw), np.searchsorted(offsets, at, "right") - 1
-            place, bucket = (at - offsets[doc]).tolist(), _bucket(gram, buckets).tolist()
+            place, bucket = (at - offsets[doc]).tolist(), _bucket(key, buckets).tolist()
             suffixes += [(b, text[a : h + WINDOW], back[n - a : n - s], d, p) for b, a, s, h, d, p in zip(bucket, at.tolist(), lo.tolist(), hi.tolist(), (doc + base).tolist(), place, strict=True)]
         suffixes.sort()
         rows, marks, part, before = [], [], [], None
@@ -403,25 +512,34 @@ def _digest(group: pa.Table, marks: pa.Table) -> pa.Table:
     return _table(rows, DIGEST)
 
 
+def _groups(docs: DataFrame) -> int:
+    """Enough groups that none holds more than ``GROUP_BYTES`` of the scanned files."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    size = sum(x for x in sizes if x < 1 << 60)  # what is no table of files has no size
+    return max(4 * parallelism(docs.sparkSession), -(-size // GROUP_BYTES))
+
+
 def _grouped(docs: DataFrame) -> DataFrame:
-    groups = 4 * parallelism(docs.sparkSession)
     rows = id_and_text(docs).where("doc_id is not null")
-    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+    return rows.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(_groups(docs))).cast("int"))
 
 
-def _marked(grouped: DataFrame) -> DataFrame:
+def _marked(grouped: DataFrame, groups: int) -> DataFrame:
     """(g, marks): in each group, (text, start, end) of marked bytes; texts in the order of ``group_texts``."""
-    width = buckets = parallelism(grouped.sparkSession)
+    width = buckets = max(parallelism(grouped.sparkSession), groups // 4)
     hashes = grouped.groupBy("g").applyInArrow(_anchor_hashes(buckets), HASHES)
-    repeated = hashes.repartition(width, "bucket").mapInArrow(_repeated, "g int, hashes binary")
+    repeated = hashes.repartition(width, "bucket").mapInArrow(trimmed(_repeated(HOT)), HASHES)
+    finer = grouped.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(_string_hashes(buckets), HASHES)
+    repeated = finer.repartition(width, F.coalesce("bucket", "g")).mapInArrow(trimmed(_repeated(1 << 62)), HASHES)
     runs = grouped.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(_runs(buckets), RUNS)
-    return runs.repartition(width, "bucket").mapInArrow(_mark, "g int, marks binary")
+    return runs.repartition(width, "bucket").mapInArrow(trimmed(_mark), "g int, marks binary")
 
 
 def suffix_dedup_digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     grouped = _grouped(docs)
-    marks = _marked(grouped)
+    marks = _marked(grouped, _groups(docs))
     return grouped.groupBy("g").cogroup(marks.groupBy("g")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -433,7 +551,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(0).alias("_none"))
-    groups = 4 * parallelism(docs.sparkSession)
+    groups = _groups(docs)
     grouped = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int").alias("g"), F.col("text").isNull().alias("was_null"), rest.alias("rest")
     )
@@ -449,7 +567,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
         return group.set_column(group.column_names.index("text"), "text", pa.array(new, group.schema.field("text").type)).select(["doc_id", "text", "was_null", "rest"])
 
     schema = grouped.select("doc_id", "text", "was_null", "rest").schema
-    done = grouped.groupBy("g").cogroup(_marked(grouped).groupBy("g")).applyInArrow(run, schema)
+    done = grouped.groupBy("g").cogroup(_marked(grouped, groups).groupBy("g")).applyInArrow(run, schema)
     kind = dict(docs.dtypes)
     text = F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("text"))
     value = {"doc_id": F.col("doc_id").cast(kind["doc_id"]), "text": text}

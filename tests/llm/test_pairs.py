@@ -4,9 +4,11 @@ import hashlib
 import io
 import random
 import wave
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,8 +230,9 @@ def repetitive(seed):
     return rows + [(300, "z" * 99), (301, "z" * 99), (302, base[0]), (303, base[0]), (7, base[0]), (7, base[1] + base[0])]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_suffix_dedup_equals_brute_force(spark, partitions, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 20_000), (2, 20_000), (3, 2), (4, 8)])
+def test_suffix_dedup_equals_brute_force(spark, partitions, monkeypatch, seed, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)  # 2: nearly all grams count as hot
     rows = repetitive(seed)
     for got in partitions(lambda: sorted(tuple(x) for x in suffix_dedup.suffix_dedup_digests(frame(spark, rows)).collect())):
         assert got == brute_dedup(rows)
@@ -240,6 +243,42 @@ def test_suffix_dedup_equals_brute_force(spark, partitions, seed):
     assert plan.count("ReusedExchange") >= 2  # the texts are shuffled once
 
 
+def test_suffix_dedup_deals_out_hot_grams(spark, monkeypatch):
+    """Lines of 40 and 90 bytes, in no two documents in the same context, and one of 130: no bucket gets all contexts."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 300)
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    lines = [word(40), word(90), word(130)]
+    rows = [(i, word(150) + lines[i % 3] + word(150)) for i in range(6_000)]
+    docs = frame(spark, rows)
+    got = sorted(tuple(x) for x in suffix_dedup.suffix_dedup_digests(docs).collect())
+    assert got == brute_dedup(rows)
+    assert sum(x[2] > 0 for x in got) == 1_999
+    group = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows], "g": pa.array([0] * len(rows), pa.int32())})
+    sent = suffix_dedup._anchor_hashes(4)(group)
+    back = lambda table, hot: pa.Table.from_batches([b for b in suffix_dedup._repeated(hot)(iter(table.to_batches()))] or table.slice(0, 0).to_batches(), suffix_dedup._table([], suffix_dedup.HASH).schema)
+    finer = back(suffix_dedup._string_hashes(4)(group, back(sent, 300)), 1 << 62)
+
+    def contexts(repeated):
+        """How many suffixes share a gram, at most."""
+        found = Counter()
+        for row in suffix_dedup._runs(4)(group, repeated).to_pylist():
+            if row["lcp"]:
+                run = suffix_dedup.Run(row["lcp"], row["rest"], row["rest_len"])
+                while run.advance() >= 0:
+                    found[run.now[:32]] += 1
+        return max(found.values())
+
+    assert contexts(finer) < 600 and contexts(back(sent, 1 << 40)) > 1_200  # hot is estimated within a factor of two
+
+
+def test_span_hashes():
+    raw = np.frombuffer(b"abcabcabx" * 3, np.uint8)
+    start, end = np.array([0, 3, 9, 0, 2]), np.array([3, 6, 12, 4, 2])
+    h = suffix_dedup.span_hashes(raw, start, end)
+    assert h[0] == h[1] == h[2] and len(set(h.tolist())) == 3
+
+
 def test_merge_never_compares_known_prefixes():
     r = random.Random(6)
     runs = [sorted(bytes(r.choice(b"ab") for _ in range(r.randint(1, 30))) for _ in range(r.randint(0, 40))) for _ in range(11)]
