@@ -43,7 +43,7 @@ from .shingles import mix
 WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM + 1  # grams in a string
 HOT = 20_000  # contexts of a gram from which on its strings are dealt out one by one
-GROUP_BYTES = 16 << 20  # of the scanned files, in a group of documents
+GROUP_BYTES = 8 << 20  # of the scanned files, in a group of documents
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -221,8 +221,8 @@ def _string_hashes(buckets: int):
         if not group.num_rows or not repeated.num_rows:
             return _table([], HASH)
         g = group.column("g")[0].as_py()
-        rows = [(None, g, False, h) for h in repeated.column("hashes").to_pylist()]
         known, hot = _marked_hashes(repeated, False)
+        rows: list[tuple] = [(None, g, False, (known << np.uint64(1) | hot.astype(np.uint64)).tobytes())]
         if hot.any():
             _, texts = group_texts(group)
             found = [np.zeros(0, np.uint64)]
@@ -517,7 +517,7 @@ def _groups(docs: DataFrame) -> int:
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
     size = sum(x for x in sizes if x < 1 << 60)  # what is no table of files has no size
-    return max(4 * parallelism(docs.sparkSession), -(-size // GROUP_BYTES))
+    return max(2 * parallelism(docs.sparkSession), -(-size // GROUP_BYTES))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -527,7 +527,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
 def _marked(grouped: DataFrame, groups: int) -> DataFrame:
     """(g, marks): in each group, (text, start, end) of marked bytes; texts in the order of ``group_texts``."""
-    width = buckets = max(parallelism(grouped.sparkSession), groups // 4)
+    width = buckets = max(parallelism(grouped.sparkSession), groups // 4)  # a group sends a row to each bucket at most
     hashes = grouped.groupBy("g").applyInArrow(_anchor_hashes(buckets), HASHES)
     repeated = hashes.repartition(width, "bucket").mapInArrow(trimmed(_repeated(HOT)), HASHES)
     finer = grouped.groupBy("g").cogroup(repeated.groupBy("g")).applyInArrow(_string_hashes(buckets), HASHES)

@@ -269,7 +269,8 @@ def test_suffix_dedup_deals_out_hot_grams(spark, monkeypatch):
                     found[run.now[:32]] += 1
         return max(found.values())
 
-    assert contexts(finer) < 600 and contexts(back(sent, 1 << 40)) > 1_200  # hot is estimated within a factor of two
+    # what is left of a hot gram are strings that do repeat, in a bucket of their own each
+    assert contexts(finer) < 800 and contexts(back(sent, 1 << 40)) > 1_900
 
 
 def test_span_hashes():
