@@ -110,8 +110,8 @@ def group_texts(group: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     return ids[order], [texts[i] for i in order.tolist()]
 
 
-def laid(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(index of the first text, bytes, offsets) of runs of texts."""
+def laid(texts: list[bytes], limit: int = 100_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, bytes, offsets) of runs of texts, short enough to stay in a cache."""
     sizes = np.array([len(t) for t in texts], np.int64)
     for a, b in slices(sizes, limit):
         yield a, np.frombuffer(b"".join(texts[a:b]), np.uint8), np.concatenate([[0], np.cumsum(sizes[a:b])])
@@ -517,7 +517,7 @@ def _groups(docs: DataFrame) -> int:
     leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
     size = sum(x for x in sizes if x < 1 << 60)  # what is no table of files has no size
-    return max(2 * parallelism(docs.sparkSession), -(-size // GROUP_BYTES))
+    return max(3 * parallelism(docs.sparkSession), -(-size // GROUP_BYTES))
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
