@@ -52,7 +52,7 @@ CHUNK = 400_000  # entries of crowded lists in a row
 BAND = 1.34  # sizes of documents that link differ by less than this factor
 
 
-def document_sets(batches: Iterator[pa.RecordBatch], k: int, limit: int = 1_000_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def document_sets(batches: Iterator[pa.RecordBatch], k: int, limit: int = 200_000) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         raw, offsets = column_bytes(batch.column(1))
