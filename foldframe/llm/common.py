@@ -24,9 +24,17 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Other columns of ``docs``, whatever their names, never reach the operator.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Whole texts go to Python in batches of few rows, which JVM and worker both hold; a session's own choice stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":  # Spark's default
+        spark.conf.set(name, str(rows))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
