@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, trimmed
 from .shingles import mix
 
 RATE, FRAME, HOP = 4_000, 1_024, 256
@@ -161,7 +161,7 @@ def fingerprints(media: DataFrame, decode: Callable = decode_wav, id_col: str =
                 sig = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little", signed=True) if p else None for p in prints]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sig, pa.int64()), pa.array(prints, pa.binary()), pa.array(reason, pa.string())], names=["media_id", "sig", "prints", "reason"])
 
-    return rows.mapInArrow(run, "media_id long, sig long, prints binary, reason string")
+    return rows.mapInArrow(trimmed(run), "media_id long, sig long, prints binary, reason string")
 
 
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -244,12 +244,12 @@ def aligned_classes(prints: DataFrame, asked: DataFrame, least: int = 40, most:
     wanted = member.join(asked.select("media_id").distinct(), "media_id", "left_semi").select("class_id").distinct()
     single = prints.where("sig is not null").select(F.col("media_id").alias("class_id"), "prints").join(member.where("media_id = class_id").select("class_id").distinct(), "class_id", "left_semi").dropDuplicates(["class_id"])
     single = checkpointed(single.join(wanted.withColumn("asked", F.lit(True)), "class_id", "left").select("class_id", F.coalesce("asked", F.lit(False)).alias("asked"), "prints"))
-    keyed = lambda rows, asked, name: rows.select("class_id", F.lit(asked).alias("asked"), "prints").mapInArrow(_keys, "key long, id long, at int").select("key", F.col("id").alias(name), F.col("at").alias(f"{name}_at"))
+    keyed = lambda rows, asked, name: rows.select("class_id", F.lit(asked).alias("asked"), "prints").mapInArrow(trimmed(_keys), "key long, id long, at int").select("key", F.col("id").alias(name), F.col("at").alias(f"{name}_at"))
     q, m = keyed(single.where("asked"), True, "q"), keyed(single, False, "m")
     met = q.join(m, (q.key == m.key) & (F.col("q") != F.col("m"))).select("q", "m", (F.col("q_at") - F.col("m_at")).alias("offset"))
     bins = checkpointed(met.groupBy("q", "m", "offset").agg(F.count("*").alias("hits")))
     both = bins.join(single.where("asked").select(F.col("class_id").alias("q"), F.col("prints").alias("x")), "q").join(single.select(F.col("class_id").alias("m"), F.col("prints").alias("y")), "m").select("q", "m", "offset", "x", "y")
-    found = both.mapInArrow(_bit_errors(least, most), "class_id long, match_id long, offset int, bit_error_rate double")
+    found = both.mapInArrow(trimmed(_bit_errors(least, most)), "class_id long, match_id long, offset int, bit_error_rate double")
     return member, found.groupBy("class_id", "match_id").agg(F.min(F.struct("bit_error_rate", F.abs("offset").alias("far"), "offset")).alias("b")).select("class_id", "match_id", "b.offset", "b.bit_error_rate")
 
 

@@ -12,7 +12,7 @@ of the window) it is above 0.9999.  For each template met, the window and half a
 compared with the template's whole shingle set; containment of at least ``least`` is a match.
 
 Cases: null and empty texts and texts of fewer than ``k`` words match nothing; texts of any length are read whole;
-repeated rows give repeated matches; of equal windows the first is reported; an empty table gives an empty result;
+rows of one id are one document, so repeated rows give one match; of equal windows the first is reported; an empty table gives an empty result;
 columns other than id and text are ignored.
 """
 

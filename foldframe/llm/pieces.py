@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import id_and_text, slices, trimmed
 
 MARK = "▁"
 FAR = np.int64(1) << 40
@@ -217,7 +217,7 @@ class PieceModel:
         """The model's own normalisation: a word mark before the text and for each space."""
         return MARK + text.replace(" ", MARK) if text else ""
 
-    def encode_texts(self, texts: list[str], room: int = 300_000) -> list[bytes]:
+    def encode_texts(self, texts: list[str], room: int = 200_000) -> list[bytes]:
         """Ids of whole texts with begin and end ids, as little-endian 32-bit integers."""
         cut = [self.segment.findall(self.normalized(t)) for t in texts]
         cache = self.cache
@@ -234,15 +234,17 @@ class PieceModel:
         return out
 
     def agree(self, segments: list[str], texts: list[str], encoded: list[bytes]) -> bool:
-        """Does the library give the same ids for these whole texts, and for the segments (in one text) that begin with
-        a word mark and are not all marks?  Other segments are checked only where the texts hold them."""
+        """Does the library give the same ids for these whole texts, and for the segments in one text: those that begin a
+        word one after the other, all others but line feeds each behind a line feed?"""
         same = all(self.library.encode(t, add_bos=True, add_eos=True) == np.frombuffer(e, "<u4").tolist() for t, e in zip(texts, encoded, strict=True))
         if same and self.cuts and segments:
-            feed = [self.byte_ids[10]]
-            own = [s for s in segments if s[0] == MARK and s != MARK * len(s)]  # each starts a word, so they can follow each other
-            got = self.library.encode("\n" + "".join(own).replace(MARK, " "))
-            lead = self.library.encode("\n")[:-1]
-            same = np.array_equal(np.array(got, np.int64), np.concatenate([np.array([*lead, *feed], np.int64), np.frombuffer(b"".join(map(self.cache.__getitem__, own)), "<u4").astype(np.int64)]))
+            words = [s for s in segments if s[0] == MARK and s != MARK * len(s)]
+            lines = [s for s in segments if "\n" not in s and (s[0] != MARK or s == MARK * len(s))]
+            feed = np.array([self.byte_ids[10]], "<u4").tobytes()
+            got = self.library.encode("\n" + "".join(words + ["\n" + s for s in lines]).replace(MARK, " "))
+            lead = np.array(self.library.encode("\n")[:-1], "<u4").tobytes()
+            want = b"".join([lead, feed, *map(self.cache.__getitem__, words), *(feed + self.cache[s] for s in lines)])
+            same = np.array(got, "<u4").tobytes() == want
         return same
 
     def decode_ids(self, ids: Iterable[int]) -> str:
@@ -297,7 +299,7 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                 arrays.append(pa.array([model.decode_ids(np.frombuffer(e, "<u4").tolist()) for e in encoded], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"][: len(arrays)])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(trimmed(run), schema)
 
 
 def encoded_slices(model: PieceModel, batches: Iterator[pa.RecordBatch], slice_bytes: int) -> Iterator[tuple[pa.Array, list[bytes]]]:
@@ -325,4 +327,4 @@ def piece_digests(docs: DataFrame, model_path: str, slice_bytes: int = 2_000_000
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_and_text(docs).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -9,7 +9,8 @@ Training (Adam, on the driver) sees only a bounded sample of labelled rows outsi
 ``per_class`` bounds it.  Scoring is a map without a shuffle.
 
 Cases: a null or empty text is scored as a text without bytes (padding only); texts of any length are covered
-whole; equal texts get equal scores; an empty table gives an empty result; without labels of both classes every
+whole; scores have six places; equal texts get equal scores; without an id held_out is null; an empty table gives an
+empty result; without labels of both classes every
 score is the share of class 1 (0.5 if there are none).
 """
 
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, fold, id_and_text, slices
+from .common import column_bytes, fold, id_and_text, slices, small_batches, trimmed
 from .samples import class_weights, labelled_sample
 
 WIDTH, STRIDE, BLOCK = 9, 3, 48
@@ -183,7 +184,7 @@ def scores_of(model: ByteNet, texts: pa.Array, slice_bytes: int = 1_000_000) ->
     """Scores of whole texts; memory is bounded by the slice (and one text)."""
     raw, offsets = column_bytes(texts)
     parts = [model.score(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in slices(np.diff(offsets), slice_bytes)]
-    return np.concatenate(parts) if parts else np.zeros(0)
+    return np.round(np.concatenate(parts), 6) if parts else np.zeros(0)  # what lies beyond depends on the slice
 
 
 def quality_scores(docs: DataFrame, model: ByteNet, folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
@@ -194,7 +195,7 @@ def quality_scores(docs: DataFrame, model: ByteNet, folds: int = 5, held: int =
             score = scores_of(model, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
-    scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+    scored = id_and_text(docs).mapInArrow(trimmed(run), "doc_id long, score double")
     return with_fold(scored, folds, held, threshold)
 
 
@@ -212,7 +213,8 @@ def keep_quality(docs: DataFrame, model: ByteNet, threshold: float = 0.3, text_c
             text = pc.fill_null(batch.column(at), "")
             yield batch.filter(pa.array(scores_of(model, text) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 __all__ = ["ByteNet", "fold", "keep_quality", "quality_scores", "train_quality"]

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import even_keys, id_and_text, parallelism, slices, trimmed
+from .common import even_keys, id_and_text, parallelism, slices, small_batches, trimmed
 from .shingles import mix
 
 WINDOW, GRAM = 100, 32
@@ -551,6 +551,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(0).alias("_none"))
+    small_batches(docs.sparkSession)
     groups = _groups(docs)
     grouped = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(groups)).cast("int").alias("g"), F.col("text").isNull().alias("was_null"), rest.alias("rest")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, slices
+from .common import id_and_text, slices, trimmed
 
 
 @lru_cache(maxsize=2)
@@ -82,4 +82,4 @@ def section_token_counts(docs: DataFrame, vocabulary: str, pattern: str, id_col:
                 flat = [pa.array([x for v in cols[0] for x in v], pa.int64()), pa.array(np.concatenate(cols[1]).astype(np.int32)), *(pa.array(np.concatenate(c).astype(np.int64)) for c in cols[2:])]
                 yield pa.RecordBatch.from_arrays(flat, names=["doc_id", "section", "start", "end", "n_tokens", "doc_tokens"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(trimmed(run), schema)

@@ -10,7 +10,7 @@ Training (on the driver) sees a bounded sample of labelled rows outside the held
 class at most); labels, lang, source and doc_id are never inputs of a score.  Scoring is a map without a shuffle.
 
 Cases: a null or empty text has all features 0 and still gets a score; texts of any length are read whole; equal
-texts get equal scores; an empty table gives an empty result; without labels of both classes every score is the
+texts get equal scores; without an id held_out is null; an empty table gives an empty result; without labels of both classes every score is the
 share of class 1 (0.5 if there are none).
 """
 
@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import id_and_text, trimmed
 from .quality import with_fold
 from .samples import class_weights, labelled_sample
 
@@ -236,4 +236,4 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, folds: int = 3, held:
             parts = [model.score(batch.column(1).slice(a, 500).to_pylist()) for a in range(0, batch.num_rows, 500)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=["doc_id", "score"])
 
-    return with_fold(id_and_text(docs).mapInArrow(run, "doc_id long, score double"), folds, held, threshold)
+    return with_fold(id_and_text(docs).mapInArrow(trimmed(run), "doc_id long, score double"), folds, held, threshold)

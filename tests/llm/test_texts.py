@@ -246,3 +246,75 @@ def test_lightly_edited_passage_is_contamination(spark, tmp_path):
     spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [(x.doc_id, x.item_id, x.distance) for x in QUERIES["op10_decontamination"](spark, str(tmp_path)).collect()] == [(1, 7, 9)]
     assert [x.doc_id for x in corpus_pipeline.contamination(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_sections_of_odd_tables(spark):
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = spark.createDataFrame([(1, "a b\nc", 9, "x"), (1, "a b\nc", 9, "x"), (2, None, 8, "y"), (None, "z", 7, "w")], "doc_id long, text string, section int, start string")
+    got = sorted((str(x.doc_id), x.section, x.start, x.end, x.n_tokens) for x in token_counts.section_token_counts(docs, path, pattern).collect())
+    once = [("1", 0, 0, 4), ("1", 1, 4, 5)]
+    assert [g[:4] for g in got] == sorted([*once, *once, ("2", 0, 0, 0), ("None", 0, 0, 1)])
+    assert token_counts.section_token_counts(docs.where("false"), path, pattern).count() == 0
+
+
+def test_licenses_of_repeated_rows(spark):
+    text = "we say: " + licenses.TEMPLATES["GPL-3.0-notice"]
+    docs = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, "nothing of the kind is said here", 1), (3, text * 2, 1)], "doc_id long, text string, template int")
+    got = [(x.doc_id, x.template) for x in licenses.license_matches(docs).collect()]
+    assert sorted(got) == [(1, "GPL-3.0-notice"), (3, "GPL-3.0-notice")]
+
+
+def test_scores_of_odd_tables(spark):
+    """No rows, no ids, no texts: scores are defined, and without an id there is no fold."""
+    rows = labelled(300)
+    texts, y = [t for _, t, _, _ in rows], np.array([q for _, _, q, _ in rows])
+    network = quality.ByteNet().fit([t.encode() for t in texts], y, float(y.mean()))
+    model = toxicity.ToxicityModel().fit(texts, np.array([t for *_, t in rows]), 0.2)
+    docs = spark.createDataFrame([(None, "a river", 1), (1, None, 2), (1, None, 2), (2, "", 3), (3, "long " * 20_000, 4)], "doc_id long, text string, score int")
+    for scored in (quality.quality_scores(docs, network), toxicity.toxicity_scores(docs, model)):
+        found = scored.collect()
+        assert len(found) == 5 and all(0 <= x.score <= 1 and x.predicted in (0, 1) for x in found)
+        assert [x.held_out for x in found if x.doc_id is None] == [None] and len({x.score for x in found if x.doc_id in (1, 2)}) == 1
+    assert quality.quality_scores(docs.where("false"), network).count() == toxicity.toxicity_scores(docs.where("false"), model).count() == 0
+
+
+def test_toxicity_features_by_hand():
+    lexicon = toxicity.Lexicon()
+    word = sorted(w for w in lexicon.words if w.isalpha() and len(w) > 3)[0]
+    text = f"you are a {word.upper()}!"
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon), strict=True))
+    values = list(got.values())
+    assert len(values) == 17 and values[0] == 1 / 4 and abs(values[1] - np.log(2)) < 1e-6 and values[4] == 1
+    assert abs(values[5] - 1 / (1 + 3)) < 1e-6 and values[6] == 1 / 4  # "you" stands three words before
+    assert abs(values[7] - len(word) / len(text)) < 1e-6 and values[8] == 1 / 4  # capitals, and words in capitals
+    assert abs(values[14] - np.log(5)) < 1e-6 and abs(values[15] - (3 + 3 + 1 + len(word)) / 4) < 1e-6
+    assert toxicity.features("", lexicon) == [0.0] * 17
+
+
+def test_decontamination_ties(spark):
+    """Of two places of equal distance the first is reported; the window filter never loses a match."""
+    item = "the quick brown fox jumps over the lazy dog near the old river bank today"
+    wrong = item.replace("brown", "brawn")
+    items = spark.createDataFrame([(5, item), (5, item)], "item_id long, text string")
+    got = decontam.benchmark_matches(frame(spark, [f"xx {wrong} yy {wrong} zz", f"{wrong} {item}"]), items, error_rate=0.1).collect()
+    assert {(x.doc_id, x.item_id, x.distance, x.start) for x in got} == {(0, 5, 1, 3), (1, 5, 0, len(wrong) + 1)}
+    r = random.Random(3)
+    for _ in range(200):
+        n = r.randint(20, 120)
+        text = "".join(r.choice("abcd ") for _ in range(n))
+        k = max(1, n // 10)
+        assert decontam.worth_verifying(text, k, "zz" + edit(text, k, r) + "zz")
+
+
+def test_pieces_check_every_segment(spark):
+    """A wrong id of any segment is seen, be it a word, the start of a line or a run of blanks."""
+    model = pieces.piece_model(piece_model_path())
+    for text, segment in (("a bee\nsees", "sees"), ("a bee\nsees", "▁bee"), ("x\n   \ny", "▁▁▁")):
+        model.cache.clear()
+        model.encode_texts(["fine", text])
+        assert segment in model.cache and model.agree([segment], [], [])
+        model.cache[segment] = np.array([17], "<u4").tobytes()
+        assert not model.agree([segment], [], [])
+    model.cache.clear()
