@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import dataset, embeddings, features, matching, rows, training
 from .sources import readers, writers
+from .sources.shared import checkpointed, scratch
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -29,8 +30,8 @@ def build_parser() -> argparse.ArgumentParser:
         return p
 
     command("import-dyna1-labels", "Import labels with strict entity matching", "label-zip", "manifest", "out-labels", "out-qc", min_label_coverage=0.9, min_identity=0.9, include_unsuppressed=False)
-    command("extract-sidechain-features", "Extract residue features from structures", "manifest", "out", pdb_root=None, out_qc=None, limit=(int, None), checkpoint_every=100, resume=False)
-    command("augment-dssp-sasa", "Add secondary structure and areas to a feature table", "features", "manifest", "out", pdb_root=None, out_qc=None, checkpoint_every=100)
+    command("extract-sidechain-features", "Extract residue features from structures", "manifest", "out", pdb_root=None, out_qc=None, limit=(int, None), checkpoint_every=100_000, resume=False)
+    command("augment-dssp-sasa", "Add secondary structure and areas to a feature table", "features", "manifest", "out", pdb_root=None, out_qc=None)
     command("extract-esm2-embeddings", "Pre-extract frozen embeddings", "manifest", "out-dir", model_name=embeddings.MODEL, layer=embeddings.LAYER, limit=(int, None), start=(int, None), count=(int, None), shard_index=(int, None), num_shards=(int, None), resume=False)
     command("build-dataset", "Join labels to feature rows", "features", "labels", "out")
     command("make-splits", "Cluster-level splits", "manifest", "out", cluster_tsv=None, eval_ids=None, min_seq_id=0.3, val_fraction=0.1, test_fraction=0.1, seed=13, work_dir="data/mmseqs")
@@ -45,13 +46,36 @@ def _indexed(spark: SparkSession, path: str) -> DataFrame:
     return rows.dense_index(readers.read_manifest(spark, path), ["ord"])
 
 
-def _structures(spark: SparkSession, manifest: DataFrame, path: str, root: str | None) -> tuple[DataFrame, DataFrame]:
-    """(manifest with resolved paths, lines of the files that exist)."""
+def _structures(manifest: DataFrame, path: str, root: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifest with resolved paths, lines of the files that it names, ids of these files)."""
     base = os.path.dirname(os.path.abspath(path))
-    folder = os.path.abspath(root) if root else base
-    lines = readers.read_structures(spark, f"{folder}/*.pdb")
-    existing = lines.select("structure_id").distinct()
-    return readers.resolve_structure_paths(manifest, base, folder if root else None, existing), lines
+    folder = os.path.abspath(root) if root else None
+    files = readers.existing_files(readers.structure_places(manifest, base, folder))
+    return readers.resolve_structure_paths(manifest, base, folder, files), readers.read_named_structures(files), files
+
+
+def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rows of ``checkpoint_every`` proteins are committed at a time, features before their QC.
+
+    Resuming goes on from the QC (proteins without structure are in no other table), and features that were committed
+    without their QC are not written again.  Without a QC table the feature table says what is done.
+    """
+    pending = rows.select_rows(_indexed(spark, a.manifest), "row_index", limit=a.limit)
+    done = next((p for p in (a.out_qc, a.out) if p and os.path.exists(p)), None) if a.resume else None
+    if done:
+        pending = rows.resume(pending, readers.read_table(spark, done), "protein_id")
+    before = readers.read_table(spark, a.out) if a.resume and os.path.exists(a.out) else None
+    chunk = F.floor(F.col("row_index") / (a.checkpoint_every if a.checkpoint_every > 0 else 2**62))
+    pending = checkpointed(pending.withColumn("_chunk", chunk))
+    append = a.resume
+    for (k,) in pending.select("_chunk").distinct().orderBy("_chunk").collect() or [(0,)]:
+        with scratch(spark):
+            part, lines, files = _structures(pending.where(F.col("_chunk") == k).drop("_chunk"), a.manifest, a.pdb_root)
+            found, qc = features.extract_features(part, lines, files=files)
+            writers.write_table(found if before is None else rows.resume(found, before, "protein_id"), a.out, append=append)
+            if a.out_qc:
+                writers.write_table(qc, a.out_qc, append=append)
+        append = True
 
 
 def _embeddings(spark: SparkSession, index: str | None) -> DataFrame | None:
@@ -68,15 +92,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, encod
         writers.write_table(qc, a.out_qc)
         writers.write_json(os.path.splitext(a.out_qc)[0] + ".schema.json", writers.label_schema(a.label_zip, a.min_label_coverage, a.min_identity))
     elif a.command == "extract-sidechain-features":
-        manifest = rows.select_rows(_indexed(spark, a.manifest), "row_index", limit=a.limit)
-        if a.resume and os.path.exists(a.out):
-            manifest = rows.resume(manifest, read(a.out), "protein_id")
-        found, qc = features.extract_features(*_structures(spark, manifest, a.manifest, a.pdb_root))
-        writers.write_table(found, a.out, append=a.resume)
-        if a.out_qc:
-            writers.write_table(qc, a.out_qc, append=a.resume)
+        _extract(spark, a)
     elif a.command == "augment-dssp-sasa":
-        found, qc = features.augment_features(read(a.features), *_structures(spark, readers.read_manifest(spark, a.manifest), a.manifest, a.pdb_root))
+        manifest, lines, files = _structures(readers.read_manifest(spark, a.manifest), a.manifest, a.pdb_root)
+        found, qc = features.augment_features(read(a.features), manifest, lines, files=files)
         writers.write_table(found, a.out)
         if a.out_qc:
             writers.write_table(qc, a.out_qc)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chemistry import chemical_class
 from ..functions.sequences import clean_sequence, entity_after_marker, in_tag, render_tags
 from ..schemas import AUGMENT_QC_COLUMNS, EXTRACT_QC_COLUMNS, as_features, only, require_columns
+from ..sources.shared import checkpointed
 from .align import evaluate_alignments
 from .rows import one_per_key
 from .sasa import residue_areas
@@ -30,9 +31,9 @@ def with_protein(manifest: DataFrame) -> DataFrame:
 
 
 def atoms_and_residues(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    atoms = parse_atoms(lines)
-    residues = residues_of(atoms)
-    return atoms.join(residues.select("structure_id", "chain", "resseq", "icode", "residue", "aa"), ["structure_id", "chain", "resseq", "icode"]), residues
+    """(atoms with their residue, residues), both read from one table: the text is parsed once for all features."""
+    residues = checkpointed(residues_of(parse_atoms(lines)))
+    return residues.select("structure_id", "chain", "resseq", "icode", "resname", "residue", "aa", F.explode("atoms").alias("_a")).select("*", "_a.*").drop("_a"), residues
 
 
 def residue_features(atoms: DataFrame, residues: DataFrame, sasa: bool = True, dssp: Backend | None = None) -> DataFrame:
@@ -49,16 +50,16 @@ def residue_features(atoms: DataFrame, residues: DataFrame, sasa: bool = True, d
     return df.withColumn("dssp", F.lit(None).cast("string")).withColumn("dssp_mask", F.lit(0))
 
 
-def extract_features(manifest: DataFrame, lines: DataFrame, sasa: bool = True, dssp: Backend | None = None, min_coverage: float = 0.9, min_identity: float = 0.9) -> tuple[DataFrame, DataFrame]:
+def extract_features(manifest: DataFrame, lines: DataFrame, sasa: bool = True, dssp: Backend | None = None, min_coverage: float = 0.9, min_identity: float = 0.9, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(feature table, extract QC).
 
     ``manifest`` has a column ``pdb_path`` that names a ``structure_id`` of ``lines``.  A protein without structure is
     in the QC only; one whose structure does not align has rows with all features null; so have residues in a
-    terminal tag, without partner, or of another letter.
+    terminal tag, without partner, or of another letter.  ``files`` (structure_id), if given, spares a scan of ``lines``.
     """
     proteins = with_protein(manifest)
     atoms, residues = atoms_and_residues(lines)
-    known = lines.select(F.col("structure_id").alias("pdb_path")).distinct()
+    known = (lines if files is None else files).select(F.col("structure_id").alias("pdb_path")).distinct()
     sequences = structure_sequences(residues).withColumnRenamed("structure_id", "pdb_path")
     found = proteins.join(known, "pdb_path").join(sequences, "pdb_path", "left").fillna({"pdb_sequence": "", "pdb_length": 0})
     aligned = evaluate_alignments(found, "sequence", "pdb_sequence", min_coverage, min_identity)
@@ -78,14 +79,14 @@ def extract_features(manifest: DataFrame, lines: DataFrame, sasa: bool = True, d
     return as_features(table), only(qc.unionByName(missing, allowMissingColumns=True), EXTRACT_QC_COLUMNS)
 
 
-def augment_features(features: DataFrame, manifest: DataFrame, lines: DataFrame, sasa: bool = True, dssp: Backend | None = None) -> tuple[DataFrame, DataFrame]:
+def augment_features(features: DataFrame, manifest: DataFrame, lines: DataFrame, sasa: bool = True, dssp: Backend | None = None, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(features with secondary structure and areas filled in, augment QC); failures pass rows through unchanged.
 
     Of repeated manifest rows the last holds.  ``manifest`` needs ``ord`` and ``pdb_path``.
     """
     proteins = one_per_key(with_protein(manifest), ["protein_id"], "ord", last=True)
     atoms, residues = atoms_and_residues(lines)
-    known = lines.select(F.col("structure_id").alias("pdb_path")).distinct().withColumn("_known", F.lit(True))
+    known = (lines if files is None else files).select(F.col("structure_id").alias("pdb_path")).distinct().withColumn("_known", F.lit(True))
     sequences = structure_sequences(residues).withColumnRenamed("structure_id", "pdb_path")
     groups = features.select(F.col("protein_id").cast("string").alias("protein_id")).distinct()
     state = groups.join(proteins, "protein_id", "left").join(known, "pdb_path", "left").join(sequences, "pdb_path", "left").fillna({"pdb_sequence": ""})

@@ -47,6 +47,12 @@ def length_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     return left.join(right, "_b").where(F.length("stripped").between(F.col("_low"), F.col("_high"))).drop("_b", "_low", "_high")
 
 
+def most_similar(scored: DataFrame, score: str, tie: str, top: int) -> DataFrame:
+    """The ``top`` best rows of each label by ``score``, then ``tie``, with their rank as ``c_ord``."""
+    rank = F.row_number().over(Window.partitionBy("label_id").orderBy(F.desc(score), tie))
+    return scored.withColumn("c_ord", rank.cast("long")).where(F.col("c_ord") <= top)
+
+
 def candidates_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     """The entities of the label's length band.
 
@@ -58,8 +64,7 @@ def candidates_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     counted = band.join(many, "label_id")
     few = counted.where(F.col("_n") <= TOP).withColumn("c_ord", F.col("m_ord")).drop("_n")
     scored = counted.where(F.col("_n") > TOP).where(shares_kmer(F.col("sequence"), F.col("stripped"))).withColumn("_score", quick_ratio(F.col("sequence"), F.col("stripped"))).where("_score > 0.5")
-    rank = F.row_number().over(Window.partitionBy("label_id").orderBy(F.desc("_score"), "m_ord"))
-    return few.unionByName(scored.withColumn("c_ord", rank.cast("long")).where(F.col("c_ord") <= TOP).drop("_n", "_score"))
+    return few.unionByName(most_similar(scored, "_score", "m_ord", TOP).drop("_n", "_score"))
 
 
 def entity_candidates(labels: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
 def residues_of(atoms: DataFrame) -> DataFrame:
     """Residues with their index in the structure, letter, and atoms as an array in file order."""
     side = ~F.col("name").isin(*BACKBONE) & (F.col("element") != "H")
-    atom = F.struct("first_line", "name", "x", "y", "z", "bfactor", "element", side.alias("side"))
+    atom = F.struct("first_line", "name", "x", "y", "z", "bfactor", "element", "hetero", side.alias("side"))
     grouped = atoms.groupBy("structure_id", "chain", "resseq", "icode", "resname", "residue_line").agg(F.array_sort(F.collect_list(atom)).alias("atoms"), F.max("hetero").alias("hetero"))
     index = F.row_number().over(Window.partitionBy("structure_id").orderBy("residue_line")) - 1
     return grouped.withColumn("residue", index).withColumn("aa", one_letter(F.col("resname"))).withColumn("residue_id", F.concat("chain", F.lit(":"), F.col("resseq").cast("string"), "icode")).drop("residue_line")

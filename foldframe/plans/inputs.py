@@ -54,3 +54,12 @@ def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     xyz = [F.col("embedding")[i].cast("double") * 40 for i in range(3)]
     line = F.format_string("ATOM  %5d %-4s %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("vec_id") % 100000, name, resname, residue % 10000, *xyz, F.lit(1.0), F.lit(50.0), F.substring(name, 1, 1))
     return v.select(F.concat(F.lit("s"), F.col("label").cast("string")).alias("structure_id"), F.col("vec_id").alias("line_no"), line.alias("line"))
+
+
+def cysteine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a cysteine of one sulphur atom; structures hold up to 10,000 vectors of a label."""
+    v = table(spark, sf_dir, "embeddings")
+    xyz = [F.col("embedding")[i].cast("double") * 40 for i in range(3)]
+    line = F.format_string("ATOM  %5d %-4s %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("vec_id") % 100000, F.lit("SG"), F.lit("CYS"), F.col("vec_id") % 10000, *xyz, F.lit(1.0), F.lit(50.0), F.lit("S"))
+    structure_id = F.concat(F.lit("s"), F.col("label").cast("string"), F.lit("-"), F.floor(F.col("vec_id") / 10000).cast("string"))
+    return v.select(structure_id.alias("structure_id"), F.col("vec_id").alias("line_no"), line.alias("line"))

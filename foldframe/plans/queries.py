@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,8 @@ from ..functions import chemistry, sequences
 from ..operators import align, dataset, embeddings, features, matching, rows, sasa, structure, training
 from ..schemas import MATCH_COLUMNS
 from ..sources.readers import resolve_structure_paths
-from .inputs import name_labels, name_manifest, residue_letters, table, tagged_parts, type_manifest, vector_lines
+from ..sources.writers import fasta_record
+from .inputs import cysteine_lines, name_labels, name_manifest, residue_letters, table, tagged_parts, type_manifest, vector_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,23 +132,14 @@ def _labels_and_manifest(spark, sf_dir):
     return matching.prepare_labels(name_labels(spark, sf_dir)), matching.prepare_manifest(type_manifest(spark, sf_dir))
 
 
-@query(f"""SELECT a.p_partkey, b.p_partkey AS other FROM ({TAGGED}) a JOIN ({TAGGED}) b
-    ON regexp_replace(regexp_replace(a.seq, '^H{{6,}}', ''), 'H{{6,}}$', '') = regexp_replace(regexp_replace(b.seq, '^H{{6,}}', ''), 'H{{6,}}$', '') AND a.p_partkey < b.p_partkey AND a.p_partkey % 97 = b.p_partkey % 97""")
-def candidate_exact(spark, sf_dir):
-    parts = tagged_parts(spark, sf_dir)
-    labels = parts.select(F.col("p_partkey").alias("label_id"), F.col("seq").alias("sequence"))
-    manifest = parts.select(F.col("p_partkey").alias("m_ord"), sequences.strip_tags(F.col("seq")).alias("stripped"))
-    found = matching.candidates_exact(labels, manifest)
-    return found.where((F.col("label_id") < F.col("m_ord")) & (F.col("label_id") % 97 == F.col("m_ord") % 97)).select(F.col("label_id").alias("p_partkey"), F.col("m_ord").alias("other"))
-
-
 @query(f"""WITH s AS (SELECT p_partkey, regexp_replace(regexp_replace(seq, '^H{{6,}}', ''), 'H{{6,}}$', '') AS stripped FROM ({TAGGED}))
     SELECT p_partkey, min(p_partkey) OVER (PARTITION BY stripped) AS class_id, count(*) OVER (PARTITION BY stripped) AS class_size FROM s""")
-def candidate_exact_groups(spark, sf_dir):
-    """Every pair of equal stripped sequences, as classes: two parts are a pair if they have the same class_id."""
-    parts = tagged_parts(spark, sf_dir).select("p_partkey", sequences.strip_tags(F.col("seq")).alias("stripped"))
-    classes = parts.groupBy("stripped").agg(F.min("p_partkey").alias("class_id"), F.count("*").alias("class_size"))
-    return parts.join(classes, "stripped").select("p_partkey", "class_id", "class_size")
+def candidate_exact(spark, sf_dir):
+    """Every part meets the one entity of its stripped sequence: two parts are equal if they have the same class_id."""
+    parts = tagged_parts(spark, sf_dir)
+    labels = parts.select("p_partkey", F.col("seq").alias("sequence"))
+    classes = parts.groupBy(sequences.strip_tags(F.col("seq")).alias("stripped")).agg(F.min("p_partkey").alias("m_ord"), F.count("*").alias("class_size"))
+    return matching.candidates_exact(labels, classes).select("p_partkey", F.col("m_ord").alias("class_id"), "class_size")
 
 
 @query(f"""SELECT l.p_name, m.p_name AS protein_id FROM ({LABELS}) l JOIN ({LABELS}) m ON length(m.sequence) BETWEEN greatest(1, floor(length(l.sequence) * 0.75)) AND floor(length(l.sequence) * 1.35) + 25""")
@@ -158,39 +151,7 @@ def candidate_band(spark, sf_dir):
 _COUNTS = " + ".join(f"least(length(a) - length(replace(a, '{c}', '')), length(b) - length(replace(b, '{c}', '')))" for c in "ACDEFGHIKLMNPQRSTVWY")
 
 
-@query(f"""WITH p AS (SELECT l.p_name, m.protein_id, l.sequence AS a, m.target AS b FROM ({LABELS}) l JOIN ({MANIFEST}) m ON substr(l.sequence, 1, 1) = substr(m.target, 1, 1)),
-    s AS (SELECT p_name, protein_id, round(2.0 * ({_COUNTS}) / (length(a) + length(b)), 6) AS score FROM p)
-    SELECT p_name, protein_id, score, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, protein_id) AS rn FROM s WHERE score > 0.5) WHERE rn <= 5""")
-def quick_ratio_topk(spark, sf_dir):
-    from pyspark.sql import Window
-
-    labels, manifest = _labels_and_manifest(spark, sf_dir)
-    pairs = labels.join(manifest, F.substring("sequence", 1, 1) == F.substring("target", 1, 1)).select(F.col("source_entry_id").alias("p_name"), "protein_id", F.round(sequences.quick_ratio(F.col("sequence"), F.col("target")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("score"), "protein_id"))
-    return pairs.where("score > 0.5").withColumn("rn", rank).where("rn <= 5")
-
-
-@query(f"""SELECT l.p_name, m.protein_id, (length(l.sequence) < 6 OR list_bool_or(list_transform(range(1, greatest(length(l.sequence) - 4, 2)), lambda i: contains(m.target, substr(l.sequence, i, 6))))) AS shared
-    FROM ({LABELS}) l JOIN ({MANIFEST}) m ON substr(l.sequence, 1, 1) = substr(m.target, 1, 1)""")
-def kmer_share(spark, sf_dir):
-    labels, manifest = _labels_and_manifest(spark, sf_dir)
-    pairs = labels.join(manifest, F.substring("sequence", 1, 1) == F.substring("target", 1, 1))
-    return pairs.select(F.col("source_entry_id").alias("p_name"), "protein_id", sequences.shares_kmer(F.col("sequence"), F.col("target")).alias("shared"))
-
-
-@query(f"""WITH RECURSIVE p AS (SELECT l.p_name, m.protein_id, l.sequence AS a, m.target AS b FROM ({LABELS}) l JOIN ({MANIFEST}) m ON substr(l.sequence, 1, 1) = substr(m.target, 1, 1)),
-    dp AS (SELECT p_name, protein_id, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: -2 * j) AS row FROM p
-      UNION ALL SELECT p_name, protein_id, a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: -2 * j + list_max(list_transform(range(0, j + 1), lambda k: 2 * k +
-        CASE WHEN k = 0 THEN -2 * (i + 1) ELSE greatest(row[k] + CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 2 ELSE -1 END, row[k + 1] - 2) END)))
-      FROM dp WHERE i < length(a))
-    SELECT p_name, protein_id, row[length(b) + 1]::INT AS score FROM dp WHERE i = length(a)""")
-def align_score(spark, sf_dir):
-    labels, manifest = _labels_and_manifest(spark, sf_dir)
-    pairs = labels.join(manifest, F.substring("sequence", 1, 1) == F.substring("target", 1, 1)).select("source_entry_id", "protein_id", "sequence", "target")
-    return align.align_pairs(pairs, "sequence", "target").select(F.col("source_entry_id").alias("p_name"), "protein_id", "alignment.score")
-
-
-# The three queries above meet entities of the same first letter only, as their SQL does; these meet the whole band.
+# Every entity of a label's length band, whole.
 BAND = f"""SELECT l.p_name, m.protein_id, l.sequence AS a, m.target AS b FROM ({LABELS}) l JOIN (SELECT *, regexp_replace(regexp_replace(target, '^H{{6,}}', ''), 'H{{6,}}$', '') AS stripped FROM ({MANIFEST})) m
     ON length(m.stripped) BETWEEN greatest(1, floor(length(l.sequence) * 0.75)) AND floor(length(l.sequence) * 1.35) + 25"""
 
@@ -201,22 +162,24 @@ def _band(spark, sf_dir):
 
 @query(f"""WITH p AS ({BAND}),
     s AS (SELECT p_name, protein_id, round(2.0 * ({_COUNTS}) / (length(a) + length(b)), 6) AS score FROM p)
-    SELECT p_name, protein_id, score, rn::INT AS rn FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, protein_id) AS rn FROM s WHERE score > 0.5) WHERE rn <= 5""")
-def quick_ratio_topk_band(spark, sf_dir):
-    from pyspark.sql import Window
-
-    pairs = _band(spark, sf_dir).select(F.col("source_entry_id").alias("p_name"), "protein_id", F.round(sequences.quick_ratio(F.col("sequence"), F.col("target")), 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("p_name").orderBy(F.desc("score"), "protein_id"))
-    return pairs.where("score > 0.5").withColumn("rn", rank).where("rn <= 5")
+    SELECT p_name, protein_id, score, rn FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, protein_id) AS rn FROM s WHERE score > 0.5) WHERE rn <= 5""")
+def quick_ratio_topk(spark, sf_dir):
+    scored = _band(spark, sf_dir).withColumn("score", F.round(sequences.quick_ratio(F.col("sequence"), F.col("target")), 6)).where("score > 0.5")
+    return matching.most_similar(scored, "score", "protein_id", 5).select(F.col("source_entry_id").alias("p_name"), "protein_id", "score", F.col("c_ord").alias("rn"))
 
 
 @query(f"""SELECT p_name, protein_id, (length(a) < 6 OR list_bool_or(list_transform(range(1, greatest(length(a) - 4, 2)), lambda i: contains(b, substr(a, i, 6))))) AS shared FROM ({BAND})""")
-def kmer_share_band(spark, sf_dir):
+def kmer_share(spark, sf_dir):
     return _band(spark, sf_dir).select(F.col("source_entry_id").alias("p_name"), "protein_id", sequences.shares_kmer(F.col("sequence"), F.col("target")).alias("shared"))
 
 
-@query()
-def align_score_band(spark, sf_dir):
+@query(f"""WITH RECURSIVE p AS ({BAND}),
+    dp AS (SELECT p_name, protein_id, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: -2 * j) AS row FROM p
+      UNION ALL SELECT p_name, protein_id, a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: -2 * j + list_max(list_transform(range(0, j + 1), lambda k: 2 * k +
+        CASE WHEN k = 0 THEN -2 * (i + 1) ELSE greatest(row[k] + CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 2 ELSE -1 END, row[k + 1] - 2) END)))
+      FROM dp WHERE i < length(a))
+    SELECT p_name, protein_id, row[length(b) + 1]::INT AS score FROM dp WHERE i = length(a)""")
+def align_score(spark, sf_dir):
     pairs = _band(spark, sf_dir).select("source_entry_id", "protein_id", "sequence", "target")
     return align.align_pairs(pairs, "sequence", "target").select(F.col("source_entry_id").alias("p_name"), "protein_id", "alignment.score")
 
@@ -302,11 +265,12 @@ def packing_density(spark, sf_dir):
     return _contact_counts(spark, sf_dir).select("structure_id", "resseq", "packing_density_8a")
 
 
-@query(f"""WITH atoms AS ({ATOM_SQL}) SELECT DISTINCT a.structure_id, a.resseq::INT AS resseq FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id AND a.resseq <> b.resseq
-    WHERE a.aa = 'C' AND b.aa = 'C' AND a.name = 'SG' AND b.name = 'SG' AND sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 8""")
+@query("""WITH atoms AS (SELECT 's' || label || '-' || vec_id // 10000 AS structure_id, vec_id, printf('%8.3f', embedding[1]::DOUBLE * 40)::DOUBLE AS x, printf('%8.3f', embedding[2]::DOUBLE * 40)::DOUBLE AS y, printf('%8.3f', embedding[3]::DOUBLE * 40)::DOUBLE AS z FROM embeddings)
+    SELECT DISTINCT a.structure_id, (a.vec_id % 10000)::INT AS resseq FROM atoms a JOIN atoms b ON a.structure_id = b.structure_id AND a.vec_id <> b.vec_id
+    WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 2.3""")
 def disulfide_pairs(spark, sf_dir):
-    atoms, residues = features.atoms_and_residues(vector_lines(spark, sf_dir))
-    return structure.disulfides(atoms, 8.0).join(residues, ["structure_id", "residue"]).select("structure_id", "resseq")
+    atoms, residues = features.atoms_and_residues(cysteine_lines(spark, sf_dir))
+    return structure.disulfides(atoms).join(residues, ["structure_id", "residue"]).select("structure_id", "resseq")
 
 
 @query(f"""WITH a AS (SELECT * FROM ({ATOM_SQL}) WHERE name NOT IN ('N', 'CA', 'C', 'O') AND aa <> 'G'),
@@ -342,7 +306,7 @@ def residue_areas(spark, sf_dir):
 
 
 def _structure_manifest(spark, sf_dir):
-    found = structure.structure_sequences(structure.residues_of(structure.parse_atoms(vector_lines(spark, sf_dir))))
+    found = structure.structure_sequences(features.atoms_and_residues(vector_lines(spark, sf_dir))[1])
     return found.select(F.col("structure_id").alias("protein_id"), F.col("pdb_sequence").alias("sequence"), F.col("structure_id").alias("pdb_path"), F.lit(0).alias("ord"))
 
 
@@ -414,7 +378,7 @@ def embedding_join_concat(spark, sf_dir):
 def half_precision(spark, sf_dir):
     @F.pandas_udf("float")
     def half(x):
-        return x.map(lambda v: float(embeddings.half_precision([v])[0]))
+        return pd.Series(embeddings.half_precision(x))
 
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(half(F.round(F.col("embedding")[0], 2)).cast("double"), 2).alias("value"))
 
@@ -429,13 +393,13 @@ def shard_union(spark, sf_dir):
 @query("SELECT DISTINCT o_custkey AS custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), "o_orderstatus")
-    return orders.select("custkey").distinct().join(orders.where("o_orderstatus = 'P'").select("custkey").distinct(), "custkey", "left_anti")
+    return rows.resume(orders.select("custkey").distinct(), orders.where("o_orderstatus = 'P'"), "custkey")
 
 
 @query("SELECT conv_id, turn, nullif(regexp_extract(role || '_entity' || turn, '_entity([0-9]+)$', 1), '') AS entity_id, '>' || conv_id || chr(10) || text AS fasta FROM conversations")
 def entity_ids_and_fasta(spark, sf_dir):
     pid = F.concat("role", F.lit("_entity"), F.col("turn").cast("string"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sequences.entity_from_id(pid).alias("entity_id"), F.concat(F.lit(">"), F.col("conv_id").cast("string"), F.lit("\n"), "text").alias("fasta"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", sequences.entity_from_id(pid).alias("entity_id"), fasta_record("conv_id", "text").alias("fasta"))
 
 
 @query()

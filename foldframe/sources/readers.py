@@ -9,11 +9,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import entity_from_id
 from ..schemas import require_columns
+from .shared import checkpointed
 
 
 def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -80,15 +82,59 @@ def read_structures(spark: SparkSession, path: str) -> DataFrame:
     return structure_lines(files)
 
 
+def _given_path(manifest: DataFrame) -> Column:
+    named = [F.col(c).cast("string") for c in ("pdb_path", "pdb_filename", "pdb_path_relative") if c in manifest.columns]
+    return F.coalesce(*named, F.concat(F.col("protein_id").cast("string"), F.lit(".pdb")))
+
+
+def structure_places(manifest: DataFrame, base: str, root: str | None = None) -> DataFrame:
+    """(structure_id) every place where ``resolve_structure_paths`` may find a row's structure."""
+    given = _given_path(manifest)
+    below = F.concat(F.lit(f"{(root or base).rstrip('/')}/"), given)
+    flat = F.concat(F.lit(f"{(root or base).rstrip('/')}/"), F.element_at(F.split(given, "/"), -1))
+    places = F.when(F.startswith(given, F.lit("/")), F.array(given)).otherwise(F.array(below, flat) if root else F.array(below))
+    return manifest.select(F.explode(places).alias("structure_id"))
+
+
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def existing_files(paths: DataFrame) -> DataFrame:
+    """The distinct ``structure_id`` that are files; executors look them up, so no folder is listed."""
+
+    def look(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            there = []
+            for path in part.structure_id:
+                system, name = _files(path)
+                there.append(system.get_file_info(name).type == fs.FileType.File)
+            yield part[np.array(there, dtype=bool)]
+
+    width = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return checkpointed(paths.select("structure_id").dropna().distinct().repartition(width).mapInPandas(look, "structure_id string"))
+
+
+def read_named_structures(files: DataFrame) -> DataFrame:
+    """Lines of the files that ``structure_id`` names, wherever they lie; read in tasks, one file in memory at a time."""
+
+    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path in part.structure_id:
+                system, name = _files(path)
+                with system.open_input_stream(name) as stream:
+                    yield pd.DataFrame({"structure_id": [path], "value": [stream.readall().decode("utf-8", "replace")]})
+
+    return structure_lines(files.mapInPandas(load, "structure_id string, value string"))
+
+
 def resolve_structure_paths(manifest: DataFrame, base: str, root: str | None = None, existing: DataFrame | None = None) -> DataFrame:
     """``pdb_path`` of each row: the first of pdb_path, pdb_filename, pdb_path_relative, {protein_id}.pdb that is there.
 
     Absolute paths stay.  Below a root, the bare file name is taken if it is among ``existing`` (structure_id), else
     the path as given; without a root paths are relative to ``base``.
     """
-    named = [F.col(c).cast("string") for c in ("pdb_path", "pdb_filename", "pdb_path_relative") if c in manifest.columns]
-    given = F.coalesce(*named, F.concat(F.col("protein_id").cast("string"), F.lit(".pdb")))
-    df = manifest.withColumn("_given", given).withColumn("_flat", F.concat(F.lit(f"{(root or base).rstrip('/')}/"), F.element_at(F.split("_given", "/"), -1)))
+    df = manifest.withColumn("_given", _given_path(manifest)).withColumn("_flat", F.concat(F.lit(f"{(root or base).rstrip('/')}/"), F.element_at(F.split("_given", "/"), -1)))
     full = F.concat(F.lit(f"{(root or base).rstrip('/')}/"), "_given")
     if root is None:
         path = full

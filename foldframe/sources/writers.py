@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,8 +38,12 @@ def append_new(df: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def fasta_record(key: str, sequence: str) -> Column:
+    return F.concat(F.lit(">"), F.col(key).cast("string"), F.lit("\n"), F.col(sequence).cast("string"))
+
+
 def write_fasta(df: DataFrame, path: str) -> None:
-    df.select(F.concat(F.lit(">"), F.col("protein_id").cast("string"), F.lit("\n"), F.col("sequence").cast("string")).alias("value")).write.mode("overwrite").text(path)
+    df.select(fasta_record("protein_id", "sequence").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_npz(embeddings: DataFrame, sequences: DataFrame, folder: str) -> DataFrame:
@@ -63,6 +67,7 @@ def write_json(path: str, payload: dict) -> None:
     Path(path).write_text(json.dumps(payload, indent=2), encoding="utf-8")
 
 
+# The contract of the label file.
 def label_schema(source: str, min_coverage: float, min_identity: float) -> dict:
     return {
         "source": source,

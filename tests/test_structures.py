@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from foldframe import cli
 from foldframe.operators import features as X
 from foldframe.operators import sasa, structure
 from foldframe.schemas import AUGMENT_QC_COLUMNS, EXTRACT_QC_COLUMNS, FEATURE_COLUMNS, KEY_COLUMNS
@@ -111,3 +112,37 @@ def test_streaming_ingest_resumes(spark, tmp_path):
         ingest_structures(spark, str(tmp_path / "in"), str(tmp_path / "atoms"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "atoms")).groupBy("structure_id").agg(F.count("*").alias("n")).select("n").distinct().collect()[0].n == 9
     assert spark.read.parquet(str(tmp_path / "atoms")).count() == 18
+
+
+def test_commands_of_structures(spark, tmp_path):
+    """Nested, absolute and missing files; commits of two proteins; resuming adds what is new and nothing twice."""
+    text = "\n".join(atom(i, *r) for i, r in enumerate(TOY))
+    root, away = tmp_path / "pdb", tmp_path / "away"
+    (root / "sub").mkdir(parents=True)
+    away.mkdir()
+    for path in (root / "flat.pdb", root / "sub" / "deep.pdb", root / "p3.pdb", away / "x.ent", root / "late.pdb"):
+        path.write_text(text)
+    given = ["p0,GA,other/flat.pdb", "p1,GA,sub/deep.pdb", f"p2,GA,{away}/x.ent", "p3,GA,", "gone,GA,none.pdb"]
+    manifest, out, qc = (str(tmp_path / n) for n in ("m.csv", "features", "qc"))
+    command = ["extract-sidechain-features", "--manifest", manifest, "--out", out, "--out-qc", qc, "--pdb-root", str(root), "--checkpoint-every", "2"]
+    write = lambda lines: (tmp_path / "m.csv").write_text("protein_id,sequence,pdb_path\n" + "\n".join(lines) + "\n")
+
+    def state():
+        found, checked = (readers.read_table(spark, p) for p in (out, qc))
+        return sorted((r.protein_id, int(r.sequence_pos_1based)) for r in found.collect()), sorted((r.protein_id, r.alignment_reason) for r in checked.collect())
+
+    write(given)
+    cli.main(command, spark)
+    first = state()
+    assert first == ([(f"p{i}", k) for i in range(4) for k in (1, 2)], [("gone", "pdb_not_found")] + [(f"p{i}", "ok") for i in range(4)])
+    cli.main([*command, "--resume"], spark)
+    assert state() == first
+    write([*given, "p5,GA,late.pdb"])
+    cli.main([*command, "--resume"], spark)
+    assert state() == (first[0] + [("p5", 1), ("p5", 2)], first[1] + [("p5", "ok")])
+    cli.main(["augment-dssp-sasa", "--features", out, "--manifest", manifest, "--pdb-root", str(root), "--out", str(tmp_path / "more")], spark)
+    more = readers.read_table(spark, str(tmp_path / "more"))
+    assert more.count() == 10 and {r.sasa_mask for r in more.collect()} == {"1"}
+    (tmp_path / "l.csv").write_text("protein_id,sequence_pos_1based,label,eval_mask\np0,1,1,1\np5,2,0,1\n")
+    cli.main(["build-dataset", "--features", str(tmp_path / "more"), "--labels", str(tmp_path / "l.csv"), "--out", str(tmp_path / "data")], spark)
+    assert readers.read_table(spark, str(tmp_path / "data")).where("eval_mask = 1").count() == 2
