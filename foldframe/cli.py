@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import dataset, embeddings, features, matching, rows, training
+from .operators import clustering, dataset, embeddings, features, matching, rows, training
 from .sources import readers, writers
 from .sources.shared import checkpointed, scratch
 
@@ -112,10 +112,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, encod
     elif a.command == "build-dataset":
         writers.write_table(dataset.join_labels(read(a.features), read(a.labels)), a.out)
     elif a.command == "make-splits":
-        if a.cluster_tsv is None:
-            raise RuntimeError("Splits need a cluster table; pass --cluster-tsv.")
         ids = readers.read_eval_ids(spark, a.eval_ids) if a.eval_ids else None
-        writers.write_table(dataset.cluster_splits(readers.read_clusters(spark, a.cluster_tsv), readers.read_manifest(spark, a.manifest), ids, a.val_fraction, a.test_fraction, a.seed), a.out)
+        manifest = readers.read_manifest(spark, a.manifest)
+        if a.cluster_tsv is None:
+            a.cluster_tsv = os.path.join(a.work_dir, "clusters_cluster.tsv")
+            writers.write_clusters(clustering.cluster_sequences(manifest, a.min_seq_id), a.cluster_tsv)
+        writers.write_table(dataset.cluster_splits(readers.read_clusters(spark, a.cluster_tsv), manifest, ids, a.val_fraction, a.test_fraction, a.seed), a.out)
     elif a.command == "train":
         training.train_model(read(a.dataset), read(a.split), a.out_dir, _embeddings(spark, a.embedding_index), a.model_type, a.seed, a.epochs, a.batch_size, a.lr, a.lambda_missing)
     elif a.command == "evaluate":

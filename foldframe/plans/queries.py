@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chemistry, sequences
-from ..operators import align, dataset, embeddings, features, matching, rows, sasa, structure, training
+from ..operators import align, clustering, dataset, embeddings, features, matching, rows, sasa, structure, training
 from ..schemas import MATCH_COLUMNS
 from ..sources.readers import resolve_structure_paths
 from ..sources.writers import fasta_record
@@ -199,6 +199,11 @@ def import_labels(spark, sf_dir):
     return matching.import_labels(name_labels(spark, sf_dir), name_manifest(spark, sf_dir))[0]
 
 
+@query()
+def cluster_sequences(spark, sf_dir):
+    return clustering.cluster_sequences(type_manifest(spark, sf_dir))
+
+
 @query("""WITH c AS (SELECT n_name AS cluster, row_number() OVER (ORDER BY md5('13:' || n_name)) - 1 AS r, count(*) OVER () AS n FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9990))
     SELECT CAST(c_custkey AS VARCHAR) AS protein_id, n_name AS cluster, CASE WHEN c.cluster IS NULL THEN 'excluded_eval_similar' WHEN r < round_even(n * 0.1, 0) THEN 'test' WHEN r < 2 * round_even(n * 0.1, 0) THEN 'val' ELSE 'train' END AS split
     FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN c ON c.cluster = n_name""")

@@ -46,6 +46,11 @@ def write_fasta(df: DataFrame, path: str) -> None:
     df.select(fasta_record("protein_id", "sequence").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_clusters(clusters: DataFrame, path: str) -> None:
+    """A folder of headless tab-separated files: cluster, protein."""
+    clusters.select("cluster", "protein_id").write.mode("overwrite").csv(path, sep="\t")
+
+
 def write_npz(embeddings: DataFrame, sequences: DataFrame, folder: str) -> DataFrame:
     """One NPZ per protein (embedding as 16-bit floats, sequence, positions) in a folder all executors share."""
 
