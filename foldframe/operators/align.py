@@ -62,8 +62,13 @@ def align(a: Column, b: Column, match: int = 2, mismatch: int = -1, gap: int = -
 
 
 def align_pairs(pairs: DataFrame, a: str, b: str, **costs: int) -> DataFrame:
-    """``pairs`` with a column ``alignment``; each distinct pair of texts is aligned once."""
-    done = pairs.select(a, b).distinct().withColumn("alignment", align(F.col(a), F.col(b), **costs))
+    """``pairs`` with a column ``alignment``; each distinct pair of texts is aligned once.
+
+    Work grows with the product of the lengths, not with bytes, so the pairs are dealt over all shuffle partitions,
+    which adaptive execution would otherwise join into few tasks.
+    """
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done = pairs.select(a, b).distinct().repartition(width, a, b).withColumn("alignment", align(F.col(a), F.col(b), **costs))
     keys = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (a, b)]
     return pairs.alias("l").join(done.alias("r"), keys[0] & keys[1]).select("l.*", "r.alignment")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import clean_id, clean_labels, clean_sequence, entity_from_id, in_tag, quick_ratio, shares_kmer, strip_tags, token_label
 from ..schemas import LABEL_COLUMNS, MATCH_COLUMNS, require_columns
+from ..sources.shared import checkpointed
 from .align import evaluate_alignments
 
 BUCKET = 32  # letters of length per bucket of the band join
@@ -37,14 +38,29 @@ def candidates_exact(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     return labels.withColumn("_s", strip_tags(F.col("sequence"))).join(manifest, F.col("_s") == F.col("stripped")).drop("_s").withColumn("c_ord", F.col("m_ord"))
 
 
-def length_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
-    """All entities whose stripped length is within the label's band: an equi-join on buckets of lengths."""
+def _bands(labels: DataFrame) -> DataFrame:
+    """``labels``, a row for each bucket of lengths (``_b``) that its band ``_low`` to ``_high`` touches."""
     size = F.length("sequence")
     low, high = F.greatest(F.lit(1), F.floor(size * 0.75)).cast("int"), (F.floor(size * 1.35) + 25).cast("int")
     left = labels.withColumn("_low", low).withColumn("_high", high)
-    left = left.withColumn("_b", F.explode(F.sequence((F.col("_low") / BUCKET).cast("int"), (F.col("_high") / BUCKET).cast("int"))))
+    return left.withColumn("_b", F.explode(F.sequence((F.col("_low") / BUCKET).cast("int"), (F.col("_high") / BUCKET).cast("int"))))
+
+
+def length_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
+    """All entities whose stripped length is within the label's band: an equi-join on buckets of lengths."""
     right = manifest.withColumn("_b", (F.length("stripped") / BUCKET).cast("int"))
-    return left.join(right, "_b").where(F.length("stripped").between(F.col("_low"), F.col("_high"))).drop("_b", "_low", "_high")
+    return _bands(labels).join(right, "_b").where(F.length("stripped").between(F.col("_low"), F.col("_high"))).drop("_b", "_low", "_high")
+
+
+def with_band_size(labels: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``labels`` with ``_n``, the number of entities in their band (0 if none).
+
+    Lengths are counted, not pairs: the join is one of distinct lengths with distinct lengths.
+    """
+    lengths = manifest.groupBy(F.length("stripped").alias("_length")).agg(F.count("*").alias("_count")).withColumn("_b", (F.col("_length") / BUCKET).cast("int"))
+    shapes = _bands(labels.groupBy(F.length("sequence").alias("_size")).agg(F.first("sequence").alias("sequence"))).drop("sequence")
+    sums = shapes.join(lengths, "_b").where(F.col("_length").between(F.col("_low"), F.col("_high"))).groupBy("_size").agg(F.sum("_count").alias("_n"))
+    return labels.withColumn("_size", F.length("sequence")).join(sums, "_size", "left").drop("_size").withColumn("_n", F.coalesce("_n", F.lit(0)))
 
 
 def most_similar(scored: DataFrame, score: str, tie: str, top: int) -> DataFrame:
@@ -59,11 +75,9 @@ def candidates_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     Where a label has more than ``TOP`` of them, only those that share a 6-mer and more than half of their letters,
     and of these the ``TOP`` most similar, stay.
     """
-    band = length_band(labels, manifest)
-    many = band.groupBy("label_id").agg(F.count("*").alias("_n"))
-    counted = band.join(many, "label_id")
-    few = counted.where(F.col("_n") <= TOP).withColumn("c_ord", F.col("m_ord")).drop("_n")
-    scored = counted.where(F.col("_n") > TOP).where(shares_kmer(F.col("sequence"), F.col("stripped"))).withColumn("_score", quick_ratio(F.col("sequence"), F.col("stripped"))).where("_score > 0.5")
+    sized = with_band_size(labels, manifest)
+    few = length_band(sized.where(F.col("_n") <= TOP), manifest).withColumn("c_ord", F.col("m_ord")).drop("_n")
+    scored = length_band(sized.where(F.col("_n") > TOP), manifest).where(shares_kmer(F.col("sequence"), F.col("stripped"))).withColumn("_score", quick_ratio(F.col("sequence"), F.col("stripped"))).where("_score > 0.5")
     return few.unionByName(most_similar(scored, "_score", "m_ord", TOP).drop("_n", "_score"))
 
 
@@ -100,9 +114,9 @@ def resolve_matches(labels: DataFrame, evaluated: DataFrame) -> DataFrame:
 
 
 def match_entities(labels: DataFrame, manifest: DataFrame, min_coverage: float = 0.9, min_identity: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """(label QC, evaluated candidates); the candidates keep their alignments, so the winner is not aligned again."""
+    """(label QC, evaluated candidates); the candidates are written with their alignments, so nothing is aligned twice."""
     pairs = entity_candidates(labels, manifest).drop("stripped")
-    evaluated = evaluate_alignments(pairs, "sequence", "target", min_coverage, min_identity)
+    evaluated = checkpointed(evaluate_alignments(pairs, "sequence", "target", min_coverage, min_identity))
     return resolve_matches(labels, evaluated), evaluated
 
 

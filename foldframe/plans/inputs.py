@@ -27,22 +27,22 @@ def tagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part name as a label sequence, with a token for each letter."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    """Each part name as a label sequence, with a token for each letter; ``ord`` is its first key."""
+    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
     seq = residue_letters(F.col("p_name"))
-    return names.select(F.xxhash64("p_name").alias("ord"), F.col("p_name").alias("entry_ID"), seq.alias("sequence"), F.translate(seq, "ACDEFGHIKLMNPQRSTVWY", "AXY.AXY.AXY.AXY.AXYp").alias("label"))
+    return names.select("ord", F.col("p_name").alias("entry_ID"), seq.alias("sequence"), F.translate(seq, "ACDEFGHIKLMNPQRSTVWY", "AXY.AXY.AXY.AXY.AXYp").alias("label"))
 
 
 def type_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of part name and type as an entity."""
-    part = table(spark, sf_dir, "part").select("p_name", "p_type").distinct()
-    return part.select(F.concat("p_name", F.lit("/"), "p_type").alias("protein_id"), residue_letters(F.concat("p_name", F.substring("p_type", 1, 2))).alias("sequence"), F.xxhash64("p_name", "p_type").alias("ord"))
+    part = table(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("ord"))
+    return part.select(F.concat("p_name", F.lit("/"), "p_type").alias("protein_id"), residue_letters(F.concat("p_name", F.substring("p_type", 1, 2))).alias("sequence"), "ord")
 
 
 def name_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each part name as an entity, with a terminal tag."""
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    return names.select(F.col("p_name").alias("protein_id"), F.concat(residue_letters(F.col("p_name")), F.lit("HHHHHHH")).alias("sequence"), F.xxhash64("p_name").alias("ord"))
+    names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("ord"))
+    return names.select(F.col("p_name").alias("protein_id"), F.concat(residue_letters(F.col("p_name")), F.lit("HHHHHHH")).alias("sequence"), "ord")
 
 
 def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

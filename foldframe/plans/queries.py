@@ -184,17 +184,68 @@ def align_score(spark, sf_dir):
     return align.align_pairs(pairs, "sequence", "target").select(F.col("source_entry_id").alias("p_name"), "protein_id", "alignment.score")
 
 
-@query()
+_STRIP = "regexp_replace(regexp_replace({}, '^H{{6,}}', ''), 'H{{6,}}$', '')"
+# Of pairs p (p_name, protein_id, a, b): the score matrix row by row, the way back through it, and what is read off it.
+_QC = f"""dp AS MATERIALIZED (SELECT p_name, protein_id, a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda j: -2 * j) AS row FROM p
+      UNION ALL SELECT p_name, protein_id, a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: -2 * j + list_max(list_transform(range(0, j + 1), lambda k: 2 * k +
+        CASE WHEN k = 0 THEN -2 * (i + 1) ELSE greatest(row[k] + CASE WHEN substr(a, i + 1, 1) = substr(b, k, 1) THEN 2 ELSE -1 END, row[k + 1] - 2) END)))
+      FROM dp WHERE i < length(a)),
+    back AS MATERIALIZED (SELECT p_name, protein_id, a, b, length(a)::INT AS i, length(b)::INT AS j, []::STRUCT(a INT, b INT)[] AS pairs FROM p
+      UNION ALL SELECT p_name, protein_id, a, b, CASE WHEN move = 'left' THEN i ELSE i - 1 END, CASE WHEN move = 'up' THEN j ELSE j - 1 END, CASE WHEN move = 'both' THEN list_append(pairs, {{'a': i, 'b': j}}) ELSE pairs END
+      FROM (SELECT t.*, CASE WHEN t.i > 0 AND t.j > 0 AND here.row[t.j + 1] = above.row[t.j] + CASE WHEN substr(t.a, t.i, 1) = substr(t.b, t.j, 1) THEN 2 ELSE -1 END THEN 'both'
+                             WHEN t.i > 0 AND (t.j = 0 OR here.row[t.j + 1] = above.row[t.j + 1] - 2) THEN 'up' ELSE 'left' END AS move
+            FROM back t JOIN dp here ON here.p_name = t.p_name AND here.protein_id = t.protein_id AND here.i = t.i LEFT JOIN dp above ON above.p_name = t.p_name AND above.protein_id = t.protein_id AND above.i = t.i - 1 WHERE t.i > 0 OR t.j > 0)),
+    ends AS (SELECT *, length(regexp_extract(b, '^H{{6,}}')) AS n, length(regexp_extract(b, 'H{{6,}}$')) AS c FROM back WHERE i = 0 AND j = 0),
+    free AS (SELECT *, list_filter(pairs, lambda x: x.b > n AND x.b <= length(b) - c) AS outside FROM ends),
+    sums AS (SELECT *, len(list_filter(outside, lambda x: substr(a, x.a, 1) = substr(b, x.b, 1)))::INT AS reliable_label_positions FROM free),
+    shares AS (SELECT *, len(pairs)::INT AS matched_label_positions, (len(outside) - reliable_label_positions)::INT AS mismatches, length(a)::INT AS label_length, length(b)::INT AS target_length,
+      CASE WHEN length(a) > 0 THEN reliable_label_positions / length(a) ELSE 0.0 END::DOUBLE AS label_coverage, CASE WHEN len(outside) > 0 THEN reliable_label_positions / len(outside) ELSE 0.0 END::DOUBLE AS identity,
+      concat_ws(';', CASE WHEN n > 0 THEN 'N:1-' || n END, CASE WHEN c > 0 THEN 'C:' || (length(b) - c + 1) || '-' || length(b) END) AS histag_spans FROM sums),
+    qc AS (SELECT *, CASE WHEN label_length = 0 THEN 'empty_label_sequence' WHEN label_coverage < 0.9 THEN 'low_label_coverage' WHEN identity < 0.9 THEN 'low_identity' WHEN mismatches > 0 THEN 'mismatched_evaluated_residues' ELSE 'ok' END AS reason FROM shares)"""
+_QC_COLUMNS = ["label_coverage", "identity", "matched_label_positions", "reliable_label_positions", "mismatches", "label_length", "target_length", "histag_spans"]
+
+
+@query(f"""WITH RECURSIVE p AS ({BAND}), {_QC}, names AS (SELECT p_name, min(p_partkey) AS label_id FROM part GROUP BY 1), entities AS (SELECT p_name || '/' || p_type AS protein_id, min(p_partkey) AS m_ord FROM part GROUP BY 1)
+    SELECT label_id, p_name AS source_entry_id, a AS sequence, translate(a, 'ACDEFGHIKLMNPQRSTVWY', 'AXY.AXY.AXY.AXY.AXYp') AS label_string, NULL::VARCHAR AS wanted_entity, protein_id, NULL::VARCHAR AS entity_id, b AS target, {_STRIP.format("b")} AS stripped, m_ord,
+      {', '.join(_QC_COLUMNS)}, reason, CASE WHEN reason = 'ok' THEN 'pass' ELSE 'fail' END AS status FROM qc JOIN names USING (p_name) JOIN entities USING (protein_id)""")
 def alignment_qc(spark, sf_dir):
     return align.evaluate_alignments(_band(spark, sf_dir), "sequence", "target").drop("alignment")
 
 
-@query()
+def _match_sql(entities: str) -> str:
+    """CTEs of the candidates of each label among ``entities`` (protein_id, target, ord), their checks, and one decision a label."""
+    return f"""l AS (SELECT p_name, {AA.format("p_name")} AS a FROM (SELECT DISTINCT p_name FROM part)),
+    m AS (SELECT protein_id, target AS b, {_STRIP.format("target")} AS stripped, ord FROM ({entities})),
+    exact AS (SELECT p_name, protein_id, a, b, ord AS rank FROM l JOIN m ON {_STRIP.format("a")} = stripped),
+    band AS (SELECT *, count(*) OVER (PARTITION BY p_name) AS many FROM l JOIN m ON length(stripped) BETWEEN greatest(1, floor(length(a) * 0.75)) AND floor(length(a) * 1.35) + 25 WHERE p_name NOT IN (SELECT p_name FROM exact)),
+    alike AS (SELECT p_name, protein_id, a, b, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, ord) AS rank FROM (SELECT *, 2.0::DOUBLE * ({_COUNTS.replace("(b", "(stripped")}) / (length(a) + length(stripped)) AS score FROM band
+      WHERE many > 250 AND (length(a) < 6 OR list_bool_or(list_transform(range(1, greatest(length(a) - 4, 2)), lambda i: contains(stripped, substr(a, i, 6)))))) WHERE score > 0.5),
+    p AS MATERIALIZED (FROM exact UNION ALL SELECT p_name, protein_id, a, b, ord FROM band WHERE many <= 250 UNION ALL FROM alike WHERE rank <= 250),
+    {_QC},
+    ranked AS (SELECT qc.*, p.rank, count(*) FILTER (reason = 'ok') OVER (PARTITION BY p_name) AS passing,
+      row_number() OVER (PARTITION BY p_name ORDER BY reason <> 'ok', CASE WHEN reason = 'ok' THEN p.rank END, label_coverage DESC, identity DESC, p.rank) AS place FROM qc JOIN p USING (p_name, protein_id)),
+    decided AS (SELECT p_name AS source_entry_id, CASE WHEN passing = 1 THEN protein_id END AS protein_id, NULL::VARCHAR AS entity_id, CASE WHEN passing = 1 THEN 'mapped' WHEN passing > 1 THEN 'ambiguous' ELSE 'unmapped' END AS status,
+      CASE WHEN passing > 1 THEN 'multiple_entities_pass' ELSE coalesce(reason, 'no_candidate_entities') END AS reason,
+      coalesce(label_coverage, 0) AS label_coverage, coalesce(identity, 0) AS identity, coalesce(matched_label_positions, 0) AS matched_label_positions, coalesce(reliable_label_positions, 0) AS reliable_label_positions, coalesce(mismatches, 0) AS mismatches,
+      length(l.a)::INT AS label_length, coalesce(target_length, 0) AS target_length, coalesce(histag_spans, '') AS histag_spans, coalesce(passing, 0)::INT AS candidates_passing, pairs, l.a, b
+      FROM l LEFT JOIN (FROM ranked WHERE place = 1) r USING (p_name))"""
+
+
+_PAIR_ENTITIES = f"SELECT p_name || '/' || p_type AS protein_id, {AA.format("p_name || substr(p_type, 1, 2)")} AS target, min(p_partkey) AS ord FROM part GROUP BY p_name, p_type"
+_NAME_ENTITIES = f"SELECT p_name AS protein_id, {AA.format('p_name')} || 'HHHHHHH' AS target, min(p_partkey) AS ord FROM part GROUP BY p_name"
+
+
+@query(f"WITH RECURSIVE {_match_sql(_PAIR_ENTITIES)} SELECT {', '.join(MATCH_COLUMNS)} FROM decided")
 def match_entities(spark, sf_dir):
     return matching.match_entities(*_labels_and_manifest(spark, sf_dir))[0].select(*MATCH_COLUMNS)
 
 
-@query()
+@query(f"""WITH RECURSIVE {_match_sql(_NAME_ENTITIES)},
+    letters AS (SELECT *, unnest(range(1, length(a) + 1))::INT AS i, translate(a, 'ACDEFGHIKLMNPQRSTVWY', 'AXY.AXY.AXY.AXY.AXYp') AS tokens FROM decided WHERE status = 'mapped'),
+    placed AS (SELECT *, list_filter(pairs, lambda x: x.a = i)[1].b AS spot, substr(a, i, 1) AS aa, substr(tokens, i, 1) AS raw_label_token FROM letters),
+    named AS (SELECT *, CASE WHEN raw_label_token IN ('X', '.') THEN 1 WHEN raw_label_token IN ('A', 'Y') THEN 0 END AS label,
+      spot > length(regexp_extract(b, '^H{{6,}}')) AND spot <= length(b) - length(regexp_extract(b, 'H{{6,}}$')) AND substr(b, spot, 1) = aa AS reliable FROM placed)
+    SELECT 'dyna1_relaxdb_cpmg' AS label_source, source_entry_id, protein_id, entity_id, spot AS sequence_pos_1based, aa, raw_label_token, label, 'cpmg' AS label_type, coalesce((reliable AND label IS NOT NULL)::INT, 0) AS eval_mask FROM named""")
 def import_labels(spark, sf_dir):
     return matching.import_labels(name_labels(spark, sf_dir), name_manifest(spark, sf_dir))[0]
 
