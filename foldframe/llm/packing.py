@@ -9,7 +9,7 @@ item's rank among those of its size is its rank in its partition plus the counts
 
 from __future__ import annotations
 
-import os
+import functools
 import re
 from collections.abc import Iterator
 
@@ -24,58 +24,56 @@ from .common import checkpointed, id_and_text, release_memory, slices
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
-#: Words after which a task's cache starts a new half, and the longest that stay in it.
+#: Words after which a worker's cache starts a new half, and the longest that it takes in.
 CACHED, LONGEST = 1 << 19, 64
-SPLIT = "<|endoftext|>"
 
 
-class WordEncoder:
-    """Ids of whole texts from the ids of their words, of which a cache holds the recent ones.
+class WordEncoder(dict):
+    """Ids of whole texts from the ids of their words, of which this dictionary holds the recent ones.
 
     The vocabulary's pre-tokenizer drops white space, so no token reaches over a blank, and nor do composition and
     lower-casing: a text has the ids of its words one after the other.  Only ASCII blanks part words; what else the
     tokenizer takes for white space is left to it.  In the same way a word of Latin letters is parted from the ASCII
-    punctuation at its end, and looked up in lower case.  All other words are encoded as they are.
+    punctuation at its end and looked up in lower case; and as a word of ASCII letters is one pre-token, of which each
+    byte stands for itself, it goes straight to the vocabulary's merges.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = re.compile(r"[^ \t\n\r]+").findall
+        self.merges = self.tokenizer.model.tokenize
         self.stem = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]*)").fullmatch
-        self.new: dict[str, bytes] = {}
+        self.plain = re.compile("[a-z]+").fullmatch
         self.old: dict[str, bytes] = {}
 
-    def _encode(self, stems: list[str]) -> dict[str, bytes]:
-        """Many words as one text with a special token between them, which the tokenizer cuts at before all else."""
-        out, mark = {}, self.tokenizer.token_to_id(SPLIT)
-        for lo in range(0, len(stems), 1000):
-            part = stems[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([SPLIT.join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends, raw = [-1, *np.nonzero(ids == mark)[0].tolist(), len(ids)], ids.tobytes()
-            out |= {w: raw[4 * a + 4 : 4 * b] for w, a, b in zip(part, ends[:-1], ends[1:], strict=True)}
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.words(t) for t in texts]
-        if len(self.new) > CACHED:
-            self.new, self.old = {}, self.new
-        new, old = self.new, self.old
-        unique = set().union(*split)
-        parts = {w: (m[1].lower(), m[2]) if (m := self.stem(w)) else (w, "") for w in unique.difference(new, old)}
-        unknown = {x for both in parts.values() for x in both}.difference(new, old)
-        plain = [x for x in unknown if x and SPLIT[:2] not in x] if self.tokenizer.token_to_id(SPLIT) is not None else []
-        new |= self._encode(plain)
-        new |= {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in unknown.difference(new)}
-        new |= {w: old[w] for w in unique.difference(new, parts)}
-        new |= {w: (new[stem] if stem in new else old[stem]) + (new[tail] if tail in new else old[tail]) for w, (stem, tail) in parts.items()}
-        out = [b"".join(map(new.__getitem__, words)) for words in split]
-        for word in [w for w in parts if len(w) > LONGEST]:
-            del new[word]
-        return out
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if self.plain(word):
+                ids = np.array([t.id for t in self.merges(word)], "<u4").tobytes()
+            elif (m := self.stem(word)) and (m[2] or not word.islower()):
+                ids = self[m[1].lower()] + self[m[2]]
+            else:
+                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")))
+
+
+@functools.lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """One for all tasks of a worker: it costs more to load than a small task has to do, and its words come again."""
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,13 +85,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, last = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, last = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
             doc_ids = batch.column("doc_id")
             for lo, hi in slices(np.fromiter((len(t.as_py()) for t in texts), np.int64, len(texts)), 4_000_000):
                 rows = []
-                for doc_id, ids in zip(doc_ids.slice(lo, hi - lo).to_pylist(), encoder(texts.slice(lo, hi - lo).to_pylist()), strict=True):
+                for doc_id, ids in zip(doc_ids.slice(lo, hi - lo).to_pylist(), map(encoder.encode, texts.slice(lo, hi - lo).to_pylist()), strict=True):
                     ids += last
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]
