@@ -16,18 +16,96 @@ CHEMICAL_CLASS = {
     "S": "polar", "T": "polar", "N": "polar", "Q": "polar", "C": "polar",
     "G": "special", "P": "special", "D": "negative", "E": "negative", "K": "positive", "R": "positive", "H": "positive",
 }
-SETS = {"hydrophobic": "AVILMFYW", "polar": "STNQC", "charged": "DEKRH", "aromatic": "FYWH", "positive": "KRH", "negative": "DE"}
+SETS = {
+    "hydrophobic": {"A", "V", "I", "L", "M", "F", "Y", "W"},
+    "polar": {"S", "T", "N", "Q", "C"},
+    "charged": {"D", "E", "K", "R", "H"},
+    "aromatic": {"F", "Y", "W", "H"},
+    "positive": {"K", "R", "H"},
+    "negative": {"D", "E"},
+}
 MAX_ASA = {
     "A": 129.0, "R": 274.0, "N": 195.0, "D": 193.0, "C": 167.0, "Q": 225.0, "E": 223.0, "G": 104.0, "H": 224.0, "I": 197.0,
     "L": 201.0, "K": 236.0, "M": 224.0, "F": 240.0, "P": 159.0, "S": 155.0, "T": 172.0, "W": 285.0, "Y": 263.0, "V": 174.0,
 }
-#: Atom names of chi1..chi4, each chain continuing the one before by an atom.
-CHI_CHAINS = {
-    "ARG": "N CA CB CG CD NE CZ", "ASN": "N CA CB CG OD1", "ASP": "N CA CB CG OD1", "CYS": "N CA CB SG", "GLN": "N CA CB CG CD OE1",
-    "GLU": "N CA CB CG CD OE1", "HIS": "N CA CB CG ND1", "ILE": "N CA CB CG1 CD1", "LEU": "N CA CB CG CD1", "LYS": "N CA CB CG CD CE NZ",
-    "MET": "N CA CB CG SD CE", "PHE": "N CA CB CG CD1", "PRO": "N CA CB CG CD", "SER": "N CA CB OG", "THR": "N CA CB OG1",
-    "TRP": "N CA CB CG CD1", "TYR": "N CA CB CG CD1", "VAL": "N CA CB CG1",
-}
+#: The four atoms of each side-chain torsion, chi1 first.
+CHI_ATOMS = {
+    "ARG": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD"),
+        ("CB", "CG", "CD", "NE"),
+        ("CG", "CD", "NE", "CZ"),
+    ],
+    "ASN": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "OD1"),
+    ],
+    "ASP": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "OD1"),
+    ],
+    "CYS": [
+        ("N", "CA", "CB", "SG"),
+    ],
+    "GLN": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD"),
+        ("CB", "CG", "CD", "OE1"),
+    ],
+    "GLU": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD"),
+        ("CB", "CG", "CD", "OE1"),
+    ],
+    "HIS": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "ND1"),
+    ],
+    "ILE": [
+        ("N", "CA", "CB", "CG1"),
+        ("CA", "CB", "CG1", "CD1"),
+    ],
+    "LEU": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD1"),
+    ],
+    "LYS": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD"),
+        ("CB", "CG", "CD", "CE"),
+        ("CG", "CD", "CE", "NZ"),
+    ],
+    "MET": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "SD"),
+        ("CB", "CG", "SD", "CE"),
+    ],
+    "PHE": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD1"),
+    ],
+    "PRO": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD"),
+    ],
+    "SER": [
+        ("N", "CA", "CB", "OG"),
+    ],
+    "THR": [
+        ("N", "CA", "CB", "OG1"),
+    ],
+    "TRP": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD1"),
+    ],
+    "TYR": [
+        ("N", "CA", "CB", "CG"),
+        ("CA", "CB", "CG", "CD1"),
+    ],
+    "VAL": [
+        ("N", "CA", "CB", "CG1"),
+    ],
+}
 BACKBONE = ["N", "CA", "C", "O", "OXT"]
 
 
@@ -53,5 +131,5 @@ def max_asa(aa: Column) -> Column:
 
 def chi_atoms(resname: Column, chi: int) -> Column:
     """The four atom names of a torsion, null where the residue has none."""
-    names = {r: chain.split()[chi - 1 : chi + 3] for r, chain in CHI_CHAINS.items() if len(chain.split()) >= chi + 3}
+    names = {r: torsions[chi - 1] for r, torsions in CHI_ATOMS.items() if len(torsions) >= chi}
     return F.element_at(F.create_map(*(x for r, n in names.items() for x in (F.lit(r), F.array(*map(F.lit, n))))), F.upper(resname))

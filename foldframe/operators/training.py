@@ -26,6 +26,7 @@ NUMERIC_FEATURES = [
     "hydrophobic_contact_count", "polar_contact_count", "charged_contact_count", "aromatic_contact_count", "salt_bridge_count", "cation_pi_count",
     "disulfide_flag", "plddt", "total_sasa", "sidechain_sasa", "relative_sasa", "sasa_mask",
 ] + CHI_COLUMNS
+# The size of the model, and the variants that an ablation run compares.
 HIDDEN, DROPOUT = 128, 0.1
 VARIANTS = [("embedding_only", "embedding", 0.0), ("sidechain_only", "sidechain", 0.0), ("fusion_lambda0", "fusion", 0.0), ("fusion_lambda02", "fusion", 0.2), ("fusion_lambda1", "fusion", 1.0)]
 

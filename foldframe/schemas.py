@@ -24,12 +24,16 @@ AUGMENT_QC_COLUMNS = ["protein_id", "status", "reason", "pdb_path", "identity",
 LABEL_COLUMNS = ["label_source", "source_entry_id", "protein_id", "entity_id", "sequence_pos_1based", "aa", "raw_label_token", "label", "label_type", "eval_mask"]
 MATCH_COLUMNS = ["source_entry_id", "protein_id", "entity_id", "status", "reason", "label_coverage", "identity", "matched_label_positions", "reliable_label_positions", "mismatches", "label_length", "target_length", "histag_spans", "candidates_passing"]
 
-_TEXT = {"residue_chemical_class", "core_surface_flag", "dssp"}
-_WHOLE = {c for c in FEATURE_COLUMNS if c.endswith(("_mask", "_count", "_flag", "a")) and c not in _TEXT and not c.endswith("_sasa")}
+TEXT_COLUMNS = {"residue_chemical_class", "core_surface_flag", "dssp"}
+WHOLE_COLUMNS = {
+    "sidechain_heavy_atom_count", "sidechain_centroid_mask", "sidechain_geometry_mask", "contact_count_4a", "contact_count_6a", "contact_count_8a", "packing_density_8a",
+    "hydrophobic_contact_count", "polar_contact_count", "charged_contact_count", "aromatic_contact_count", "salt_bridge_count", "cation_pi_count", "hydrogen_bond_count",
+    "disulfide_flag", "sasa_mask", "dssp_mask", "chi1_mask", "chi2_mask", "chi3_mask", "chi4_mask",
+}
 
 
 def feature_type(name: str) -> T.DataType:
-    return T.StringType() if name in _TEXT else T.IntegerType() if name in _WHOLE else T.DoubleType()
+    return T.StringType() if name in TEXT_COLUMNS else T.IntegerType() if name in WHOLE_COLUMNS else T.DoubleType()
 
 
 def require_columns(df: DataFrame | Iterable[str], wanted: Iterable[str], message: str = "missing required columns") -> None:

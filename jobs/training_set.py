@@ -52,7 +52,7 @@ def described(documents: DataFrame) -> DataFrame:
     seq = F.col("seq")
     rows = texts.select(
         "doc_id", "lang", "source", F.md5(strip_tags(seq)).alias("cluster"), render_tags(seq).alias("tags"), F.length(seq).alias("residues"),
-        *(letters_in(seq, "".join(SETS[name])).alias(name) for name in FEATURES[1:]),
+        *(letters_in(seq, "".join(sorted(SETS[name]))).alias(name) for name in FEATURES[1:]),
     )
     row = F.struct("cluster", "lang", "source", "tags", *FEATURES)
     return rows.groupBy("doc_id").agg(F.min(row).alias("r")).select("doc_id", "r.*")
