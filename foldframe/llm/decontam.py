@@ -142,17 +142,21 @@ def _matcher(packed: bytes) -> Matcher:
 
 
 def item_blocks(items: DataFrame, block_bytes: int, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of about ``block_bytes``, one at a time on the driver."""
-    rows = id_and_text(items, id_col, text_col).where((F.col("text") != "") & F.col("doc_id").isNotNull())
+    """The items in blocks of about ``block_bytes``, one at a time on the driver; an item need not have an id."""
+    rows = id_and_text(items, id_col, text_col).where(F.col("text") != "")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, -(-total // block_bytes))
     for b in range(count):
         part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)) == b)
-        yield sorted((r.doc_id, r.text) for r in part.toLocalIterator())
+        yield sorted(((r.doc_id, r.text) for r in part.toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
-def benchmark_matches(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Every (document, item) match: doc_id, item_id, distance, start, end (places in the normalised text)."""
+def benchmark_matches(docs: DataFrame, items: DataFrame, error_rate: float = 0.1, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Every (document, item) match: doc_id, item_id, distance, start, end (places in the normalised text).
+
+    An item without an id is matched like any other and reported with a null ``item_id``, a document without one with a
+    null ``doc_id``; repeated rows of either match each for itself.  Ids are integers.
+    """
     found: DataFrame | None = None
     blocks = item_blocks(items, block_bytes, item_id, text_col)
     block = next(blocks)
@@ -178,7 +182,7 @@ def _finder(packed: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.08, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.1, block_bytes: int = 4_000_000, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no item within its error budget."""
     small_batches(docs.sparkSession)
     blocks = item_blocks(items, block_bytes, item_id, text_col)

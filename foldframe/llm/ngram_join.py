@@ -23,8 +23,9 @@ out.  Once the components stand, each class's links are counted over all pairs o
 The result has one row per document (class, number of links, component), never the pairs of a group.
 
 Cases: null or empty texts, and texts without words, have n_shingles 0 and are their own component; repeated rows
-and equal texts fall into one class and get equal components; rows without an id are left out; an empty table gives
-an empty result; columns other than id and text are ignored.
+and equal texts fall into one class and get equal components; rows that share an id are one document, which has the
+links of all of them, and each of them has a row in the result; rows without an id are left out; an empty table gives
+an empty result; columns other than id and text are ignored.  Ids are integers.
 """
 
 from __future__ import annotations
@@ -832,21 +833,49 @@ def _classified(docs: DataFrame, k: int) -> DataFrame:
     return joined.join(comp, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
 
 
+def _nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with a number of its own for each row, and the table (node, id) of these numbers.
+
+    Where no id is repeated the ids are the numbers and there is no table.
+    """
+    rows = id_and_text(docs).where("doc_id is not null")
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows, None
+    numbered = checkpointed(rows.withColumn("node", F.monotonically_increasing_id()))
+    return numbered.select(F.col("node").alias("doc_id"), "text"), numbered.select("node", F.col("doc_id").alias("id"))
+
+
+def _named(rows: DataFrame, names: DataFrame | None) -> DataFrame:
+    """Rows of ``_classified`` over numbers, by ids: rows of one id bring their components together."""
+    if names is None:
+        return rows
+    known = checkpointed(rows.join(names, rows.doc_id == names.node).drop("doc_id", "node"))
+    least = known.groupBy("component_id").agg(F.min("id").alias("b"))
+    united = connected_components(known.join(least, "component_id").select(F.col("id").alias("a"), "b"))
+    first = known.groupBy("class_id").agg(F.min("id").alias("first"))
+    out = known.join(first, "class_id").join(united, known.id == united.node, "left")
+    named = {"doc_id": F.col("id"), "class_id": F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(F.col("id")), "component_id": F.coalesce("component", "id")}
+    return out.select(*(named[c].alias(c) if c in named else F.col(c) for c in rows.columns))
+
+
 def ngram_components(docs: DataFrame, k: int = 5) -> DataFrame:
     """Per document: doc_id, n_shingles, class_id (least doc_id with the same set), n_links, component_id.
 
-    n_links is the number of other rows that the document links to, equal sets included.
+    n_links is the number of other rows that the row links to, equal sets included.
     """
     with scratch(docs.sparkSession):
-        rows = checkpointed(_classified(docs, k))
+        nodes, names = _nodes(docs)
+        rows = checkpointed(_classified(nodes, k))
         classes = checkpointed(rows.where("n_shingles > 0").groupBy("class_id", "component_id").agg(F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")))
-        others = _degrees(id_and_text(docs).where("doc_id is not null"), classes, k)
+        others = _degrees(nodes, classes, k)
         degree = classes.join(others, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-        return outliving(rows.join(degree, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).alias("n_links"), "component_id"))
+        linked = rows.join(degree, "class_id", "left").select("doc_id", "n_shingles", "class_id", F.when(F.col("n_shingles") > 0, F.col("n_links")).otherwise(0).alias("n_links"), "component_id")
+        return outliving(_named(linked, names))
 
 
 def keep_first_of_components(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its component (of repeated rows, all)."""
+    """The rows of ``docs`` whose document is the least of its component (of rows that share an id, all)."""
     with scratch(docs.sparkSession):
-        drop = outliving(_classified(docs, k).where("doc_id <> component_id").select("doc_id").distinct())
+        nodes, names = _nodes(docs)
+        drop = outliving(_named(_classified(nodes, k), names).where("doc_id <> component_id").select("doc_id").distinct())
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)

@@ -95,6 +95,17 @@ def test_ngram_links_are_all_counted(spark, monkeypatch, block):
     assert {x.doc_id: x.n_links for x in ngram_join.ngram_components(frame(spark, rows)).collect()} == brute_links(rows)
 
 
+@pytest.mark.parametrize("turn", [False, True])
+def test_ngram_rows_that_share_an_id_are_one_document(spark, turn):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (1, a + " more"), (9, b + " more"), (7, "quite another text of some words"), (7, "quite another text of some words"), (8, ""), (8, None), (8, b)]
+    rows = rows[::-1] if turn else rows
+    docs = frame(spark, rows)
+    got = sorted((x.doc_id, x.n_shingles, x.n_links, x.component_id) for x in ngram_join.ngram_components(docs).collect())
+    assert got == [(1, 57, 1, 1), (5, 56, 1, 1), (5, 56, 2, 1), (7, 2, 1, 7), (7, 2, 1, 7), (8, 0, 0, 1), (8, 0, 0, 1), (8, 56, 2, 1), (9, 57, 2, 1)]
+    assert sorted(x.doc_id for x in ngram_join.keep_first_of_components(docs).collect()) == [1, 7, 7]
+
+
 def test_shared_tokens_of_blocks():
     r = np.random.default_rng(1)
     left, right = ([np.unique(r.integers(0, 90, int(r.integers(1, 40))).astype(np.uint64) ** 2) for _ in range(n)] for n in (70, 41))

@@ -210,12 +210,12 @@ def test_decontamination_equals_brute_force(spark):
     table = spark.createDataFrame(items, "item_id long, text string")
     want = {(d, i): dist for d, t in enumerate(texts) for i, item in items[:6] for n in [decontam.normalize(item)] for dist in [semi_global(n, decontam.normalize(t or ""))] if dist <= int(len(n) * 0.08)}
     for block in (4_000_000, 150):  # one block, and several
-        got = decontam.benchmark_matches(frame(spark, texts), table, block_bytes=block).collect()
+        got = decontam.benchmark_matches(frame(spark, texts), table, error_rate=0.08, block_bytes=block).collect()
         assert {(x.doc_id, x.item_id): x.distance for x in got} == want
     for x in got:
         t = decontam.normalize(texts[x.doc_id])
         assert semi_global(decontam.normalize(dict(items)[x.item_id]), t[x.start : x.end]) == x.distance
-    kept = decontam.drop_contaminated(frame(spark, texts), table, block_bytes=150)
+    kept = decontam.drop_contaminated(frame(spark, texts), table, error_rate=0.08, block_bytes=150)
     assert {x.doc_id for x in kept.collect()} == set(range(len(texts))) - {d for d, _ in want} and kept.columns == ["doc_id", "text", "score", "g"]
     assert decontam.benchmark_matches(frame(spark, texts), table.where("false")).count() == 0
 
@@ -293,6 +293,15 @@ def test_toxicity_features_by_hand():
     assert toxicity.features("", lexicon) == [0.0] * 17
 
 
+def test_items_without_an_id_are_matched(spark):
+    item = "the quick brown fox jumps over the lazy dog near the river bank"
+    docs = spark.createDataFrame([(1, f"well {item} indeed"), (None, item), (2, "nothing of that kind"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (4, item), (None, None), (5, "")], "item_id long, text string")
+    got = sorted(map(tuple, decontam.benchmark_matches(docs, items).select("doc_id", "item_id", "distance").collect()), key=repr)
+    assert got == [(1, 4, 0), (1, None, 0), (None, 4, 0), (None, None, 0)]
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, items.where("item_id is null")).collect()] == [2, 3]
+
+
 def test_decontamination_ties(spark):
     """Of two places of equal distance the first is reported; the window filter never loses a match."""
     item = "the quick brown fox jumps over the lazy dog near the old river bank today"
