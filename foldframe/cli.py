@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clustering, dataset, embeddings, features, matching, rows, training
+from .operators import clustering, dataset, embeddings, features, matching, rows, secondary, training
 from .sources import readers, writers
-from .sources.shared import checkpointed, scratch
+from .sources.shared import checkpointed, exists, has_scheme, remove, scratch, write_text
 
 
 def build_parser() -> argparse.ArgumentParser:
@@ -31,7 +32,7 @@ def build_parser() -> argparse.ArgumentParser:
 
     command("import-dyna1-labels", "Import labels with strict entity matching", "label-zip", "manifest", "out-labels", "out-qc", min_label_coverage=0.9, min_identity=0.9, include_unsuppressed=False)
     command("extract-sidechain-features", "Extract residue features from structures", "manifest", "out", pdb_root=None, out_qc=None, limit=(int, None), checkpoint_every=100_000, resume=False)
-    command("augment-dssp-sasa", "Add secondary structure and areas to a feature table", "features", "manifest", "out", pdb_root=None, out_qc=None)
+    command("augment-dssp-sasa", "Add secondary structure and areas to a feature table", "features", "manifest", "out", pdb_root=None, out_qc=None, checkpoint_every=100_000, resume=False)
     command("extract-esm2-embeddings", "Pre-extract frozen embeddings", "manifest", "out-dir", model_name=embeddings.MODEL, layer=embeddings.LAYER, limit=(int, None), start=(int, None), count=(int, None), shard_index=(int, None), num_shards=(int, None), resume=False)
     command("build-dataset", "Join labels to feature rows", "features", "labels", "out")
     command("make-splits", "Cluster-level splits", "manifest", "out", cluster_tsv=None, eval_ids=None, min_seq_id=0.3, val_fraction=0.1, test_fraction=0.1, seed=13, work_dir="data/mmseqs")
@@ -46,36 +47,76 @@ def _indexed(spark: SparkSession, path: str) -> DataFrame:
     return rows.dense_index(readers.read_manifest(spark, path), ["ord"])
 
 
+def _folder(path: str) -> str:
+    """A URI stays as it is, a plain path becomes absolute."""
+    return path.rstrip("/") if has_scheme(path) else os.path.abspath(path)
+
+
 def _structures(manifest: DataFrame, path: str, root: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(manifest with resolved paths, lines of the files that it names, ids of these files)."""
-    base = os.path.dirname(os.path.abspath(path))
-    folder = os.path.abspath(root) if root else None
+    base = _folder(path).rsplit("/", 1)[0]
+    folder = _folder(root) if root else None
     files = readers.existing_files(readers.structure_places(manifest, base, folder))
     return readers.resolve_structure_paths(manifest, base, folder, files), readers.read_named_structures(files), files
 
 
+def _chunks(df: DataFrame, index: str, every: int) -> tuple[DataFrame, list[tuple[int, str]]]:
+    """``df`` with ``_chunk``, and each chunk's number with a name that its ids decide.
+
+    The same ids make the same name, so a chunk that was cut off by a failure replaces what it had written.
+    """
+    number = F.floor(F.col(index) / (every if every > 0 else 2**62))
+    marked = checkpointed(df.withColumn("_chunk", number))
+    ids = F.sum(F.xxhash64(F.col("protein_id").cast("string")).cast("decimal(38,0)"))
+    named = marked.groupBy("_chunk").agg(F.md5(F.concat_ws(":", F.count("*"), ids)).alias("name")).orderBy("_chunk").collect()  # a row per commit
+    return marked, [(r["_chunk"], r["name"]) for r in named]
+
+
+def _commit(a: argparse.Namespace, found: DataFrame, qc: DataFrame, name: str) -> None:
+    """Rows first: what has a QC row is complete."""
+    writers.write_part(found, a.out, name)
+    if a.out_qc:
+        writers.write_part(qc, a.out_qc, name)
+
+
 def _extract(spark: SparkSession, a: argparse.Namespace) -> None:
-    """Rows of ``checkpoint_every`` proteins are committed at a time, features before their QC.
+    """Rows of ``checkpoint_every`` proteins are committed at a time, features before their QC, each as a part of its own.
 
-    Resuming goes on from the QC (proteins without structure are in no other table), and features that were committed
-    without their QC are not written again.  Without a QC table the feature table says what is done.
+    Resuming goes on from the QC (proteins without structure are in no other table); a part that has features but no QC
+    is made again and replaces them.  Without a QC table the feature table says what is done.  Paths may be of any file
+    system that Spark reads.
     """
+    if not a.resume:
+        for path in filter(None, (a.out, a.out_qc)):
+            remove(spark, path)
     pending = rows.select_rows(_indexed(spark, a.manifest), "row_index", limit=a.limit)
-    done = next((p for p in (a.out_qc, a.out) if p and os.path.exists(p)), None) if a.resume else None
+    done = next((p for p in (a.out_qc, a.out) if p and exists(spark, p)), None)
     if done:
         pending = rows.resume(pending, readers.read_table(spark, done), "protein_id")
-    before = readers.read_table(spark, a.out) if a.resume and os.path.exists(a.out) else None
-    chunk = F.floor(F.col("row_index") / (a.checkpoint_every if a.checkpoint_every > 0 else 2**62))
-    pending = checkpointed(pending.withColumn("_chunk", chunk))
-    append = a.resume
-    for (k,) in pending.select("_chunk").distinct().orderBy("_chunk").collect() or [(0,)]:
+    pending, chunks = _chunks(pending, "row_index", a.checkpoint_every)
+    for k, name in chunks or ([] if done else [(0, "none")]):
         with scratch(spark):
             part, lines, files = _structures(pending.where(F.col("_chunk") == k).drop("_chunk"), a.manifest, a.pdb_root)
-            found, qc = features.extract_features(part, lines, files=files)
-            writers.write_table(found if before is None else rows.resume(found, before, "protein_id"), a.out, append=append)
-            if a.out_qc:
-                writers.write_table(qc, a.out_qc, append=append)
-        append = True
+            _commit(a, *features.extract_features(part, lines, files=files, dssp=secondary.assign), name)
+
+
+def _augment(spark: SparkSession, a: argparse.Namespace) -> None:
+    """As ``_extract``, over the proteins of a feature table; with ``--resume`` those that have a QC row are left out."""
+    if not a.resume:
+        for path in filter(None, (a.out, a.out_qc)):
+            remove(spark, path)
+    table = readers.read_table(spark, a.features).withColumn("protein_id", F.col("protein_id").cast("string"))
+    manifest = readers.read_manifest(spark, a.manifest)
+    proteins = rows.dense_index(table.select("protein_id").distinct(), ["protein_id"])
+    done = next((p for p in (a.out_qc, a.out) if p and exists(spark, p)), None)
+    if done:
+        proteins = rows.resume(proteins, readers.read_table(spark, done), "protein_id")
+    proteins, chunks = _chunks(proteins, "row_index", a.checkpoint_every)
+    for k, name in chunks or ([] if done else [(0, "none")]):
+        with scratch(spark):
+            own = proteins.where(F.col("_chunk") == k)
+            named, lines, files = _structures(rows.members(manifest, own, "protein_id"), a.manifest, a.pdb_root)
+            _commit(a, *features.augment_features(rows.members(table, own, "protein_id"), named, lines, files=files, dssp=secondary.assign), name)
 
 
 def _embeddings(spark: SparkSession, index: str | None) -> DataFrame | None:
@@ -90,21 +131,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, encod
         labels, qc = matching.import_labels(readers.read_label_zip(spark, a.label_zip), readers.read_manifest(spark, a.manifest), a.min_label_coverage, a.min_identity, a.include_unsuppressed)
         writers.write_table(labels, a.out_labels)
         writers.write_table(qc, a.out_qc)
-        writers.write_json(os.path.splitext(a.out_qc)[0] + ".schema.json", writers.label_schema(a.label_zip, a.min_label_coverage, a.min_identity))
+        write_text(spark, os.path.splitext(a.out_qc)[0] + ".schema.json", json.dumps(writers.label_schema(a.label_zip, a.min_label_coverage, a.min_identity), indent=2))
     elif a.command == "extract-sidechain-features":
         _extract(spark, a)
     elif a.command == "augment-dssp-sasa":
-        manifest, lines, files = _structures(readers.read_manifest(spark, a.manifest), a.manifest, a.pdb_root)
-        found, qc = features.augment_features(read(a.features), manifest, lines, files=files)
-        writers.write_table(found, a.out)
-        if a.out_qc:
-            writers.write_table(qc, a.out_qc)
+        _augment(spark, a)
     elif a.command == "extract-esm2-embeddings":
         manifest = rows.select_rows(_indexed(spark, a.manifest), "row_index", a.limit, a.start, a.count, a.shard_index, a.num_shards)
-        pending = manifest
-        if a.resume and os.path.isdir(a.out_dir):
-            have = [(f.removesuffix(".npz"),) for f in os.listdir(a.out_dir) if f.endswith(".npz")]
-            pending = rows.resume(manifest, spark.createDataFrame(have, "protein_id string"), "protein_id")
+        pending = rows.resume(manifest, readers.stored_embeddings(spark, a.out_dir), "protein_id") if a.resume else manifest
         if not pending.isEmpty():
             writers.write_npz(embeddings.encode_residues(pending, encoder), manifest, a.out_dir).count()
         index = embeddings.embedding_index(manifest, a.model_name, a.layer)

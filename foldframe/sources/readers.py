@@ -9,19 +9,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import entity_from_id
 from ..schemas import require_columns
-from .shared import checkpointed
+from .shared import checkpointed, exists, files_of
 
 
 def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Parquet by its suffix, else CSV with a header, every column as text (no pass over the data to guess types)."""
+    """Parquet by its suffix, else CSV with a header, every column as text (no pass over the data to guess types).
+
+    The names of a table's parts (``writers.write_part``) are no column of it.
+    """
     first = path if isinstance(path, str) else path[0]
-    return spark.read.parquet(*([path] if isinstance(path, str) else path)) if first.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True)
+    found = spark.read.parquet(*([path] if isinstance(path, str) else path)) if first.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True)
+    return found.drop("commit")
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
@@ -96,10 +100,6 @@ def structure_places(manifest: DataFrame, base: str, root: str | None = None) ->
     return manifest.select(F.explode(places).alias("structure_id"))
 
 
-def _files(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-
-
 def existing_files(paths: DataFrame) -> DataFrame:
     """The distinct ``structure_id`` that are files; executors look them up, so no folder is listed."""
 
@@ -107,8 +107,8 @@ def existing_files(paths: DataFrame) -> DataFrame:
         for part in parts:
             there = []
             for path in part.structure_id:
-                system, name = _files(path)
-                there.append(system.get_file_info(name).type == fs.FileType.File)
+                system, name = files_of(path)
+                there.append(system.get_file_info(name).type == FileType.File)
             yield part[np.array(there, dtype=bool)]
 
     width = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -121,7 +121,7 @@ def read_named_structures(files: DataFrame) -> DataFrame:
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path in part.structure_id:
-                system, name = _files(path)
+                system, name = files_of(path)
                 with system.open_input_stream(name) as stream:
                     yield pd.DataFrame({"structure_id": [path], "value": [stream.readall().decode("utf-8", "replace")]})
 
@@ -162,13 +162,23 @@ def read_embeddings(spark: SparkSession, index: DataFrame) -> DataFrame:
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for pid, path in zip(part.protein_id, part.embedding_path, strict=True):
-                values = np.load(path)["embedding"].astype(np.float32)
+                system, name = files_of(path)
+                with system.open_input_file(name) as stream:
+                    values = np.load(io.BytesIO(stream.read()))["embedding"].astype(np.float32)
                 yield pd.DataFrame({"protein_id": pid, "position": np.arange(1, len(values) + 1, dtype=np.int32), "embedding": list(values)})
 
     rows = index.select(F.col("protein_id").cast("string").alias("protein_id"), "embedding_path")
     return rows.mapInPandas(load, "protein_id string, position int, embedding array<float>")
 
 
+def stored_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """(protein_id) of the NPZ files of a folder; Spark lists it, and no content is read."""
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "protein_id string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(folder)
+    return found.select(F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"([^/]*)\.npz$", 1).alias("protein_id"))
+
+
 def merge_indices(spark: SparkSession, pattern: str) -> DataFrame:
     """Shard indices as one table, one row per protein (left-over shards of another count repeat proteins)."""
     return spark.read.csv(pattern, header=True).dropDuplicates(["protein_id"])

@@ -5,12 +5,14 @@ A lost executor or a restarted driver reads them again.  Inside ``scratch`` they
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: For each open ``scratch`` block, the folders written in it.
@@ -60,6 +62,41 @@ def outliving(df: DataFrame) -> DataFrame:
     return checkpointed(df, depth=2)
 
 
+def has_scheme(path: str) -> bool:
+    return re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", path) is not None
+
+
+def files_of(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) for tasks, which have no Spark session."""
+    return fs.FileSystem.from_uri(path) if has_scheme(path) else (fs.LocalFileSystem(), path)
+
+
+def place_of(spark: SparkSession, path: str):
+    """(Hadoop path, its file system): what Spark itself would look at."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, system = place_of(spark, path)
+    return system.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place, system = place_of(spark, path)
+    system.delete(place, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced if it is there."""
+    place, system = place_of(spark, path)
+    stream = system.create(place, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``checkpointed`` writes inside the block are removed at its end."""
@@ -70,5 +107,4 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     finally:
         _OPEN.reset(token)
         for path in mine:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(spark, path)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import json
-import os
+import uuid
 from pathlib import Path
 
 import numpy as np
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import files_of
+
 
 def write_table(df: DataFrame, path: str, append: bool = False, one_file: bool = False) -> None:
     """A folder of CSV (with header) or, by suffix, Parquet files; the schema is written even without rows."""
@@ -22,20 +25,16 @@ def write_table(df: DataFrame, path: str, append: bool = False, one_file: bool =
         df.write.mode(mode).csv(path, header=True)
 
 
-def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Append rows whose key is not in the Parquet table yet; how many.  Running it twice changes nothing."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        from ..operators.rows import resume
+PART = "commit"
+
 
-        df = resume(df, spark.read.parquet(path), key)
-    df = df.cache()
-    n = df.count()
-    if n:
-        df.write.mode("append").parquet(path)
-    df.unpersist()
-    return n
+def write_part(df: DataFrame, path: str, name: str) -> None:
+    """One named part of a table (a partition folder, of the table's kind), which a rerun of the same part replaces."""
+    place = f"{path.rstrip('/')}/{PART}={name}"
+    if path.rstrip("/").endswith(".parquet"):
+        df.write.mode("overwrite").parquet(place)
+    else:
+        df.write.mode("overwrite").csv(place, header=True)
 
 
 def fasta_record(key: str, sequence: str) -> Column:
@@ -56,13 +55,17 @@ def write_npz(embeddings: DataFrame, sequences: DataFrame, folder: str) -> DataF
 
     def save(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("position")
-        path = os.path.join(folder, f"{group.protein_id.iloc[0]}.npz")
-        temporary = f"{path}.{os.getpid()}.tmp.npz"
-        np.savez_compressed(temporary, embedding=np.stack(group.embedding.to_numpy()).astype(np.float16), sequence=group.sequence.iloc[0], positions_1based=group.position.to_numpy(np.int32))
-        os.replace(temporary, path)
+        path = f"{folder.rstrip('/')}/{group.protein_id.iloc[0]}.npz"
+        packed = io.BytesIO()
+        np.savez_compressed(packed, embedding=np.stack(group.embedding.to_numpy()).astype(np.float16), sequence=group.sequence.iloc[0], positions_1based=group.position.to_numpy(np.int32))
+        system, name = files_of(path)
+        temporary = f"{name}.{uuid.uuid4().hex}.tmp"  # not an NPZ name, so a task that is lost leaves nothing to resume from
+        system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(temporary) as stream:
+            stream.write(packed.getvalue())
+        system.move(temporary, name)
         return pd.DataFrame({"protein_id": [group.protein_id.iloc[0]], "embedding_path": [path], "sequence_length": [len(group)]})
 
-    Path(folder).mkdir(parents=True, exist_ok=True)
     rows = embeddings.join(sequences.select("protein_id", "sequence"), "protein_id")
     return rows.groupBy("protein_id").applyInPandas(save, "protein_id string, embedding_path string, sequence_length int")
 

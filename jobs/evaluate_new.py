@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from foldframe.operators import dataset
 from foldframe.schemas import require_columns
-from foldframe.sources.shared import checkpointed, scratch
+from foldframe.sources.shared import checkpointed, exists, place_of, scratch
 
 log = logging.getLogger("jobs.evaluate_new")
 CONFIG = Path(__file__).with_suffix(".json")
@@ -57,11 +57,6 @@ def metrics_of(scores: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return dataset.ranking_metrics(rows, F.col("grp")).join(overall.unionByName(each), ["group", "protein_id"])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-
-
 def update(spark: SparkSession, documents: str, labels: str, out: str, checkpoint: str, config: dict) -> int:
     """Run the job; how many new rows it has scored."""
     schema = spark.read.parquet(documents).schema
@@ -75,15 +70,14 @@ def update(spark: SparkSession, documents: str, labels: str, out: str, checkpoin
         log.info("batch %d: wrote %d scores to %s", number, new[-1], place)
 
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", config["files_per_batch"])
-    place = spark._jvm.org.apache.hadoop.fs.Path(documents)
-    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    place, system = place_of(spark, documents)
     if system.getFileStatus(place).isFile():  # a stream looks at folders
         stream = files.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
     else:
         stream = files.parquet(documents)
     stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     log.info("read %d new documents from %s", sum(new), documents)
-    if not _exists(spark, f"{out}/scores"):
+    if not exists(spark, f"{out}/scores"):
         log.info("no documents yet, no metrics")
         return 0
     with scratch(spark):

@@ -1,5 +1,6 @@
 import json
 import math
+import zipfile
 
 import numpy as np
 import pandas as pd
@@ -75,11 +76,13 @@ def test_row_selection(spark):
     assert E.index_filename() == "embedding_index.csv" and E.index_filename(3, 20) == "embedding_index_shard_0003_of_0020.csv"
 
 
-def test_resume_and_append(spark, tmp_path):
-    path = str(tmp_path / "t.parquet")
+def test_parts_and_first_last(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
-    assert writers.append_new(df, path, "k") == 2 and writers.append_new(df, path, "k") == 0
-    assert writers.append_new(spark.createDataFrame([("b", 9), ("c", 3)], "k string, v int"), path, "k") == 1 and spark.read.parquet(path).count() == 3
+    for path in (f"file://{tmp_path}/t.parquet", str(tmp_path / "t")):
+        for part, rows in (("x", df), ("y", df.limit(0)), ("x", df.where("v = 2")), ("z", df)):  # part x is written again
+            writers.write_part(rows, path, part)
+        got = readers.read_table(spark, path)
+        assert got.columns == ["k", "v"] and sorted((r.k, int(r.v)) for r in got.collect()) == [("a", 1), ("b", 2), ("b", 2)]
     first, last = (R.one_per_key(spark.createDataFrame([("a", 1, "x"), ("a", 2, "y")], "k string, o int, v string"), ["k"], "o", last=q).first().v for q in (False, True))
     assert (first, last) == ("x", "y")
 
@@ -120,6 +123,11 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "p.csv").write_text("protein_id,label,score,eval_mask\na,1,0.9,1\na,0,0.1,1\n")
     cli.main(["evaluate", "--predictions", str(tmp_path / "p.csv"), "--out", str(tmp_path / "e")], spark)
     assert math.isclose(float(readers.read_table(spark, str(tmp_path / "e")).first().AUROC), 1.0)
+    cli.main(["extract-esm2-embeddings", "--manifest", f"file://{tmp_path}/m.csv", "--out-dir", f"file://{tmp_path}/emb", "--resume"], spark, fake)
+    stamp = (tmp_path / "emb" / "p2.npz").stat().st_mtime_ns
+    cli.main(["extract-esm2-embeddings", "--manifest", f"file://{tmp_path}/m.csv", "--out-dir", f"file://{tmp_path}/emb", "--resume"], spark, lambda _: 1 / 0)  # nothing is left to encode
+    assert sorted(f.name for f in (tmp_path / "emb").glob("*.npz")) == [f"p{i}.npz" for i in range(5)] and (tmp_path / "emb" / "p2.npz").stat().st_mtime_ns == stamp
+    assert readers.read_embeddings(spark, readers.read_table(spark, f"file://{tmp_path}/emb/embedding_index.csv")).count() == 15
     with pytest.raises(RuntimeError, match="encoder"):
         cli.main(["extract-esm2-embeddings", "--manifest", str(tmp_path / "m.csv"), "--out-dir", str(tmp_path / "none")], spark)
 
@@ -157,3 +165,29 @@ def test_ranking_metrics_of_continuous_scores(spark, partitions):
         positive, negative = score[label == 1][:, None], score[label == 0][None, :]
         auc = ((positive > negative) + 0.5 * (positive == negative)).mean()
         assert len(found) == 4 and abs(overall.AUROC - auc) < 1e-9 and abs(overall.AUPRC - ap) < 1e-9
+
+
+def test_commands_of_training(spark, tmp_path):
+    r = np.random.default_rng(4)
+    rows = [f"p{i % 6},{i // 6 + 1},{int(x > 0)},1,{x:.4f}" for i, x in enumerate(r.normal(size=120))]
+    (tmp_path / "d.csv").write_text("protein_id,sequence_pos_1based,label,eval_mask,plddt\n" + "\n".join(rows) + "\n")
+    (tmp_path / "s.csv").write_text("protein_id,cluster,split\n" + "".join(f"p{i},c{i},{'train' if i < 4 else 'test'}\n" for i in range(6)))
+    both = ["--dataset", str(tmp_path / "d.csv"), "--split", str(tmp_path / "s.csv")]
+    cli.main(["train", *both, "--out-dir", str(tmp_path / "m"), "--model-type", "sidechain", "--epochs", "2"], spark)
+    assert json.loads((tmp_path / "m" / "run_metadata.json").read_text())["epochs"] == 2
+    (tmp_path / "m.csv").write_text("protein_id,sequence\n" + "".join(f"p{i},{'A' * 20}\n" for i in range(6)))
+    cli.main(["extract-esm2-embeddings", "--manifest", str(tmp_path / "m.csv"), "--out-dir", str(tmp_path / "emb")], spark, lambda q: [np.ones((len(s), 2)) for s in q])
+    cli.main(["run-ablations", *both, "--out-dir", str(tmp_path / "ab"), "--embedding-index", str(tmp_path / "emb" / "embedding_index.csv"), "--epochs", "1"], spark)
+    assert len((tmp_path / "ab" / "ablation_index.csv").read_text().splitlines()) == 1 + len(T.VARIANTS)
+
+
+def test_command_of_labels(spark, tmp_path):
+    table = {"entry_ID": {"0": "e1"}, "sequence": {"0": "MK LV"}, "label": {"0": "AX .Y"}, "seq len": {"0": 4}, "same len as seq?": {"0": True}}
+    with zipfile.ZipFile(tmp_path / "l.zip", "w") as z:
+        z.writestr("l.json", json.dumps(table))
+    (tmp_path / "m.csv").write_text("protein_id,sequence\nq_entity1,MKLV\nr_entity2,GGGG\n")
+    out = f"file://{tmp_path}"
+    cli.main(["import-dyna1-labels", "--label-zip", f"{out}/l.zip", "--manifest", f"{out}/m.csv", "--out-labels", f"{out}/labels", "--out-qc", f"{out}/qc.csv"], spark)
+    rows = readers.read_table(spark, f"{out}/labels").orderBy("sequence_pos_1based").collect()
+    assert [(r.protein_id, r.sequence_pos_1based, r.label) for r in rows] == [("q_entity1", str(i), x) for i, x in enumerate(["0", "1", "1", "0"], 1)]
+    assert json.loads((tmp_path / "qc.schema.json").read_text())["alignment"]["min_identity"] == 0.9

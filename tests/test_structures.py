@@ -6,7 +6,7 @@ from foldframe import cli
 from foldframe.operators import features as X
 from foldframe.operators import sasa, structure
 from foldframe.schemas import AUGMENT_QC_COLUMNS, EXTRACT_QC_COLUMNS, FEATURE_COLUMNS, KEY_COLUMNS
-from foldframe.sources import readers
+from foldframe.sources import readers, writers
 from foldframe.streaming.ingest import ingest_structures
 
 TOY = [
@@ -114,8 +114,9 @@ def test_streaming_ingest_resumes(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "atoms")).count() == 18
 
 
-def test_commands_of_structures(spark, tmp_path):
-    """Nested, absolute and missing files; commits of two proteins; resuming adds what is new and nothing twice."""
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_commands_of_structures(spark, tmp_path, scheme, monkeypatch):
+    """Plain paths and URIs; nested, absolute and missing files; commits of two proteins; resuming adds what is new and nothing twice."""
     text = "\n".join(atom(i, *r) for i, r in enumerate(TOY))
     root, away = tmp_path / "pdb", tmp_path / "away"
     (root / "sub").mkdir(parents=True)
@@ -123,8 +124,8 @@ def test_commands_of_structures(spark, tmp_path):
     for path in (root / "flat.pdb", root / "sub" / "deep.pdb", root / "p3.pdb", away / "x.ent", root / "late.pdb"):
         path.write_text(text)
     given = ["p0,GA,other/flat.pdb", "p1,GA,sub/deep.pdb", f"p2,GA,{away}/x.ent", "p3,GA,", "gone,GA,none.pdb"]
-    manifest, out, qc = (str(tmp_path / n) for n in ("m.csv", "features", "qc"))
-    command = ["extract-sidechain-features", "--manifest", manifest, "--out", out, "--out-qc", qc, "--pdb-root", str(root), "--checkpoint-every", "2"]
+    manifest, out, qc, more = (f"{scheme}{tmp_path}/{n}" for n in ("m.csv", "features", "qc", "more"))
+    command = ["extract-sidechain-features", "--manifest", manifest, "--out", out, "--out-qc", qc, "--pdb-root", f"{scheme}{root}", "--checkpoint-every", "2"]
     write = lambda lines: (tmp_path / "m.csv").write_text("protein_id,sequence,pdb_path\n" + "\n".join(lines) + "\n")
 
     def state():
@@ -132,7 +133,20 @@ def test_commands_of_structures(spark, tmp_path):
         return sorted((r.protein_id, int(r.sequence_pos_1based)) for r in found.collect()), sorted((r.protein_id, r.alignment_reason) for r in checked.collect())
 
     write(given)
-    cli.main(command, spark)
+    whole, writes = writers.write_part, []
+
+    def failing(df, path, name):
+        writes.append(path)
+        if len(writes) == 4:  # the QC of the second commit, whose features are there
+            raise OSError("disk gone")
+        whole(df, path, name)
+
+    monkeypatch.setattr(writers, "write_part", failing)
+    with pytest.raises(OSError, match="disk gone"):
+        cli.main(command, spark)
+    monkeypatch.setattr(writers, "write_part", whole)
+    assert len(state()[0]) == 8 and len(state()[1]) == 2
+    cli.main([*command, "--resume"], spark)
     first = state()
     assert first == ([(f"p{i}", k) for i in range(4) for k in (1, 2)], [("gone", "pdb_not_found")] + [(f"p{i}", "ok") for i in range(4)])
     cli.main([*command, "--resume"], spark)
@@ -140,9 +154,13 @@ def test_commands_of_structures(spark, tmp_path):
     write([*given, "p5,GA,late.pdb"])
     cli.main([*command, "--resume"], spark)
     assert state() == (first[0] + [("p5", 1), ("p5", 2)], first[1] + [("p5", "ok")])
-    cli.main(["augment-dssp-sasa", "--features", out, "--manifest", manifest, "--pdb-root", str(root), "--out", str(tmp_path / "more")], spark)
-    more = readers.read_table(spark, str(tmp_path / "more"))
-    assert more.count() == 10 and {r.sasa_mask for r in more.collect()} == {"1"}
+    augment = ["augment-dssp-sasa", "--features", out, "--manifest", manifest, "--pdb-root", f"{scheme}{root}", "--out", more, "--out-qc", f"{more}-qc", "--checkpoint-every", "3"]
+    for extra in ([], ["--resume"]):
+        cli.main([*augment, *extra], spark)
+        found = readers.read_table(spark, more)
+        assert found.count() == 10 and {r.sasa_mask for r in found.collect()} == {"1"} and readers.read_table(spark, f"{more}-qc").count() == 5
+    cli.main(command, spark)  # from the start again
+    assert state() == (first[0] + [("p5", 1), ("p5", 2)], first[1] + [("p5", "ok")])
     (tmp_path / "l.csv").write_text("protein_id,sequence_pos_1based,label,eval_mask\np0,1,1,1\np5,2,0,1\n")
-    cli.main(["build-dataset", "--features", str(tmp_path / "more"), "--labels", str(tmp_path / "l.csv"), "--out", str(tmp_path / "data")], spark)
+    cli.main(["build-dataset", "--features", more, "--labels", str(tmp_path / "l.csv"), "--out", str(tmp_path / "data")], spark)
     assert readers.read_table(spark, str(tmp_path / "data")).where("eval_mask = 1").count() == 2
