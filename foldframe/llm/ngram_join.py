@@ -38,8 +38,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import checkpointed, column_bytes, even_keys, id_and_text, outliving, parallelism, scratch, slices, trimmed
-from .components import connected_components
 from .shingles import distinct_shingles, mix
 
 LENGTHENINGS = np.array([1, 2, 3, 5, 8, 12, 18])
@@ -562,7 +562,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that link, decided on the whole sets of both documents."""
+    """Those of the distinct ``pairs`` (a, b) that link, decided on the whole sets of both documents."""
     nodes = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -586,7 +586,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     found = checkpointed(_texts(docs, nodes, 2 * pairs.count()))
     left = pairs.select("a", "b").join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     both = left.join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
-    return checkpointed(both.mapInArrow(trimmed(check), "a long, b long").distinct())
+    return checkpointed(both.mapInArrow(trimmed(check), "a long, b long"))
 
 
 def _best(candidates: DataFrame) -> DataFrame:

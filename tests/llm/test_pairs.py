@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from foldframe.llm import chroma, ngram_join, suffix_dedup, warc
 from foldframe.llm.common import even_keys, table
-from foldframe.llm.components import connected_components
+from foldframe.operators.components import connected_components
 
 
 def frame(spark, rows):
