@@ -266,6 +266,16 @@ def test_licenses_of_repeated_rows(spark):
     assert sorted(got) == [(1, "GPL-3.0-notice"), (3, "GPL-3.0-notice")]
 
 
+def test_whole_license_texts_and_rows_without_an_id(spark):
+    words = licenses.TEMPLATES["BSD-3-Clause"].split()
+    texts = [("x " * 500 + " ".join(words), 1), (" ".join(words[:120]), 2), (licenses.TEMPLATES["Zlib"].replace(" ", "\n * "), 3), (" ".join(words), None), ("y " + licenses.TEMPLATES["MIT"] + " z" * 300, 4)]
+    docs = spark.createDataFrame([(i, t) for t, i in texts], "doc_id long, text string")
+    got = {(r.doc_id, r.template): r.containment for r in licenses.license_matches(docs).collect()}
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [licenses._plain_words(t)] for i in range(len(w) - 4)}
+    share = {(i, n): len(grams(t) & grams(text)) / len(grams(t)) for text, i in texts if i for n, t in licenses.TEMPLATES.items()}
+    assert set(got) == {k for k, v in share.items() if v >= 0.75} and {(1, "BSD-3-Clause"), (1, "BSD-2-Clause"), (3, "Zlib"), (4, "MIT"), (4, "MIT-grant")} <= set(got)
+
+
 def test_scores_of_odd_tables(spark):
     """No rows, no ids, no texts: scores are defined, and without an id there is no fold."""
     rows = labelled(300)
