@@ -44,7 +44,7 @@ def build_parser() -> argparse.ArgumentParser:
 
 
 def _indexed(spark: SparkSession, path: str) -> DataFrame:
-    return rows.dense_index(readers.read_manifest(spark, path), ["ord"])
+    return readers.read_manifest(spark, path).withColumn("row_index", F.col("ord"))
 
 
 def _folder(path: str) -> str:

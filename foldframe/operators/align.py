@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,42 +15,64 @@ from ..functions.sequences import in_tag, render_tags
 ALIGNMENT = "aligned_a string, aligned_b string, score int, pairs array<struct<a:int,b:int>>"
 
 
-def align_one(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2) -> tuple[str, str, int, list[tuple[int, int]]]:
+#: Cells of the score matrix that are held at once; of a larger one only some rows are, and those between are made again.
+CELLS = 2_000_000
+
+
+def _rows(above: np.ndarray, x: np.ndarray, y: np.ndarray, first: int, match: int, mismatch: int, gap: int) -> Iterator[np.ndarray]:
+    """The score rows of letters ``x``, the first of which is row ``first``, below the row ``above``.
+
+    A row is filled at once: the moves from the row above are element-wise, and the moves along the row become a
+    running maximum once the gap cost of each column is taken out.
+    """
+    slope = gap * np.arange(len(y) + 1, dtype=np.int64)
+    row = np.empty(len(y) + 1, np.int64)
+    for i, letter in enumerate(x, first):
+        row[0] = i * gap
+        row[1:] = np.maximum(above[:-1] + np.where(y == letter, match, mismatch), above[1:] + gap)
+        above = (np.maximum.accumulate(row - slope) + slope).astype(np.int32)
+        yield above
+
+
+def align_one(a: str, b: str, match: int = 2, mismatch: int = -1, gap: int = -2, cells: int = CELLS) -> tuple[str, str, int, list[tuple[int, int]]]:
     """Best global alignment with a linear gap cost; of equal moves the diagonal, then the gap in ``b``.
 
-    A row of the score matrix is filled at once: the moves from the row above are element-wise, and the moves along
-    the row become a running maximum once the gap cost of each column is taken out.
+    Memory grows with the length of ``b`` times the root of that of ``a``: every so many rows one is kept, and on the
+    way back the rows from the last one kept are made again, so ties fall as if the whole matrix were there.
     """
     a, b = a.upper(), b.upper()
     if a == b:
         return a, b, match * len(a), [(i, i) for i in range(len(a))]
     x, y = np.array(list(a), "U1"), np.array(list(b), "U1")
     n, m = len(a), len(b)
-    slope = gap * np.arange(m + 1, dtype=np.int64)
-    score = np.empty((n + 1, m + 1), np.int32)
-    score[0] = slope
-    row = np.empty(m + 1, np.int64)
-    for i in range(1, n + 1):
-        row[0] = i * gap
-        row[1:] = np.maximum(score[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), score[i - 1, 1:] + gap)
-        score[i] = np.maximum.accumulate(row - slope) + slope
+    step = max(1, n if (n + 1) * (m + 1) <= cells else math.isqrt(n))
+    row = (gap * np.arange(m + 1)).astype(np.int32)
+    kept = [row]
+    for i, row in enumerate(_rows(row, x, y, 1, match, mismatch, gap), 1):
+        if i % step == 0 and i < n:
+            kept.append(row)
+    total = int(row[m])
     left, right, pairs, i, j = [], [], [], n, m
-    while i or j:
-        here = score[i, j]
-        if i and j and here == score[i - 1, j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
-            i, j = i - 1, j - 1
-            left.append(a[i])
-            right.append(b[j])
-            pairs.append((i, j))
-        elif i and (not j or here == score[i - 1, j] + gap):
-            i -= 1
-            left.append(a[i])
-            right.append("-")
-        else:
-            j -= 1
-            left.append("-")
-            right.append(b[j])
-    return "".join(reversed(left)), "".join(reversed(right)), int(score[n, m]), pairs[::-1]
+    for low in range((len(kept) - 1) * step, -1, -step):
+        block = [kept[low // step], *_rows(kept[low // step], x[low:i], y, low + 1, match, mismatch, gap)]
+        while i > low:
+            here, above = block[i - low], block[i - low - 1]
+            if j and here[j] == above[j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+                i, j = i - 1, j - 1
+                left.append(a[i])
+                right.append(b[j])
+                pairs.append((i, j))
+            elif not j or here[j] == above[j] + gap:
+                i -= 1
+                left.append(a[i])
+                right.append("-")
+            else:
+                j -= 1
+                left.append("-")
+                right.append(b[j])
+    left.append("-" * j)
+    right.append(b[:j][::-1])
+    return "".join(left)[::-1], "".join(right)[::-1], total, pairs[::-1]
 
 
 def align(a: Column, b: Column, match: int = 2, mismatch: int = -1, gap: int = -2) -> Column:

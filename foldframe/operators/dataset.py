@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import random
+from array import array
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,9 +40,9 @@ def contaminated_clusters(clusters: DataFrame, eval_ids: DataFrame) -> DataFrame
 def cluster_splits(clusters: DataFrame, manifest: DataFrame, eval_ids: DataFrame | None = None, val_fraction: float = 0.1, test_fraction: float = 0.1, seed: int = 13, mode: str = "exact", contaminate_before_filter: bool = False) -> DataFrame:
     """protein_id, cluster, split for each row of the cluster table whose protein is in the manifest.
 
-    Clusters with an evaluation protein are ``excluded_eval_similar``.  ``mode="exact"`` shuffles the sorted cluster
-    names on the driver (they must fit there) as a seeded ``random.Random`` does; ``mode="hash"`` orders them by a
-    hash of seed and name instead, without the driver, which gives another split of the same sizes.
+    Clusters with an evaluation protein are ``excluded_eval_similar``.  ``mode="exact"`` deals them out as a seeded
+    ``random.Random`` shuffles their sorted names; ``mode="hash"`` orders them by a hash of seed and name instead, which
+    gives another split of the same sizes and has no step that is not distributed.
     """
     every = clusters.select(F.col("cluster").cast("string").alias("cluster"), F.col("protein_id").cast("string").alias("protein_id"))
     rows = every.join(manifest.select(F.col("protein_id").cast("string").alias("protein_id")).distinct(), "protein_id", "left_semi")
@@ -47,18 +50,27 @@ def cluster_splits(clusters: DataFrame, manifest: DataFrame, eval_ids: DataFrame
     spark = rows.sparkSession
     dirty = spark.createDataFrame([], "cluster string") if eval_ids is None else contaminated_clusters(every if contaminate_before_filter else rows, eval_ids)
     clean = rows.select("cluster").distinct().join(dirty, "cluster", "left_anti")
-    if mode == "exact":
-        names = sorted(r.cluster for r in clean.collect())
-        random.Random(seed).shuffle(names)
-        n_test, n_val = int(round(len(names) * test_fraction)), int(round(len(names) * val_fraction))
-        part = [(c, "test" if i < n_test else "val" if i < n_test + n_val else "train") for i, c in enumerate(names)]
-        parts = spark.createDataFrame(part, "cluster string, split string")
-    else:
-        parts = hash_split(clean, val_fraction, test_fraction, seed)
+    parts = (exact_split if mode == "exact" else hash_split)(clean, val_fraction, test_fraction, seed)
     marked = rows.join(parts, "cluster", "left")
     return marked.select("protein_id", "cluster", F.coalesce("split", F.lit("excluded_eval_similar")).alias("split"))
 
 
+def exact_split(clusters: DataFrame, val_fraction: float, test_fraction: float, seed: int) -> DataFrame:
+    """The split of ``random.Random(seed).shuffle`` over the sorted names.
+
+    Names are sorted and numbered by ranges; the driver shuffles numbers only (a shuffle of Python's generator has no
+    other form), and sends back those of test and val.
+    """
+    n = clusters.count()
+    numbers = array("q", range(n))
+    random.Random(seed).shuffle(numbers)
+    n_test, n_val = int(round(n * test_fraction)), int(round(n * val_fraction))
+    held = pd.DataFrame({"_rank": np.frombuffer(numbers, np.int64)[: n_test + n_val], "split": np.where(np.arange(min(n, n_test + n_val)) < n_test, "test", "val")})
+    drawn = clusters.sparkSession.createDataFrame(held, "_rank long, split string")
+    ranked = dense_index(clusters, ["cluster"], "_rank")
+    return ranked.join(drawn, "_rank", "left").select("cluster", F.coalesce("split", F.lit("train")).alias("split"))
+
+
 def hash_split(clusters: DataFrame, val_fraction: float, test_fraction: float, seed: int) -> DataFrame:
     """Clusters in the order of md5(seed:name); the first are test, the next val."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), "cluster"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sequences import clean_id, clean_labels, clean_sequence, entity_from_id, in_tag, quick_ratio, shares_kmer, strip_tags, token_label
+from ..functions.sequences import clean_id, clean_labels, clean_sequence, entity_from_id, in_tag, quick_ratio, strip_tags, token_label
 from ..schemas import LABEL_COLUMNS, MATCH_COLUMNS, require_columns
 from ..sources.shared import checkpointed
 from .align import evaluate_alignments
@@ -38,10 +38,14 @@ def candidates_exact(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     return labels.withColumn("_s", strip_tags(F.col("sequence"))).join(manifest, F.col("_s") == F.col("stripped")).drop("_s").withColumn("c_ord", F.col("m_ord"))
 
 
+def _bounds(size: Column) -> tuple[Column, Column]:
+    """The least and the greatest length of an entity in the band of a label of ``size`` letters."""
+    return F.greatest(F.lit(1), F.floor(size * 0.75)).cast("int"), (F.floor(size * 1.35) + 25).cast("int")
+
+
 def _bands(labels: DataFrame) -> DataFrame:
     """``labels``, a row for each bucket of lengths (``_b``) that its band ``_low`` to ``_high`` touches."""
-    size = F.length("sequence")
-    low, high = F.greatest(F.lit(1), F.floor(size * 0.75)).cast("int"), (F.floor(size * 1.35) + 25).cast("int")
+    low, high = _bounds(F.length("sequence"))
     left = labels.withColumn("_low", low).withColumn("_high", high)
     return left.withColumn("_b", F.explode(F.sequence((F.col("_low") / BUCKET).cast("int"), (F.col("_high") / BUCKET).cast("int"))))
 
@@ -69,6 +73,23 @@ def most_similar(scored: DataFrame, score: str, tie: str, top: int) -> DataFrame
     return scored.withColumn("c_ord", rank.cast("long")).where(F.col("c_ord") <= top)
 
 
+def _words(sequence: Column, k: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(sequence) - k + 1), lambda i: F.substring(sequence, i, F.lit(k))))
+
+
+def pairs_by_word(labels: DataFrame, manifest: DataFrame, k: int = 6) -> DataFrame:
+    """The pairs of ``length_band`` that share a word of ``k`` letters, from an index of words; no other pair is a row.
+
+    Only words, lengths and row numbers meet; a frequent word is split by adaptive execution.  A label of fewer letters
+    shares by definition, so its pairs are the whole band.
+    """
+    short = F.length("sequence") < k
+    left = labels.where(~short).select("label_id", *(bound.alias(name) for bound, name in zip(_bounds(F.length("sequence")), ("_low", "_high"), strict=True)), F.explode(_words(F.col("sequence"), k)).alias("_word"))
+    right = manifest.where(F.length("stripped") >= k).select("m_ord", F.length("stripped").alias("_size"), F.explode(_words(F.col("stripped"), k)).alias("_word"))
+    met = left.join(right, "_word").where(F.col("_size").between(F.col("_low"), F.col("_high"))).select("label_id", "m_ord").distinct()
+    return labels.join(met, "label_id").join(manifest, "m_ord").select(*labels.columns, *manifest.columns).unionByName(length_band(labels.where(short), manifest))
+
+
 def candidates_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     """The entities of the label's length band.
 
@@ -77,7 +98,7 @@ def candidates_band(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     """
     sized = with_band_size(labels, manifest)
     few = length_band(sized.where(F.col("_n") <= TOP), manifest).withColumn("c_ord", F.col("m_ord")).drop("_n")
-    scored = length_band(sized.where(F.col("_n") > TOP), manifest).where(shares_kmer(F.col("sequence"), F.col("stripped"))).withColumn("_score", quick_ratio(F.col("sequence"), F.col("stripped"))).where("_score > 0.5")
+    scored = pairs_by_word(sized.where(F.col("_n") > TOP), manifest).withColumn("_score", quick_ratio(F.col("sequence"), F.col("stripped"))).where("_score > 0.5")
     return few.unionByName(most_similar(scored, "_score", "m_ord", TOP).drop("_n", "_score"))
 
 

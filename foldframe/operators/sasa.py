@@ -13,6 +13,9 @@ from ..functions.chemistry import BACKBONE, max_asa
 RADII = {"H": 1.2, "C": 1.7, "N": 1.55, "O": 1.52, "F": 1.47, "P": 1.8, "S": 1.8, "SE": 1.9, "CL": 1.75}
 OTHER_RADIUS, PROBE = 2.0, 1.4
 
+#: Atoms beyond which a structure is cut, and the edge of its cubes in angstrom (some 11,000 atoms of a protein).
+LARGE, EDGE = 20_000, 48.0
+
 
 def sphere_points(n: int) -> np.ndarray:
     """``n`` points spread over the unit sphere along a golden spiral."""
@@ -34,25 +37,48 @@ def atom_areas(xyz: np.ndarray, elements: list[str], points: int = 100) -> np.nd
     for i, c in enumerate(map(tuple, cell)):
         where.setdefault(c, []).append(i)
     out = np.zeros(len(xyz))
-    for i, (a, b, c) in enumerate(cell):
-        near = np.array([j for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for z in (c - 1, c, c + 1) for j in where.get((x, y, z), ()) if j != i], int)
+    around: dict[tuple, np.ndarray] = {}  # the atoms of a cell and the cells next to it
+    for i, (a, b, c) in enumerate(map(tuple, cell)):
+        if (a, b, c) not in around:
+            around[a, b, c] = np.array([j for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for z in (c - 1, c, c + 1) for j in where.get((x, y, z), ())], int)
+        near = around[a, b, c]
+        near = near[near != i]
         near = near[((xyz[near] - xyz[i]) ** 2).sum(1) < (radius[near] + radius[i]) ** 2]
         dots = xyz[i] + radius[i] * sphere
-        free = np.ones(points, bool)
-        for j in near:
-            free &= ((dots - xyz[j]) ** 2).sum(1) > radius[j] ** 2
+        free = (((dots[:, None] - xyz[near]) ** 2).sum(2) > radius[near] ** 2).all(1)
         out[i] = free.mean() * 4 * np.pi * radius[i] ** 2
     return out
 
 
-def residue_areas(atoms_with_residue: DataFrame, points: int = 100) -> DataFrame:
-    """structure_id, residue, total_sasa, sidechain_sasa, relative_sasa, core_surface_flag; hetero residues have none."""
+def with_blocks(atoms: DataFrame, large: int = LARGE, edge: float = EDGE) -> DataFrame:
+    """``atoms`` with the ``block`` in which each is needed, and whether it is ``own`` there.
+
+    A structure of up to ``large`` atoms is one block.  A larger one is cut into cubes; an atom is its own cube's, and is
+    copied to those that it is so near to that it could touch an atom there, which at most seven are.
+    """
+    sizes = atoms.groupBy("structure_id").agg((F.count("*") > large).alias("_cut"))
+    halo = 2 * (max(*RADII.values(), OTHER_RADIUS) + PROBE)
+    cut = atoms.join(sizes, "structure_id")
+    cell = lambda c, shift=0.0: F.floor((F.col(c) + shift) / edge).cast("long")
+    for c in "xyz":
+        cut = cut.withColumn(f"_b{c}", F.explode(F.when(F.col("_cut"), F.sequence(cell(c, -halo), cell(c, halo))).otherwise(F.array(F.lit(0).cast("long")))))
+    own = ~F.col("_cut") | ((F.col("_bx") == cell("x")) & (F.col("_by") == cell("y")) & (F.col("_bz") == cell("z")))
+    return cut.withColumn("own", own).withColumn("block", F.struct("_bx", "_by", "_bz")).drop("_cut", "_bx", "_by", "_bz")
+
+
+def residue_areas(atoms_with_residue: DataFrame, points: int = 100, large: int = LARGE) -> DataFrame:
+    """structure_id, residue, total_sasa, sidechain_sasa, relative_sasa, core_surface_flag; hetero residues have none.
+
+    An atom's area depends on the atoms that it can touch alone, so blocks of a large structure give what the whole does.
+    """
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["residue", "name"])
         area = atom_areas(group[["x", "y", "z"]].to_numpy(float), group.element.tolist(), points)
-        return group[["structure_id", "residue", "aa", "name", "element", "hetero"]].assign(area=area)
+        return group[["structure_id", "residue", "aa", "name", "element", "hetero"]].assign(area=area)[group.own.to_numpy(bool)]
 
-    rows = atoms_with_residue.select("structure_id", "residue", "aa", "name", "element", "hetero", "x", "y", "z").groupBy("structure_id").applyInPandas(one, "structure_id string, residue int, aa string, name string, element string, hetero boolean, area double")
+    atoms = with_blocks(atoms_with_residue.select("structure_id", "residue", "aa", "name", "element", "hetero", "x", "y", "z"), large)
+    rows = atoms.groupBy("structure_id", "block").applyInPandas(one, "structure_id string, residue int, aa string, name string, element string, hetero boolean, area double")
     heavy = rows.where("element <> 'H' and not hetero")
     summed = heavy.groupBy("structure_id", "residue", "aa").agg(F.sum("area").alias("total_sasa"), F.coalesce(F.sum(F.when(~F.col("name").isin(*BACKBONE), F.col("area"))), F.lit(0.0)).alias("sidechain_sasa"))
     share = F.col("total_sasa") / max_asa(F.col("aa"))

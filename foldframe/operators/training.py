@@ -8,17 +8,19 @@ import os
 import pickle
 import random
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CHI_COLUMNS, require_rows
+from ..sources.shared import checkpointed, scratch
 from .dataset import fit_normalizer
-from .rows import masked, members
+from .rows import dense_index, masked, members
 
 # The model inputs of the data contract, in order.
 NUMERIC_FEATURES = [
@@ -29,6 +31,8 @@ NUMERIC_FEATURES = [
 # The size of the model, and the variants that an ablation run compares.
 HIDDEN, DROPOUT = 128, 0.1
 VARIANTS = [("embedding_only", "embedding", 0.0), ("sidechain_only", "sidechain", 0.0), ("fusion_lambda0", "fusion", 0.0), ("fusion_lambda02", "fusion", 0.2), ("fusion_lambda1", "fusion", 1.0)]
+#: Rows that a task trains on, and models that the driver averages.
+SHARD_ROWS, TEAMS = 50_000, 64
 
 
 def seed_everything(seed: int) -> None:
@@ -99,39 +103,58 @@ class Perceptron:
         return float(np.mean(np.logaddexp(0, z) - y * z))
 
 
-def fit_perceptron(data: DataFrame, seed: int = 13, epochs: int = 5, batch: int = 256, rate: float = 1e-3, workers: int = 16) -> tuple[Perceptron, list[dict]]:
-    """Each epoch every partition trains a copy on its own shuffled batches; the copies are averaged by rows.
+def averaged(copies: list[Perceptron], rows: list[int]) -> Perceptron:
+    """The mean of models, weighted by the rows that each has seen."""
+    out, share = copies[0], np.array(rows, float) / sum(rows)
+    for name in ("p", "m", "v"):
+        setattr(out, name, [sum(w * getattr(c, name)[i] for w, c in zip(share, copies, strict=True)) for i in range(4)])
+    out.step = max(c.step for c in copies)
+    return out
 
-    At most ``workers`` copies (of the size of the model) come back to the driver; with one partition this is plain
-    mini-batch training.
+
+def _shard_trainer(packed: bytes, seed: int, epoch: int, batch: int, rate: float) -> Callable[[pa.Table], pa.Table]:
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_i")
+        own, shard = pickle.loads(packed), part.column("_shard")[0].as_py()
+        x = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        y, r, loss = part.column("y").to_numpy(), np.random.default_rng([seed, epoch, shard]), []
+        order = r.permutation(len(y))
+        for i in range(0, len(y), batch):
+            pick = order[i : i + batch]
+            loss.append(own.train_batch(x[pick].astype(float), y[pick], rate, r))
+        columns = {"team": (shard % TEAMS, pa.int32()), "shard": (shard, pa.int32()), "model": (pickle.dumps(own), pa.binary()), "loss": (sum(loss), pa.float64()), "batches": (len(loss), pa.int64()), "n": (len(y), pa.int64())}
+        return pa.table({name: pa.array([value], kind) for name, (value, kind) in columns.items()})
+
+    return run
+
+
+def _merge(part: pd.DataFrame) -> pd.DataFrame:
+    """One model of a team's."""
+    part = part.sort_values("shard")
+    mean = averaged([pickle.loads(m) for m in part.model], part.n.tolist())
+    return pd.DataFrame({"team": [part.team.iloc[0]], "model": [pickle.dumps(mean)], "loss": [part.loss.sum()], "batches": [part.batches.sum()], "n": [part.n.sum()]})
+
+
+def fit_perceptron(data: DataFrame, seed: int = 13, epochs: int = 5, batch: int = 256, rate: float = 1e-3, shard_rows: int = SHARD_ROWS) -> tuple[Perceptron, list[dict]]:
+    """Each epoch a copy of the model is trained on the shuffled batches of every shard; the copies are averaged by rows.
+
+    A shard has about ``shard_rows`` rows, which one task holds; up to that many rows this is plain mini-batch training.
+    Rows are numbered in the order of their hash and dealt out in turn, so shards, batches and model depend on the rows
+    alone, not on partitions, and equal rows are spread evenly.  Copies are averaged in tasks first; at most ``TEAMS`` of
+    them come to the driver.
     """
-    n = data.rdd.getNumPartitions()
-    data = data.coalesce(min(n, workers)).cache()
-    width = len(data.first().x)
-    model, history = Perceptron(width, seed), []
-    for epoch in range(epochs):
-        packed = pickle.dumps(model)
-
-        def run(parts: Iterator[pd.DataFrame], packed: bytes = packed, epoch: int = epoch) -> Iterator[pd.DataFrame]:
-            own, r = pickle.loads(packed), np.random.default_rng([seed, epoch])
-            loss, batches, rows = 0.0, 0, 0
-            for part in parts:
-                x, y = np.stack(part.x.to_numpy()).astype(float), part.y.to_numpy(float)
-                order = r.permutation(len(y))
-                for i in range(0, len(y), batch):
-                    pick = order[i : i + batch]
-                    loss, batches, rows = loss + own.train_batch(x[pick], y[pick], rate, r), batches + 1, rows + len(pick)
-            if rows:
-                yield pd.DataFrame({"model": [pickle.dumps(own)], "loss": [loss], "batches": [batches], "n": [rows]})
-
-        done = data.mapInPandas(run, "model binary, loss double, batches long, n long").collect()
-        copies, share = [pickle.loads(r.model) for r in done], np.array([r.n for r in done], float)
-        share /= share.sum()
-        for name in ("p", "m", "v"):
-            setattr(model, name, [sum(w * getattr(c, name)[i] for w, c in zip(share, copies, strict=True)) for i in range(4)])
-        model.step = max(c.step for c in copies)
-        history.append({"epoch": epoch + 1, "loss": sum(r.loss for r in done) / sum(r.batches for r in done)})
-    data.unpersist()
+    spark = data.sparkSession
+    with scratch(spark):
+        keyed = data.select("x", "y", F.xxhash64("x", "y").alias("_h"), F.monotonically_increasing_id().alias("_t"))
+        numbered = dense_index(keyed, ["_h", "_t"], "_i")
+        shards = max(1, -(-numbered.count() // shard_rows))
+        ready = checkpointed(numbered.select("x", "y", "_i", (F.col("_i") % shards).cast("int").alias("_shard")))
+        model, history = Perceptron(len(ready.first().x), seed), []
+        for epoch in range(epochs):
+            copies = ready.groupBy("_shard").applyInArrow(_shard_trainer(pickle.dumps(model), seed, epoch, batch, rate), "team int, shard int, model binary, loss double, batches long, n long")
+            done = sorted(copies.groupBy("team").applyInPandas(_merge, "team int, model binary, loss double, batches long, n long").collect())
+            model = averaged([pickle.loads(r.model) for r in done], [r.n for r in done])
+            history.append({"epoch": epoch + 1, "loss": sum(r.loss for r in done) / sum(r.batches for r in done)})
     return model, history
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESIDUES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
@@ -36,7 +36,7 @@ def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of part name and type as an entity."""
     part = table(spark, sf_dir, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("ord"))
-    return part.select(F.concat("p_name", F.lit("/"), "p_type").alias("protein_id"), residue_letters(F.concat("p_name", F.substring("p_type", 1, 2))).alias("sequence"), "ord")
+    return part.select(F.concat("p_name", F.lit("/"), "p_type").alias("protein_id"), residue_letters(F.concat("p_name", "p_type")).alias("sequence"), "ord")
 
 
 def name_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,3 +63,15 @@ def cysteine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.format_string("ATOM  %5d %-4s %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("vec_id") % 100000, F.lit("SG"), F.lit("CYS"), F.col("vec_id") % 10000, *xyz, F.lit(1.0), F.lit(50.0), F.lit("S"))
     structure_id = F.concat(F.lit("s"), F.col("label").cast("string"), F.lit("-"), F.floor(F.col("vec_id") / 10000).cast("string"))
     return v.select(structure_id.alias("structure_id"), F.col("vec_id").alias("line_no"), line.alias("line"))
+
+
+def backbone_residues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a residue, whose first twelve components are its backbone; every fifth is a proline.
+
+    Structures hold the vectors of a label among 1,000 ids.
+    """
+    v = table(spark, sf_dir, "embeddings").where("label is not null")
+    atoms = F.array(*(F.struct(F.lit(name).alias("name"), *((F.col("embedding")[3 * k + j].cast("double") * 40).alias(c) for j, c in enumerate("xyz"))) for k, name in enumerate(ATOMS[:4])))
+    structure_id = F.concat(F.lit("s"), F.col("label").cast("string"), F.lit("-"), F.floor(F.col("vec_id") / 1000).cast("string"))
+    rows = v.select(structure_id.alias("structure_id"), F.lit("A").alias("chain"), "vec_id", F.when(F.col("vec_id") % 5 == 0, "PRO").otherwise("ALA").alias("resname"), atoms.alias("atoms"))
+    return rows.withColumn("residue", (F.row_number().over(Window.partitionBy("structure_id").orderBy("vec_id")) - 1).cast("int"))

@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chemistry, sequences
-from ..operators import align, clustering, dataset, embeddings, features, matching, rows, sasa, structure, training
+from ..operators import align, clustering, dataset, embeddings, features, matching, rows, sasa, secondary, structure, training
 from ..schemas import MATCH_COLUMNS
 from ..sources.readers import resolve_structure_paths
+from ..sources.shared import checkpointed
 from ..sources.writers import fasta_record
-from .inputs import cysteine_lines, name_labels, name_manifest, residue_letters, table, tagged_parts, type_manifest, vector_lines
+from .inputs import backbone_residues, cysteine_lines, name_labels, name_manifest, residue_letters, table, tagged_parts, type_manifest, vector_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,7 +39,7 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 AA = "regexp_replace(upper(regexp_replace({}, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')"
 TAGGED = f"SELECT p_partkey, repeat('H', (p_size % 12)::INT) || {AA.format('p_name')} || repeat('H', (p_partkey % 9)::INT) AS seq FROM part"
 LABELS = f"SELECT p_name, {AA.format('p_name')} AS sequence FROM (SELECT DISTINCT p_name FROM part)"
-MANIFEST = f"SELECT p_name || '/' || p_type AS protein_id, {AA.format("p_name || substr(p_type, 1, 2)")} AS target FROM (SELECT DISTINCT p_name, p_type FROM part)"
+MANIFEST = f"SELECT p_name || '/' || p_type AS protein_id, {AA.format("p_name || p_type")} AS target FROM (SELECT DISTINCT p_name, p_type FROM part)"
 ATOM_SQL = """SELECT 's' || label AS structure_id, vec_id, (vec_id // 7) AS resseq, ['N','CA','C','O','CB','SG','CG'][vec_id % 7 + 1] AS name,
     ['A','R','N','D','C','Q','E','G','H','I','L','K','M','F','P','S','T','W','Y','V'][(vec_id // 7) % 20 + 1] AS aa,
     printf('%8.3f', embedding[1]::DOUBLE * 40)::DOUBLE AS x, printf('%8.3f', embedding[2]::DOUBLE * 40)::DOUBLE AS y, printf('%8.3f', embedding[3]::DOUBLE * 40)::DOUBLE AS z FROM embeddings"""
@@ -231,7 +232,7 @@ def _match_sql(entities: str) -> str:
       FROM l LEFT JOIN (FROM ranked WHERE place = 1) r USING (p_name))"""
 
 
-_PAIR_ENTITIES = f"SELECT p_name || '/' || p_type AS protein_id, {AA.format("p_name || substr(p_type, 1, 2)")} AS target, min(p_partkey) AS ord FROM part GROUP BY p_name, p_type"
+_PAIR_ENTITIES = f"SELECT p_name || '/' || p_type AS protein_id, {AA.format("p_name || p_type")} AS target, min(p_partkey) AS ord FROM part GROUP BY p_name, p_type"
 _NAME_ENTITIES = f"SELECT p_name AS protein_id, {AA.format('p_name')} || 'HHHHHHH' AS target, min(p_partkey) AS ord FROM part GROUP BY p_name"
 
 
@@ -371,6 +372,49 @@ def extract_features(spark, sf_dir):
     return features.extract_features(_structure_manifest(spark, sf_dir), vector_lines(spark, sf_dir))[0]
 
 
+_CHI1 = "CASE WHEN aa IN ('R','N','D','Q','E','H','L','K','M','F','P','W','Y') THEN 'CG' WHEN aa = 'C' THEN 'SG' END"
+_GEOMETRY = ["sidechain_centroid_x", "sidechain_centroid_y", "sidechain_centroid_z", "ca_to_sidechain_centroid_distance", "sidechain_spread", "plddt", "chi1_sin", "chi1_cos"]
+_COUNTED = ["contact_count_4a", "contact_count_6a", "contact_count_8a", "packing_density_8a", "hydrophobic_contact_count", "polar_contact_count", "charged_contact_count", "aromatic_contact_count", "salt_bridge_count", "cation_pi_count"]
+
+
+# Each protein has the sequence of its structure, so its letters are the residues, but in terminal tags.
+@query(f"""WITH {PAIRS_SQL},
+    places AS (SELECT structure_id, resseq, any_value(aa) AS aa, row_number() OVER (PARTITION BY structure_id ORDER BY min(vec_id))::INT AS pos FROM atoms GROUP BY 1, 2),
+    chains AS (SELECT structure_id, string_agg(aa, '' ORDER BY pos) AS seq, count(*) AS size FROM places GROUP BY 1),
+    ends AS (SELECT *, length(regexp_extract(seq, '^H{{6,}}')) AS n, length(regexp_extract(seq, 'H{{6,}}$')) AS c FROM chains),
+    side AS (SELECT structure_id, resseq, count(*)::INT AS heavy, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, sqrt(var_pop(x) + var_pop(y) + var_pop(z)) AS spread FROM atoms WHERE name NOT IN ('N', 'CA', 'C', 'O') GROUP BY 1, 2),
+    alpha AS (SELECT structure_id, resseq, x, y, z FROM atoms WHERE name = 'CA'),
+    met AS (SELECT structure_id, i, count(*) FILTER (dist <= 4) AS contact_count_4a, count(*) FILTER (dist <= 6) AS contact_count_6a, count(*) FILTER (dist <= 8) AS contact_count_8a, sum(t.n) FILTER (dist <= 8) AS packing_density_8a,
+      {", ".join(f"count(*) FILTER (dist <= 8 AND contains('{letters}', aj)) AS {name}_contact_count" for name, letters in (("hydrophobic", "AVILMFYW"), ("polar", "STNQC"), ("charged", "DEKRH"), ("aromatic", "FYWH")))},
+      count(*) FILTER (dist <= 8 AND ((contains('KRH', ai) AND contains('DE', aj)) OR (contains('DE', ai) AND contains('KRH', aj)))) AS salt_bridge_count,
+      count(*) FILTER (dist <= 8 AND ((contains('KRH', ai) AND contains('FYWH', aj)) OR (contains('FYWH', ai) AND contains('KRH', aj)))) AS cation_pi_count
+      FROM pairs p JOIN (SELECT structure_id AS s, resseq AS r, n FROM sizes) t ON t.s = p.structure_id AND t.r = p.j GROUP BY 1, 2),
+    sulphur AS (SELECT structure_id, resseq, x, y, z FROM atoms WHERE name = 'SG' AND aa = 'C'),
+    bound AS (SELECT DISTINCT a.structure_id, a.resseq FROM sulphur a JOIN sulphur b ON a.structure_id = b.structure_id AND a.resseq <> b.resseq WHERE sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) <= 2.3),
+    four AS (SELECT structure_id, resseq, {", ".join(f"max({c}) FILTER (name = {name}) AS {c}{k}" for k, name in enumerate(("'N'", "'CA'", "'CB'", _CHI1)) for c in "xyz")} FROM atoms GROUP BY 1, 2),
+    b AS (SELECT structure_id, resseq, {", ".join(f"{a}0-{a}1 AS b0{a}, {a}2-{a}1 AS b1{a}, {a}3-{a}2 AS b2{a}" for a in "xyz")} FROM four WHERE x0 + x1 + x2 + x3 IS NOT NULL),
+    u AS (SELECT *, {", ".join(f"b1{a}/sqrt(b1x*b1x+b1y*b1y+b1z*b1z) AS u{a}" for a in "xyz")} FROM b),
+    d AS (SELECT *, b0x*ux+b0y*uy+b0z*uz AS s0, b2x*ux+b2y*uy+b2z*uz AS s2 FROM u),
+    v AS (SELECT structure_id, resseq, ux, uy, uz, {", ".join(f"b0{a}-s0*u{a} AS v{a}, b2{a}-s2*u{a} AS w{a}" for a in "xyz")} FROM d),
+    chi AS (SELECT structure_id, resseq, atan2({"+".join(f"{c}*w{a}" for c, a in zip(_CROSS("u", "v"), "xyz", strict=True))}, vx*wx+vy*wy+vz*wz) AS angle FROM v),
+    f AS (SELECT p.structure_id, p.pos, p.aa, coalesce(heavy, 0) AS heavy, heavy > 0 AND p.aa <> 'G' AS has, cx, cy, cz, spread, a.x IS NOT NULL AS ca, sqrt((a.x-cx)*(a.x-cx)+(a.y-cy)*(a.y-cy)+(a.z-cz)*(a.z-cz)) AS far,
+      {", ".join(f"coalesce({c}, 0)::INT AS {c}" for c in _COUNTED)}, (b.resseq IS NOT NULL)::INT AS disulfide_flag, angle
+      FROM places p LEFT JOIN side s USING (structure_id, resseq) LEFT JOIN alpha a USING (structure_id, resseq) LEFT JOIN met m ON m.structure_id = p.structure_id AND m.i = p.resseq LEFT JOIN bound b ON b.structure_id = p.structure_id AND b.resseq = p.resseq LEFT JOIN chi ON chi.structure_id = p.structure_id AND chi.resseq = p.resseq
+      JOIN ends e ON e.structure_id = p.structure_id WHERE greatest(size - n - c, 0) / size >= 0.9 AND p.pos > n AND p.pos <= size - c)
+    SELECT p.structure_id AS protein_id, '' AS entity_id, p.pos AS sequence_pos_1based, p.aa AS amino_acid, (f.pos IS NOT NULL)::INT AS feature_valid_mask,
+      CASE WHEN f.pos IS NULL THEN NULL WHEN contains('AVILM', f.aa) THEN 'hydrophobic' WHEN contains('FYW', f.aa) THEN 'aromatic' WHEN contains('STNQC', f.aa) THEN 'polar' WHEN contains('GP', f.aa) THEN 'special' WHEN contains('DE', f.aa) THEN 'negative' ELSE 'positive' END AS residue_chemical_class,
+      heavy AS sidechain_heavy_atom_count, CASE WHEN has THEN round(cx, 5) END AS sidechain_centroid_x, CASE WHEN has THEN round(cy, 5) END AS sidechain_centroid_y, CASE WHEN has THEN round(cz, 5) END AS sidechain_centroid_z,
+      CASE WHEN f.pos IS NOT NULL THEN coalesce(has, false)::INT END AS sidechain_centroid_mask, CASE WHEN has THEN round(far, 5) END AS ca_to_sidechain_centroid_distance, CASE WHEN has THEN round(spread, 5) END AS sidechain_spread,
+      CASE WHEN f.pos IS NOT NULL THEN coalesce(has AND ca, false)::INT END AS sidechain_geometry_mask, {", ".join(_COUNTED)}, CASE WHEN f.pos IS NOT NULL THEN 0 END AS hydrogen_bond_count, disulfide_flag,
+      CASE WHEN f.pos IS NOT NULL THEN 50.0::DOUBLE END AS plddt, CASE WHEN f.pos IS NOT NULL THEN 0 END AS sasa_mask, round(sin(angle), 5) AS chi1_sin, round(cos(angle), 5) AS chi1_cos, CASE WHEN f.pos IS NOT NULL THEN (angle IS NOT NULL)::INT END AS chi1_mask
+    FROM places p LEFT JOIN f ON f.structure_id = p.structure_id AND f.pos = p.pos""")
+def extract_geometry(spark, sf_dir):
+    """Features of every residue without areas; the structures have no atoms beyond chi1."""
+    found, _ = features.extract_features(_structure_manifest(spark, sf_dir), vector_lines(spark, sf_dir), sasa=False)
+    absent = [c for c in found.columns if c in ("total_sasa", "sidechain_sasa", "relative_sasa", "core_surface_flag", "dssp", "dssp_mask") or c[:4] in ("chi2", "chi3", "chi4")]
+    return rounded(found.drop(*absent), *_GEOMETRY, places=5)
+
+
 # Each protein has the sequence of its structure, and a text aligned with itself pairs every letter with itself.
 @query(f"""WITH s AS (SELECT structure_id AS protein_id, string_agg(aa, '' ORDER BY v) AS seq FROM (SELECT structure_id, resseq, any_value(aa) AS aa, min(vec_id) AS v FROM ({ATOM_SQL}) GROUP BY 1, 2) GROUP BY 1),
     t AS (SELECT *, length(seq)::INT AS size, length(regexp_extract(seq, '^H{{6,}}')) AS n, length(regexp_extract(seq, 'H{{6,}}$')) AS c FROM s),
@@ -427,22 +471,49 @@ def path_resolve(spark, sf_dir):
     return resolve_structure_paths(pages, "/data").select("page_id", "pdb_path")
 
 
-@query("SELECT vec_id, (len(embedding) + 2)::INT AS width, round(embedding[1]::DOUBLE, 6) AS head, round(label::DOUBLE, 6) AS tail FROM embeddings")
+@query("""SELECT vec_id, i::INT AS place, round(list_concat(embedding, [vec_id::FLOAT, label::FLOAT])[i + 1]::DOUBLE, 6) AS value
+    FROM (SELECT vec_id, label, embedding, unnest(range(0, len(embedding) + 2)) AS i FROM embeddings)""")
 def embedding_join_concat(spark, sf_dir):
+    """Every element of the joined model inputs."""
     v = table(spark, sf_dir, "embeddings")
-    data = v.select(F.col("vec_id").alias("protein_id"), F.lit(1).alias("sequence_pos_1based"), (F.col("vec_id") * 0 + F.col("vec_id")).alias("label"), F.col("vec_id").cast("double").alias("f1"), F.col("label").cast("double").alias("f2"))
+    data = v.select(F.col("vec_id").alias("protein_id"), F.lit(1).alias("sequence_pos_1based"), F.col("vec_id").alias("label"), F.col("vec_id").cast("double").alias("f1"), F.col("label").cast("double").alias("f2"))
     emb = v.select(F.col("vec_id").alias("protein_id"), F.lit(1).alias("position"), "embedding")
     x = training.model_inputs(data, ["f1", "f2"], "fusion", emb)
-    return x.select(F.col("y").cast("long").alias("vec_id"), F.size("x").alias("width"), F.round(F.get("x", F.lit(0)).cast("double"), 6).alias("head"), F.round(F.element_at("x", -1).cast("double"), 6).alias("tail"))
+    return x.select(F.col("y").cast("long").alias("vec_id"), F.posexplode("x").alias("place", "v")).select("vec_id", "place", F.round(F.col("v").cast("double"), 6).alias("value"))
 
 
-@query("SELECT vec_id, round(embedding[1]::DOUBLE, 2) AS value FROM embeddings")
+# A number of 16 bits has eleven significant binary digits, fewer below 2 ** -14.
+@query("""SELECT vec_id, i::INT AS place, CASE WHEN x = 0 THEN 0 ELSE round_even(x * scale, 0) / scale END AS value
+    FROM (SELECT *, pow(2::DOUBLE, 10 - greatest(floor(log2(abs(CASE WHEN x = 0 THEN 1 ELSE x END))), -14)) AS scale FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings))""")
 def half_precision(spark, sf_dir):
-    @F.pandas_udf("float")
+    """Every component as it comes back from 16 bits."""
+
+    @F.pandas_udf("array<float>")
     def half(x):
-        return pd.Series(embeddings.half_precision(x))
+        return pd.Series([embeddings.half_precision(v) for v in x])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(half("embedding")).alias("place", "v")).select("vec_id", "place", F.col("v").cast("double").alias("value"))
 
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(half(F.round(F.col("embedding")[0], 2)).cast("double"), 2).alias("value"))
+
+_POINTS = ", ".join(f"embedding[{3 * k + j + 1}]::DOUBLE * 40 AS {a}{c}" for k, a in enumerate(("n", "m", "c", "o")) for j, c in enumerate("xyz"))
+_APART = lambda p, q: "sqrt(" + " + ".join(f"({p}{c} - {q}{c}) * ({p}{c} - {q}{c})" for c in "xyz") + ")"
+
+
+@query(f"""WITH v AS (SELECT 's' || label || '-' || vec_id // 1000 AS structure_id, vec_id, {_POINTS} FROM embeddings WHERE label IS NOT NULL),
+    r AS (SELECT *, (row_number() OVER w - 1)::INT AS residue, {", ".join(f"lag({a}{c}) OVER w AS p{a}{c}" for a in "co" for c in "xyz")} FROM v WINDOW w AS (PARTITION BY structure_id ORDER BY vec_id)),
+    h AS (SELECT *, {", ".join(f"n{c} + (pc{c} - po{c}) / {_APART('pc', 'po')} AS h{c}" for c in "xyz")} FROM r WHERE residue > 0 AND vec_id % 5 <> 0),
+    t AS (SELECT a.structure_id, a.residue AS acceptor, h.residue AS donor, {_APART("a.o", "h.n")} AS oxn, {_APART("a.c", "h.h")} AS cxh, {_APART("a.o", "h.h")} AS oxh, {_APART("a.c", "h.n")} AS cxn
+      FROM h JOIN r a ON a.structure_id = h.structure_id AND a.residue <> h.residue AND a.residue <> h.residue - 1 WHERE {_APART("a.m", "h.m")} <= 9)
+    SELECT structure_id, acceptor, donor, round(CASE WHEN least(oxn, cxh, oxh, cxn) < 0.5 THEN -9.9::DOUBLE ELSE 27.888::DOUBLE * (1 / oxn + 1 / cxh - 1 / oxh - 1 / cxn) END, 5) AS energy FROM t""")
+def backbone_bonds(spark, sf_dir):
+    """Energy of every near pair of a carbonyl and an amide, with all neighbours along a chain taken as bonded."""
+    chain = checkpointed(secondary.backbone(backbone_residues(spark, sf_dir), longest_bond=1e9))
+    return rounded(secondary.bond_energies(chain), "energy", places=5)
+
+
+@query()
+def secondary_structure(spark, sf_dir):
+    return secondary.assign(backbone_residues(spark, sf_dir))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_shipdate, CASE WHEN l_returnflag = 'N' THEN l_quantity END AS l_quantity FROM lineitem")

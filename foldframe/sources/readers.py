@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import entity_from_id
+from ..operators.rows import dense_index
 from ..schemas import require_columns
 from .shared import checkpointed, exists, files_of
 
@@ -25,20 +26,26 @@ def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     first = path if isinstance(path, str) else path[0]
     found = spark.read.parquet(*([path] if isinstance(path, str) else path)) if first.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True)
-    return found.drop("commit")
+    return found.drop("commit") if "commit" in found.columns else found
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """``ord``: ascending with a row's place in its file (block start and row in it), unique over all files."""
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    """``ord``: 0-based number of a row in the order of paths and of rows in each file.
+
+    ``df`` is a scan.  Spark packs blocks of files into tasks by size, so the order of tasks is not that of files; a
+    row's place is its file, the start of its block, and its number in the task, which goes on within a block.
+    """
+    place = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    return dense_index(place, ["_path", "_start", "_row"], "ord").drop("_path", "_start", "_row")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     manifest = read_table(spark, path)
     require_columns(manifest, {"protein_id", "sequence"}, "Manifest missing required columns")
+    manifest = with_file_order(manifest)
     if "entity_id" not in manifest.columns:
         manifest = manifest.withColumn("entity_id", entity_from_id(F.col("protein_id")))
-    return with_file_order(manifest)
+    return manifest
 
 
 def read_label_zip(spark: SparkSession, path: str) -> DataFrame:

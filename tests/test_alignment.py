@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -93,3 +94,43 @@ def test_dihedral_signs(spark):
     got = df.select("want", S.dihedral([lit(1, 0, 0), lit(0, 0, 0), lit(0, 1, 0), (F.col("x"), F.col("y"), F.col("z"))]).alias("a")).collect()
     for r in got:
         assert math.sin(r.a) == pytest.approx(math.sin(r.want), abs=1e-9) and math.cos(r.a) == pytest.approx(math.cos(r.want), abs=1e-9)
+
+
+def whole_matrix(a, b, match=2, mismatch=-1, gap=-2):
+    """The best alignment from the whole score matrix, cell by cell."""
+    score = [[gap * (i + j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            score[i][j] = max(score[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch), score[i - 1][j] + gap, score[i][j - 1] + gap)
+    i, j, pairs, moves = len(a), len(b), [], []
+    while i or j:
+        if i and j and score[i][j] == score[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+            moves.append((a[i], b[j]))
+        elif i and score[i][j] == score[i - 1][j] + gap:
+            i -= 1
+            moves.append((a[i], "-"))
+        else:
+            j -= 1
+            moves.append(("-", b[j]))
+    return "".join(m[0] for m in moves[::-1]), "".join(m[1] for m in moves[::-1]), score[-1][-1], pairs[::-1]
+
+
+def test_rows_made_again_keep_every_tie():
+    r = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ACD") for _ in range(r.randint(0, 25))) for _ in range(2))
+        want = whole_matrix(a, b)
+        assert A.align_one(a, b, cells=1) == want and A.align_one(a, b) == want
+
+
+def test_memory_of_long_alignments():
+    r = random.Random(7)
+    a = "".join(r.choice("ACDEFGHIKL") for _ in range(9000))
+    b = a[50:4000] + a[4100:]
+    tracemalloc.start()
+    found = A.align_one(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[2] == 2 * len(b) - 2 * (len(a) - len(b)) and peak < 20e6  # the matrix would hold 320 MB

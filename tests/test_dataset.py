@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import zipfile
 
 import numpy as np
@@ -106,6 +107,17 @@ def test_training_and_ablations(spark, tmp_path):
     assert T.run_ablations(data, split, str(tmp_path / "ab"), emb, epochs=1).ablation.tolist() == [v[0] for v in T.VARIANTS] and (tmp_path / "ab" / "ablation_index.csv").exists()
 
 
+def test_model_does_not_depend_on_partitions(spark):
+    """Several shards, equal rows among them."""
+    r = np.random.default_rng(2)
+    rows = [([float(a), float(b)], float(a + b > 0)) for a, b in r.normal(size=(300, 2))] + [([1.0, 1.0], 1.0)] * 150
+    frame = spark.createDataFrame(rows, "x array<float>, y double")
+    models = [T.fit_perceptron(frame.repartition(n), epochs=2, batch=16, shard_rows=100) for n in (1, 7, 64)]
+    for model, history in models[1:]:
+        assert all(np.array_equal(p, q) for p, q in zip(model.p, models[0][0].p, strict=True)) and history == models[0][1]
+    assert models[0][1][1]["loss"] < models[0][1][0]["loss"]
+
+
 def test_command_line(spark, tmp_path):
     def fake(sequences):
         return [np.arange(len(s) * 2, dtype=float).reshape(-1, 2) / 3 for s in sequences]
@@ -167,6 +179,35 @@ def test_ranking_metrics_of_continuous_scores(spark, partitions):
         assert len(found) == 4 and abs(overall.AUROC - auc) < 1e-9 and abs(overall.AUPRC - ap) < 1e-9
 
 
+def test_exact_split_is_that_of_the_seeded_shuffle(spark):
+    names = [f"c{i:03}é" if i % 2 else f"C{i}" for i in range(57)]
+    found = {r.cluster: r.split for r in D.exact_split(spark.createDataFrame([(c,) for c in names], "cluster string").repartition(5), 0.15, 0.2, 7).collect()}
+    shuffled = sorted(names)
+    random.Random(7).shuffle(shuffled)
+    assert found == {c: "test" if i < 11 else "val" if i < 11 + 9 else "train" for i, c in enumerate(shuffled)}
+    assert D.exact_split(spark.createDataFrame([], "cluster string"), 0.1, 0.1, 1).count() == 0
+
+
+def test_rows_keep_the_order_of_files(spark, tmp_path):
+    """Files of unlike size, which Spark deals to tasks by size, and blocks of one file."""
+    frames, n = [], 0
+    (tmp_path / "m").mkdir()
+    for name, size in (("a.csv", 7), ("b.csv", 900), ("c.csv", 60)):
+        frames.append(pd.DataFrame({"protein_id": [f"p{n + i}" for i in range(size)], "sequence": "ACDEFGHIKL"}))
+        frames[-1].to_csv(tmp_path / "m" / name, index=False)
+        n += size
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        ordered = readers.read_manifest(spark, f"file://{tmp_path}/m").withColumn("row_index", F.col("ord"))
+        whole = pd.concat(frames, ignore_index=True)
+        assert [r.protein_id for r in ordered.orderBy("ord").collect()] == whole.protein_id.tolist()
+        part = R.select_rows(ordered, "row_index", limit=950, start=3, count=940, shard_index=1, num_shards=4)
+        assert sorted(r.protein_id for r in part.collect()) == sorted(whole.iloc[:950].iloc[3:943].iloc[1::4].protein_id)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_commands_of_training(spark, tmp_path):
     r = np.random.default_rng(4)
     rows = [f"p{i % 6},{i // 6 + 1},{int(x > 0)},1,{x:.4f}" for i, x in enumerate(r.normal(size=120))]

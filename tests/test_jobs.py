@@ -7,7 +7,7 @@ from pathlib import Path
 
 import pytest
 
-from jobs import evaluate_new, training_set
+from jobs import evaluate_new, queries, training_set
 
 DATA = "/root/testdata/sf0.001"
 ROOT = Path(__file__).resolve().parents[1]
@@ -118,8 +118,15 @@ def test_command_lines(job, tmp_path):
     assert list((tmp_path / "out").rglob("*=*/*.parquet"))
 
 
-def test_jobs_are_registered_with_sql():
-    import __spark_entry__
+@pytest.mark.parametrize("name", list(queries.QUERIES))
+def test_registered_jobs_equal_their_sql(spark, name):
+    import duckdb
 
-    for name in ("job1_training_set", "job2_evaluate_new"):
-        assert name in __spark_entry__.queries() and name in __spark_entry__.oracle_sql()
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    got, want = queries.QUERIES[name](spark, DATA), db.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(columns) == sorted(got.columns)
+    plain = lambda rows: sorted(repr([0.0 if v == 0 else v for v in r]) for r in rows)  # noqa: E731  (no minus zero)
+    assert plain(got.select(*columns).collect()) == plain(want.fetchall())

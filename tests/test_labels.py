@@ -1,8 +1,11 @@
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
+from foldframe.functions.sequences import shares_kmer
 from foldframe.operators import matching as M
 from foldframe.sources import readers
 
@@ -63,6 +66,16 @@ def test_candidate_top(spark):
     assert len(found) == M.TOP and sorted(r.c_ord for r in found) == list(range(1, M.TOP + 1))
 
 
+def test_indexed_pairs_are_those_of_the_band_that_share_a_word(spark):
+    r = random.Random(3)
+    m = manifest(spark, [(f"p{i}", None, ("ACDEFG" if i % 3 else "") + "".join(r.choice("ACD") for _ in range(r.randint(0, 20)))) for i in range(120)])
+    l = labels(spark, [(f"l{i}", s := "".join(r.choice("ACDG") for _ in range(r.randint(1, 15))) + ("CDEFGA" if i % 2 else ""), "A" * len(s)) for i in range(30)])  # noqa: E741
+    ready, known = M.prepare_labels(l), M.prepare_manifest(m)
+    want = M.length_band(ready, known).where(shares_kmer(F.col("sequence"), F.col("stripped")))
+    got = M.pairs_by_word(ready, known)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
+
+
 def test_partition_invariance(spark, partitions):
     m = manifest(spark, [("a", "1", "ACDEFG"), ("b", "2", "ACDEFGHHHHHH"), ("c", "3", "MKLV")])
     l = labels(spark, [("e1", "MKLV", "AX.Y"), ("e2", "ACDEFG", "......")])  # noqa: E741

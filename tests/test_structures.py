@@ -105,6 +105,20 @@ def test_paths(spark):
     assert got(readers.resolve_structure_paths(m, "/base", "/root", have)) == {"p": "/root/p.pdb", "q": "/x/q.pdb", "r": "/root/b.pdb", "t": "/root/sub/c.pdb"}
 
 
+def test_areas_of_a_cut_structure_are_those_of_the_whole(spark):
+    r = np.random.default_rng(5)
+    points = r.uniform(-60, 60, (1500, 3))
+    rows = [("s", i // 5, "A", f"C{i % 5}" if i % 7 else "CA", str(r.choice(["C", "N", "O", "S", "ZN"])), False, *map(float, xyz)) for i, xyz in enumerate(points)]
+    rows += [("t", i, "G", "CA", "C", i == 2, float(i), 0.0, 0.0) for i in range(4)]
+    atoms = spark.createDataFrame(rows, "structure_id string, residue int, aa string, name string, element string, hetero boolean, x double, y double, z double")
+    whole = {(v.structure_id, v.residue): v for v in sasa.residue_areas(atoms, 40).collect()}
+    parts = {(v.structure_id, v.residue): v for v in sasa.residue_areas(atoms, 40, large=100).collect()}
+    assert whole.keys() == parts.keys() and len(whole) == 303
+    assert all(abs(whole[k].total_sasa - parts[k].total_sasa) < 1e-9 and abs(whole[k].sidechain_sasa - parts[k].sidechain_sasa) < 1e-9 for k in whole)
+    blocks = sasa.with_blocks(atoms, large=100, edge=30.0)
+    assert blocks.where("own").count() == len(rows) and blocks.where("structure_id = 's'").groupBy("block").count().agg(F.max("count")).first()[0] < 120
+
+
 def test_streaming_ingest_resumes(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for name in ("a", "b"):
