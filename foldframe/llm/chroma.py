@@ -18,7 +18,7 @@ execution splits.
 
 Cases: a null value, or a recording shorter than one frame, has no fingerprint, no match, and a class of its own; so has
 a value that cannot be decoded, with the ``reason``; silence has a constant fingerprint, and matches only within its class; repeated rows fall
-into one class; of offsets with equal errors the least, then the smaller, is reported; rows without an id are left out; an empty
+into one class; of recordings that share an id and are not equal, one stands for the id; of offsets with equal errors the least, then the smaller, is reported; rows without an id are left out; an empty
 table gives an empty result; other columns are ignored.
 """
 

@@ -22,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names; a null text is empty.
 
-    Other columns of ``docs``, whatever their names, never reach the operator.
+    Ids are integers, or texts of integers; any other id ends the job.  Other columns of ``docs``, whatever their names,
+    never reach the operator.  The session then sends texts to Python in smaller batches (``small_batches``).
     """
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
