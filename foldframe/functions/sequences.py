@@ -69,6 +69,24 @@ def numeric(c: Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+#: Residue numbers of four columns: decimal, then base 36 from A000, then base 36 from a000 (hybrid-36).
+_A000, _UPPER, _LOWER, _END = 10 * 36**3, 10_000, 10_000 + 26 * 36**3, 10_000 + 52 * 36**3
+
+
+def residue_field(number: Column) -> Column:
+    """A residue number in the four columns that structure files have for it; one beyond hybrid-36 is an error."""
+    coded = lambda first: F.conv((number - first + _A000).cast("string"), 10, 36)
+    too_large = F.raise_error(F.concat(F.lit("no four columns hold residue number "), number.cast("string")))
+    return F.when(number < _UPPER, number.cast("string")).when(number < _LOWER, coded(_UPPER)).when(number < _END, F.lower(coded(_LOWER))).when(number.isNotNull(), too_large)
+
+
+def residue_number(field: Column) -> Column:
+    """The number that ``residue_field`` wrote, null for anything else."""
+    coded = lambda first: F.conv(field, 36, 10).cast("int") - _A000 + first
+    plain = F.when(field.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(field)).try_cast("int")
+    return F.when(field.rlike("^[A-Z][0-9A-Z]{3}$"), coded(_UPPER)).when(field.rlike("^[a-z][0-9a-z]{3}$"), coded(_LOWER)).otherwise(plain)
+
+
 def quick_ratio(a: Column, b: Column) -> Column:
     """Twice the size of the common character multiset over both lengths (1 for two empty texts)."""
     times = lambda s, c: F.length(s) - F.length(F.replace(s, c, F.lit("")))

@@ -6,21 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import BACKBONE, THREE_TO_ONE, chi_atoms, in_set, one_letter
-from ..functions.sequences import dihedral
+from ..functions.sequences import dihedral, residue_number
 
-FLOAT, WHOLE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$", r"^\s*[+-]?\d+\s*$"
+FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 REACH = 8.0  # no threshold is larger
 
 
-def _number(text: Column, pattern: str, kind: str) -> Column:
-    return F.when(text.rlike(pattern), F.trim(text)).try_cast(kind)
+def _number(text: Column) -> Column:
+    return F.when(text.rlike(FLOAT), F.trim(text)).try_cast("double")
 
 
 def parse_atoms(lines: DataFrame) -> DataFrame:
     """Atoms of structures given as (structure_id, line_no, line).
 
     One row per (structure, residue, atom name): of repeated names the last line's values at the first line's place;
-    a residue's name is that of its first line.  Lines with a number that cannot be read are left out.
+    a residue's name is that of its first line.  Residue numbers from 10,000 on are hybrid-36 (A000 to zzzz).  Lines
+    with a number that cannot be read are left out.
     """
     at = lambda start, size: F.substring("line", start, size)
     resname = F.upper(F.trim(at(18, 3)))
@@ -28,8 +29,8 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     name = F.trim(at(13, 4))
     rows = rows.select(
         "structure_id", "line_no", name.alias("name"), resname.alias("resname"), F.coalesce(F.nullif(F.trim(at(22, 1)), F.lit("")), F.lit("A")).alias("chain"),
-        _number(at(23, 4), WHOLE, "int").alias("resseq"), F.trim(at(27, 1)).alias("icode"),
-        *(_number(at(s, n), FLOAT, "double").alias(c) for c, s, n in (("x", 31, 8), ("y", 39, 8), ("z", 47, 8), ("bfactor", 61, 6))),
+        residue_number(at(23, 4)).alias("resseq"), F.trim(at(27, 1)).alias("icode"),
+        *(_number(at(s, n)).alias(c) for c, s, n in (("x", 31, 8), ("y", 39, 8), ("z", 47, 8), ("bfactor", 61, 6))),
         F.upper(F.coalesce(F.nullif(F.trim(at(77, 2)), F.lit("")), F.substring(name, 1, 1))).alias("element"), (F.substring("line", 1, 6) == "HETATM").alias("hetero"),
     ).dropna(subset=["resseq", "x", "y", "z", "bfactor"])
     residue = ["structure_id", "chain", "resseq", "icode"]

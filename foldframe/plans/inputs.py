@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequences import residue_field
+
 RESIDUES = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL".split()
 ATOMS = "N CA C O CB SG CG".split()
 
@@ -52,7 +54,7 @@ def vector_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     residue = F.floor(F.col("vec_id") / 7)
     resname = F.element_at(F.array(*map(F.lit, RESIDUES)), (residue % 20 + 1).cast("int"))
     xyz = [F.col("embedding")[i].cast("double") * 40 for i in range(3)]
-    line = F.format_string("ATOM  %5d %-4s %3s A%4d    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("vec_id") % 100000, name, resname, residue % 10000, *xyz, F.lit(1.0), F.lit(50.0), F.substring(name, 1, 1))
+    line = F.format_string("ATOM  %5d %-4s %3s A%4s    %8.3f%8.3f%8.3f%6.2f%6.2f          %2s", F.col("vec_id") % 100000, name, resname, residue_field(residue), *xyz, F.lit(1.0), F.lit(50.0), F.substring(name, 1, 1))
     return v.select(F.concat(F.lit("s"), F.col("label").cast("string")).alias("structure_id"), F.col("vec_id").alias("line_no"), line.alias("line"))
 
 

@@ -1,10 +1,13 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from foldframe import cli
+from foldframe.functions import sequences
 from foldframe.operators import features as X
 from foldframe.operators import sasa, structure
+from foldframe.plans import queries
 from foldframe.schemas import AUGMENT_QC_COLUMNS, EXTRACT_QC_COLUMNS, FEATURE_COLUMNS, KEY_COLUMNS
 from foldframe.sources import readers, writers
 from foldframe.streaming.ingest import ingest_structures
@@ -41,6 +44,40 @@ def test_parse_rules(spark):
     assert (seq.pdb_sequence, seq.pdb_length) == ("MG", 2)
 
 
+@pytest.fixture
+def many_vectors(spark, tmp_path):
+    """A folder with vectors whose residue numbers need more than four digits, in three groups of ids."""
+    r = np.random.default_rng(11)
+    ids = [*range(0, 60), *range(69_960, 70_060), *range(8_561_360, 8_561_420)]
+    rows = [(i, [float(v) for v in r.normal(0, 0.1, 12)], k % 3) for k, i in enumerate(ids)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path)
+
+
+def sql_rows(name, folder):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    found = con.sql(queries.ORACLE_SQL[name])
+    return found.columns, sorted(found.fetchall(), key=str)
+
+
+@pytest.mark.parametrize("name", ["pdb_parse", "structure_sequences", "centroid_spread"])
+def test_residue_numbers_beyond_four_digits(spark, many_vectors, name):
+    columns, want = sql_rows(name, many_vectors)
+    got = sorted((tuple(row) for row in queries.QUERIES[name](spark, many_vectors).select(*columns).collect()), key=str)
+    assert got == want and len(want) > 2
+
+
+def test_residue_fields(spark):
+    numbers = [-999, -1, 0, 9_999, 10_000, 10_001, 1_223_055, 1_223_056, 2_436_111]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", sequences.residue_field(F.col("n")).alias("field"))
+    got = df.select("n", "field", sequences.residue_number(F.col("field")).alias("back")).collect()
+    assert [r.field for r in got] == ["-999", "-1", "0", "9999", "A000", "A001", "ZZZZ", "a000", "zzzz"] and [r.back for r in got] == numbers
+    assert [r[0] for r in spark.createDataFrame([("A0a0",), ("  x ",), ("",)], "t string").select(sequences.residue_number(F.col("t"))).collect()] == [None] * 3
+    with pytest.raises(Exception, match="2436112"):
+        spark.createDataFrame([(2_436_112,)], "n long").select(sequences.residue_field(F.col("n"))).collect()
+
+
 def test_toy_features(spark):
     table, qc = X.extract_features(proteins(spark, [("toy", "1", "GA", "toy.pdb"), ("gone", "1", "GA", "none.pdb"), ("far", "1", "WWWW", "toy.pdb")]), toy(spark))
     assert table.columns == KEY_COLUMNS + FEATURE_COLUMNS and len(table.columns) == 46 and qc.columns == EXTRACT_QC_COLUMNS
