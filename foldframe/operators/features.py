@@ -12,9 +12,10 @@ from ..functions.sequences import clean_sequence, entity_after_marker, in_tag, r
 from ..schemas import AUGMENT_QC_COLUMNS, EXTRACT_QC_COLUMNS, as_features, only, require_columns
 from ..sources.shared import checkpointed
 from .align import evaluate_alignments
+from .contacts import contact_features
 from .rows import one_per_key
 from .sasa import residue_areas
-from .structure import contact_features, disulfides, geometry_features, parse_atoms, residue_contacts, residues_of, structure_sequences
+from .structure import disulfides, geometry_features, parse_atoms, residues_of, structure_sequences
 
 NO_DSSP = "dssp_failed:ModuleNotFoundError"
 NO_SASA = "sasa_failed:ModuleNotFoundError"
@@ -39,7 +40,7 @@ def atoms_and_residues(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 def residue_features(atoms: DataFrame, residues: DataFrame, sasa: bool = True, dssp: Backend | None = None) -> DataFrame:
     """(structure_id, residue, ...) all features of every residue of every structure."""
     key = ["structure_id", "residue"]
-    df = geometry_features(residues).join(contact_features(residues, residue_contacts(atoms)), key).join(disulfides(atoms), key, "left")
+    df = geometry_features(residues).join(contact_features(residues), key).join(disulfides(atoms), key, "left")
     df = df.withColumn("disulfide_flag", F.coalesce("disulfide_flag", F.lit(0))).withColumn("hydrogen_bond_count", F.lit(0)).withColumn("residue_chemical_class", chemical_class(F.col("aa")))
     if sasa:
         df = df.join(residue_areas(atoms), key, "left").withColumn("sasa_mask", F.col("total_sasa").isNotNull().cast("int"))

@@ -1,11 +1,11 @@
-"""Fixed-width structure text to atoms, residues, contacts and per-residue geometry."""
+"""Fixed-width structure text to atoms, residues, close pairs and per-residue geometry."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.chemistry import BACKBONE, THREE_TO_ONE, chi_atoms, in_set, one_letter
+from ..functions.chemistry import BACKBONE, THREE_TO_ONE, chi_atoms, one_letter
 from ..functions.sequences import dihedral, residue_number
 
 FLOAT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -75,28 +75,6 @@ def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(*(F.col({"i": "j", "j": "i"}.get(c, c)).alias(c) for c in pairs.columns)))
 
 
-def residue_contacts(atoms_with_residue: DataFrame) -> DataFrame:
-    """Close residue pairs of a structure by their heavy atoms, over all chains."""
-    return close_pairs(atoms_with_residue.where("element <> 'H'"), ["structure_id"], "residue")
-
-
-def contact_features(residues: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Contact, packing and interaction counts; residues without neighbours count 0."""
-    me = residues.select("structure_id", F.col("residue").alias("i"), F.col("aa").alias("aa_i"))
-    other = residues.select("structure_id", F.col("residue").alias("j"), F.col("aa").alias("aa_j"), F.size("atoms").alias("n_atoms"))
-    met = both_ways(pairs).join(other, ["structure_id", "j"]).join(me, ["structure_id", "i"])
-    a, b = F.col("aa_i"), F.col("aa_j")
-    salt = (in_set(a, "positive") & in_set(b, "negative")) | (in_set(a, "negative") & in_set(b, "positive"))
-    pi = (in_set(a, "positive") & in_set(b, "aromatic")) | (in_set(a, "aromatic") & in_set(b, "positive"))
-    counts = [F.count_if(F.col("dist") <= r).alias(f"contact_count_{r}a") for r in (4, 6, 8)]
-    counts.append(F.sum("n_atoms").alias("packing_density_8a"))
-    counts += [F.count_if(in_set(b, s)).alias(f"{s}_contact_count") for s in ("hydrophobic", "polar", "charged", "aromatic")]
-    counts += [F.count_if(salt).alias("salt_bridge_count"), F.count_if(pi).alias("cation_pi_count")]
-    summed = met.groupBy("structure_id", F.col("i").alias("residue")).agg(*counts)
-    names = [c for c in summed.columns if c not in ("structure_id", "residue")]
-    return residues.select("structure_id", "residue").join(summed, ["structure_id", "residue"], "left").fillna(0, names)
-
-
 def disulfides(atoms_with_residue: DataFrame, reach: float = 2.3) -> DataFrame:
     """(structure_id, residue) of cysteines whose SG is within ``reach`` of another's."""
     sg = atoms_with_residue.where("aa = 'C' and name = 'SG'")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chemistry, sequences
-from ..operators import align, clustering, dataset, embeddings, features, matching, rows, sasa, secondary, structure, training
+from ..operators import align, clustering, contacts, dataset, embeddings, features, matching, rows, sasa, secondary, structure, training
 from ..schemas import MATCH_COLUMNS
 from ..sources.readers import resolve_structure_paths
 from ..sources.shared import checkpointed
@@ -296,8 +296,8 @@ def structure_sequences(spark, sf_dir):
 
 
 def _contact_counts(spark, sf_dir):
-    atoms, residues = features.atoms_and_residues(vector_lines(spark, sf_dir))
-    found = structure.contact_features(residues, structure.residue_contacts(atoms))
+    _, residues = features.atoms_and_residues(vector_lines(spark, sf_dir))
+    found = contacts.contact_features(residues)
     return found.join(residues.select("structure_id", "residue", "resseq"), ["structure_id", "residue"])
 
 

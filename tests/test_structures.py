@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from foldframe import cli
 from foldframe.functions import sequences
 from foldframe.operators import features as X
-from foldframe.operators import sasa, structure
+from foldframe.operators import contacts, sasa, structure
 from foldframe.plans import queries
 from foldframe.schemas import AUGMENT_QC_COLUMNS, EXTRACT_QC_COLUMNS, FEATURE_COLUMNS, KEY_COLUMNS
 from foldframe.sources import readers, writers
@@ -117,6 +117,44 @@ def test_grid_join_equals_brute_force(spark, partitions):
         assert got == pytest.approx(want)
 
 
+def test_contacts_by_blocks_equal_brute_force(spark, partitions):
+    r = np.random.default_rng(4)
+    letters = "AVRKHDEFYSTGCNQW"
+    rows, size = [], {}
+    for i in range(150):
+        atoms = [(k, f"C{k}", *(float(v) for v in r.normal(0, 9, 3).round(3)), 1.0, "H" if k == 3 else "C", False, True) for k in range(i % 5)]
+        rows.append(("s", i, letters[i % len(letters)], atoms))
+        size[i] = len(atoms)
+    rows.append(("t", 0, "A", [(0, "CA", 0.0, 0.0, 0.0, 1.0, "C", False, True)]))
+    df = spark.createDataFrame(rows, "structure_id string, residue int, aa string, atoms array<struct<first_line:int,name:string,x:double,y:double,z:double,bfactor:double,element:string,hetero:boolean,side:boolean>>")
+    positive, negative, aromatic = "KRH", "DE", "FYWH"
+    want = {("t", 0): [0] * 10}
+    for _, i, a, mine in rows[:150]:
+        near = []
+        for _, j, b, other in rows[:150]:
+            apart = [np.sqrt((p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2 + (p[4] - q[4]) ** 2) for p in mine for q in other if "H" not in (p[6], q[6])]
+            if i != j and apart and min(apart) <= 8:
+                near.append((min(apart), b, size[j]))
+        salt = sum((a in positive and b in negative) or (a in negative and b in positive) for _, b, _ in near)
+        pi = sum((a in positive and b in aromatic) or (a in aromatic and b in positive) for _, b, _ in near)
+        want["s", i] = [sum(d <= v for d, _, _ in near) for v in (4, 6, 8)] + [sum(n for _, _, n in near)] + [sum(b in kind for _, b, _ in near) for kind in ("AVILMFYW", "STNQC", "DEKRH", "FYWH")] + [salt, pi]
+    for block, span in ((7, 3), (1000, 4)):
+        for got in partitions(lambda: {(x.structure_id, x.residue): list(x)[2:] for x in contacts.contact_features(df, block, span).collect()}):  # noqa: B023
+            assert got == want
+
+
+def test_contact_limits_are_those_of_the_rounded_root():
+    for reach in (4.0, 6.0, 8.0):
+        limit = contacts.square_limit(reach)
+        assert np.sqrt(limit) <= reach < np.sqrt(np.nextafter(limit, np.inf))
+
+
+@pytest.mark.parametrize("name", ["packing_density", "contacts_threshold", "interaction_counts"])
+def test_contact_queries_beyond_four_digits(spark, many_vectors, name):
+    columns, want = sql_rows(name, many_vectors)
+    assert sorted((tuple(row) for row in queries.QUERIES[name](spark, many_vectors).select(*columns).collect()), key=str) == want
+
+
 def test_disulfide_and_torsions(spark):
     rows = [atom(1, "CYS", 1, "N", 0, 0, 0, 1), atom(2, "CYS", 1, "CA", 1, 0, 0, 1), atom(3, "CYS", 1, "CB", 1, 1, 0, 1), atom(4, "CYS", 1, "SG", 1, 1, 1, 1), atom(5, "CYS", 9, "SG", 1, 1, 3, 1, chain="B"), atom(6, "LYS", 12, "NZ", 1, 4, 3, 1, chain="B"), atom(7, "ASP", 13, "OD1", 1, 5, 3, 1, chain="B")]
     atoms, residues = X.atoms_and_residues(lines(spark, rows))
