@@ -15,6 +15,8 @@ OTHER_RADIUS, PROBE = 2.0, 1.4
 
 #: Atoms beyond which a structure is cut, and the edge of its cubes in angstrom (some 11,000 atoms of a protein).
 LARGE, EDGE = 20_000, 48.0
+#: Mean atoms of a cell above which a finer grid is laid, and neighbours that the dots of an atom meet at once.
+CROWD, CHUNK = 4, 32
 
 
 def sphere_points(n: int) -> np.ndarray:
@@ -26,27 +28,54 @@ def sphere_points(n: int) -> np.ndarray:
     return np.stack([r * np.cos(turn), r * np.sin(turn), z], 1)
 
 
-def atom_areas(xyz: np.ndarray, elements: list[str], points: int = 100) -> np.ndarray:
-    """Accessible area of each atom; neighbours come from a grid of cells, so no matrix of all pairs."""
+class Cells:
+    """Atoms by cubes of an edge; the atoms of a cube and of the 26 around it are found once."""
+
+    def __init__(self, xyz: np.ndarray, edge: float):
+        self.cell = np.floor(xyz / edge).astype(int)
+        order = np.lexsort(self.cell.T)
+        starts = np.flatnonzero(np.r_[True, (np.diff(self.cell[order], axis=0) != 0).any(1)])
+        self.where = dict(zip(map(tuple, self.cell[order[starts]].tolist()), np.split(order, starts[1:]), strict=True))
+        self.around: dict[tuple, np.ndarray] = {}
+
+    def near(self, i: int) -> np.ndarray:
+        a, b, c = at = tuple(self.cell[i].tolist())
+        if at not in self.around:
+            self.around[at] = np.concatenate([self.where[k] for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for z in (c - 1, c, c + 1) if (k := (x, y, z)) in self.where])
+        return self.around[at]
+
+
+def atom_areas(xyz: np.ndarray, elements: list[str], points: int = 100, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Accessible area of each atom (of those ``wanted``, others have 0).
+
+    Neighbours come from grids of cells, finest first: a dot that one neighbour covers is not looked at again, so an atom
+    that is shut in by the next few ends there, and only what is left free meets all that can touch it.
+    """
     radius = np.array([RADII.get(e, OTHER_RADIUS) for e in elements]) + PROBE
+    out = np.zeros(len(xyz))
     if not len(xyz):
-        return np.zeros(0)
+        return out
     edge, sphere = 2 * radius.max(), sphere_points(points)
-    cell = np.floor(xyz / edge).astype(int)
-    where: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, cell)):
-        where.setdefault(c, []).append(i)
-    out = np.zeros(len(xyz))
-    around: dict[tuple, np.ndarray] = {}  # the atoms of a cell and the cells next to it
-    for i, (a, b, c) in enumerate(map(tuple, cell)):
-        if (a, b, c) not in around:
-            around[a, b, c] = np.array([j for x in (a - 1, a, a + 1) for y in (b - 1, b, b + 1) for z in (c - 1, c, c + 1) for j in where.get((x, y, z), ())], int)
-        near = around[a, b, c]
-        near = near[near != i]
-        near = near[((xyz[near] - xyz[i]) ** 2).sum(1) < (radius[near] + radius[i]) ** 2]
+    grids = [Cells(xyz, edge)]
+    while len(xyz) > CROWD * len(grids[-1].where) and edge > 0.1:
+        edge /= 2
+        grids.append(Cells(xyz, edge))
+    for i in range(len(xyz)) if wanted is None else np.flatnonzero(wanted).tolist():
         dots = xyz[i] + radius[i] * sphere
-        free = (((dots[:, None] - xyz[near]) ** 2).sum(2) > radius[near] ** 2).all(1)
-        out[i] = free.mean() * 4 * np.pi * radius[i] ** 2
+        for grid in reversed(grids):
+            near = grid.near(i)
+            near = near[near != i]
+            apart = ((xyz[near] - xyz[i]) ** 2).sum(1)
+            touch = apart < (radius[near] + radius[i]) ** 2
+            near = near[touch][np.argsort(apart[touch], kind="stable")]
+            for k in range(0, len(near), CHUNK):
+                part = near[k : k + CHUNK]
+                dots = dots[(((dots[:, None] - xyz[part]) ** 2).sum(2) > radius[part] ** 2).all(1)]
+                if not len(dots):
+                    break
+            if not len(dots):
+                break
+        out[i] = len(dots) / points * 4 * np.pi * radius[i] ** 2
     return out
 
 
@@ -74,11 +103,13 @@ def residue_areas(atoms_with_residue: DataFrame, points: int = 100, large: int =
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["residue", "name"])
-        area = atom_areas(group[["x", "y", "z"]].to_numpy(float), group.element.tolist(), points)
+        area = atom_areas(group[["x", "y", "z"]].to_numpy(float), group.element.tolist(), points, group.own.to_numpy(bool))
         return group[["structure_id", "residue", "aa", "name", "element", "hetero"]].assign(area=area)[group.own.to_numpy(bool)]
 
     atoms = with_blocks(atoms_with_residue.select("structure_id", "residue", "aa", "name", "element", "hetero", "x", "y", "z"), large)
-    rows = atoms.groupBy("structure_id", "block").applyInPandas(one, "structure_id string, residue int, aa string, name string, element string, hetero boolean, area double")
+    # Work is not in proportion to bytes, so blocks are dealt over all partitions, which adaptive execution would join.
+    width = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = atoms.repartition(width, "structure_id", "block").groupBy("structure_id", "block").applyInPandas(one, "structure_id string, residue int, aa string, name string, element string, hetero boolean, area double")
     heavy = rows.where("element <> 'H' and not hetero")
     summed = heavy.groupBy("structure_id", "residue", "aa").agg(F.sum("area").alias("total_sasa"), F.coalesce(F.sum(F.when(~F.col("name").isin(*BACKBONE), F.col("area"))), F.lit(0.0)).alias("sidechain_sasa"))
     share = F.col("total_sasa") / max_asa(F.col("aa"))

@@ -172,6 +172,33 @@ def test_areas():
     assert len(sasa.atom_areas(np.zeros((0, 3)), [])) == 0
 
 
+def test_areas_of_crowded_atoms_equal_brute_force():
+    r = np.random.default_rng(8)
+    xyz, elements = r.normal(0, 2.5, (700, 3)).round(3), r.choice(["C", "N", "O", "S", "ZN"], 700).tolist()
+    radius = np.array([sasa.RADII.get(e, sasa.OTHER_RADIUS) for e in elements]) + sasa.PROBE
+    want = np.zeros(700)
+    for i in range(700):
+        near = np.flatnonzero((np.arange(700) != i) & (((xyz - xyz[i]) ** 2).sum(1) < (radius + radius[i]) ** 2))
+        dots = xyz[i] + radius[i] * sasa.sphere_points(60)
+        want[i] = (((dots[:, None] - xyz[near]) ** 2).sum(2) > radius[near] ** 2).all(1).mean() * 4 * np.pi * radius[i] ** 2
+    assert np.array_equal(sasa.atom_areas(xyz, elements, 60), want) and (want > 0).any() and (want == 0).any()
+    some = np.arange(700) % 3 == 0
+    assert np.array_equal(sasa.atom_areas(xyz, elements, 60, some), np.where(some, want, 0))
+
+
+def test_areas_of_crowded_atoms_look_at_few_neighbours(monkeypatch):
+    """Four times the atoms in the same space: the distances looked at grow like the atoms, not like their square."""
+    r, seen = np.random.default_rng(9), []
+    near = sasa.Cells.near
+    monkeypatch.setattr(sasa.Cells, "near", lambda self, i: (found := near(self, i), seen.append(len(found)))[0])
+    sums = []
+    for n in (2_000, 8_000):
+        seen.clear()
+        sasa.atom_areas(r.normal(0, 3, (n, 3)), ["C"] * n)
+        sums.append(sum(seen))
+    assert sums[1] < 8 * sums[0]
+
+
 def test_paths(spark):
     m = spark.createDataFrame([("p", None, None), ("q", "/x/q.pdb", "a.pdb"), ("r", None, "sub/b.pdb"), ("t", None, "sub/c.pdb")], "protein_id string, pdb_path string, pdb_filename string")
     got = lambda df: {r.protein_id: r.pdb_path for r in df.collect()}
