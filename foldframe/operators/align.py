@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import in_tag, render_tags
+from ..functions.sequences import c_tag_length, n_tag_length, render_tags
 
 ALIGNMENT = "aligned_a string, aligned_b string, score int, pairs array<struct<a:int,b:int>>"
 
@@ -104,10 +104,19 @@ def with_alignment_qc(aligned: DataFrame, label: str, target: str, min_coverage:
     Pairs in a terminal tag of the target count as matched only; the coverage is over the whole label; any
     mismatch fails.
     """
-    lab, tgt, pairs = F.upper(label), F.upper(target), F.col("alignment.pairs")
-    outside = F.filter(pairs, lambda p: ~in_tag(F.col(target), p["b"], least_tag))
-    equal = F.filter(outside, lambda p: F.substring(lab, p["a"] + 1, F.lit(1)) == F.substring(tgt, p["b"] + 1, F.lit(1)))
-    df = aligned.withColumn("matched_label_positions", F.size(pairs)).withColumn("reliable_label_positions", F.size(equal)).withColumn("_outside", F.size(outside))
+    # Tags and letters are bound to ``s`` once a row; inside the filters they would be made anew for each pair.
+    bound = F.struct(
+        n_tag_length(F.col(target), least_tag).alias("first"), (F.length(target) - c_tag_length(F.col(target), least_tag)).alias("end"), F.col("alignment.pairs").alias("pairs"),
+        F.split(F.upper(label), "").alias("a"), F.split(F.upper(target), "").alias("b"),
+    )
+
+    def counted(s: Column) -> Column:
+        outside = F.filter(s["pairs"], lambda p: (p["b"] >= s["first"]) & (p["b"] < s["end"]))
+        equal = F.filter(s["pairs"], lambda p: (p["b"] >= s["first"]) & (p["b"] < s["end"]) & (F.get(s["a"], p["a"]) == F.get(s["b"], p["b"])))
+        return F.struct(F.size(s["pairs"]).alias("matched"), F.size(outside).alias("outside"), F.size(equal).alias("reliable"))
+
+    df = aligned.withColumn("_n", F.transform(F.array(bound), counted)[0])
+    df = df.withColumn("matched_label_positions", F.col("_n.matched")).withColumn("reliable_label_positions", F.col("_n.reliable")).withColumn("_outside", F.col("_n.outside")).drop("_n")
     df = df.withColumn("mismatches", F.col("_outside") - F.col("reliable_label_positions")).withColumn("label_length", F.length(label)).withColumn("target_length", F.length(target))
     df = df.withColumn("label_coverage", F.when(F.col("label_length") > 0, F.col("reliable_label_positions") / F.col("label_length")).otherwise(0.0))
     df = df.withColumn("identity", F.when(F.col("_outside") > 0, F.col("reliable_label_positions") / F.col("_outside")).otherwise(0.0)).drop("_outside")

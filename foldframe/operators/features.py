@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chemistry import chemical_class
-from ..functions.sequences import clean_sequence, entity_after_marker, in_tag, render_tags
+from ..functions.sequences import c_tag_length, clean_sequence, entity_after_marker, n_tag_length, render_tags
 from ..schemas import AUGMENT_QC_COLUMNS, EXTRACT_QC_COLUMNS, as_features, only, require_columns
 from ..sources.shared import checkpointed
 from .align import evaluate_alignments
@@ -63,7 +63,7 @@ def extract_features(manifest: DataFrame, lines: DataFrame, sasa: bool = True, d
     known = (lines if files is None else files).select(F.col("structure_id").alias("pdb_path")).distinct()
     sequences = structure_sequences(residues).withColumnRenamed("structure_id", "pdb_path")
     found = proteins.join(known, "pdb_path").join(sequences, "pdb_path", "left").fillna({"pdb_sequence": "", "pdb_length": 0})
-    aligned = checkpointed(evaluate_alignments(found, "sequence", "pdb_sequence", min_coverage, min_identity))  # for both tables
+    aligned = checkpointed(evaluate_alignments(found, "sequence", "pdb_sequence", min_coverage, min_identity).withColumn("_row", F.monotonically_increasing_id()))  # for both tables
     passed = F.col("status") == "pass"
     qc = aligned.select(
         "protein_id", "pdb_path", F.length("sequence").alias("manifest_length"), "pdb_length", F.col("status").alias("alignment_status"), F.col("reason").alias("alignment_reason"), "identity",
@@ -71,9 +71,12 @@ def extract_features(manifest: DataFrame, lines: DataFrame, sasa: bool = True, d
     )
     missing = proteins.join(known, "pdb_path", "left_anti").select("protein_id", "pdb_path", F.lit("fail").alias("alignment_status"), F.lit("pdb_not_found").alias("alignment_reason"))
     letters = F.filter(F.split("sequence", ""), lambda c: c != "")
-    rows = aligned.withColumn("_map", F.when(passed, F.map_from_entries("alignment.pairs"))).select("protein_id", "entity_id", "pdb_path", "sequence", "_map", F.posexplode(letters).alias("_i", "amino_acid"))
-    place = F.when(~in_tag(F.col("sequence"), F.col("_i")), F.element_at("_map", F.col("_i")))
-    rows = rows.withColumn("_residue", place).drop("_map", "sequence")
+    rows = aligned.select("_row", "protein_id", "entity_id", "pdb_path", F.posexplode(letters).alias("_i", "amino_acid"))
+    # Letters meet their residues by a join: a map in each letter's row would make rows of the square of a sequence.
+    tags = F.struct(n_tag_length(F.col("sequence")).alias("first"), (F.length("sequence") - c_tag_length(F.col("sequence"))).alias("end"), F.col("alignment.pairs").alias("pairs"))
+    placed = F.transform(F.array(tags), lambda s: F.filter(s["pairs"], lambda p: (p["a"] >= s["first"]) & (p["a"] < s["end"])))[0]
+    places = aligned.where(passed).select("_row", F.explode(placed).alias("_p")).select("_row", F.col("_p.a").alias("_i"), F.col("_p.b").alias("_residue"))
+    rows = rows.join(places, ["_row", "_i"], "left").drop("_row")
     features = residue_features(atoms, residues, sasa, dssp).withColumnsRenamed({"structure_id": "_structure", "residue": "_r", "aa": "_aa"})
     joined = rows.join(features, (F.col("pdb_path") == F.col("_structure")) & (F.col("_residue") == F.col("_r")) & (F.col("amino_acid") == F.col("_aa")), "left")
     table = joined.withColumn("sequence_pos_1based", F.col("_i") + 1).withColumn("feature_valid_mask", F.col("_r").isNotNull().cast("int"))
