@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from ..sources.shared import checkpointed
 
 
-def in_ranges(df: DataFrame, order: list[str | Column]) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[str | Column], place: str | None = None) -> DataFrame:
     """``df`` range-partitioned by ``order`` and written once, with its partition's number in ``_part``.
 
+    ``place`` names a column for a row's 0-based place in the order of its partition, which is sorted for it.
+
     What is computed from it twice (counts and places) sees the same partitions: sampling and adaptive plans could
     deal two exchanges out differently.
     """
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return checkpointed(df.repartitionByRange(width, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = df.repartitionByRange(width, *order)
+    if place is not None:
+        # The id has the partition in its upper bits, and the place of the row in the partition in the lower 33.
+        ranged = ranged.sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    return checkpointed(ranged.withColumn("_part", F.spark_partition_id()))
 
 
 def before_parts(sums: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
@@ -29,14 +35,13 @@ def before_parts(sums: DataFrame, values: list[str], by: list[str] | None = None
 def dense_index(df: DataFrame, order: list, name: str = "row_index") -> DataFrame:
     """0-based index in the order of ``order``, without one task that sees all rows.
 
-    Rows are range-partitioned, written once, and numbered inside their partition; the offsets are the running counts
-    of the partitions, a table of one row each.  Rows that tie are numbered in any order.
+    Rows are range-partitioned, numbered inside their partition, and written, all in one stage; the offsets are the
+    running counts of the partitions, a table of one row each.  Rows that tie are numbered in any order.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = in_ranges(df, cols)
-    numbered = ranged.withColumn("_own", F.row_number().over(Window.partitionBy("_part").orderBy(*cols)) - 1)
+    ranged = in_ranges(df, cols, "_own")
     before = before_parts(ranged.groupBy("_part").agg(F.count("*").alias("n")), ["n"])
-    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col("_before_n") + F.col("_own")).select(*df.columns, name)
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before_n") + F.col("_own")).select(*df.columns, name)
 
 
 def select_rows(df: DataFrame, index: str, limit: int | None = None, start: int | None = None, count: int | None = None, shard_index: int | None = None, num_shards: int | None = None) -> DataFrame:

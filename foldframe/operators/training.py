@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import CHI_COLUMNS, require_rows
-from ..sources.shared import checkpointed, scratch
+from ..sources.shared import scratch
 from .dataset import fit_normalizer
 from .rows import dense_index, masked, members
 
@@ -148,7 +148,7 @@ def fit_perceptron(data: DataFrame, seed: int = 13, epochs: int = 5, batch: int
         keyed = data.select("x", "y", F.xxhash64("x", "y").alias("_h"), F.monotonically_increasing_id().alias("_t"))
         numbered = dense_index(keyed, ["_h", "_t"], "_i")
         shards = max(1, -(-numbered.count() // shard_rows))
-        ready = checkpointed(numbered.select("x", "y", "_i", (F.col("_i") % shards).cast("int").alias("_shard")))
+        ready = numbered.select("x", "y", "_i", (F.col("_i") % shards).cast("int").alias("_shard"))  # the rows are written already
         model, history = Perceptron(len(ready.first().x), seed), []
         for epoch in range(epochs):
             copies = ready.groupBy("_shard").applyInArrow(_shard_trainer(pickle.dumps(model), seed, epoch, batch, rate), "team int, shard int, model binary, loss double, batches long, n long")

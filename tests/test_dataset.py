@@ -144,6 +144,15 @@ def test_command_line(spark, tmp_path):
         cli.main(["extract-esm2-embeddings", "--manifest", str(tmp_path / "m.csv"), "--out-dir", str(tmp_path / "none")], spark)
 
 
+def test_dense_index_shuffles_its_rows_once(spark):
+    """Rows are numbered in the stage that sorts them: what is written already has its places, and no window sorts it again."""
+    from foldframe.operators import rows
+
+    indexed = rows.dense_index(spark.range(1_000).select((F.col("id") % 7).alias("k"), "id"), ["k", "id"], "i")
+    assert "_own" not in indexed.columns and "row_number" not in indexed._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in indexed.orderBy("i").select("k", "id").collect()] == sorted((i % 7, i) for i in range(1_000))
+
+
 def test_dense_index_of_many_wide_rows(spark):
     """Every index once, whatever adaptive plans make of the partitions; ties and several order columns included."""
     from foldframe.operators.rows import dense_index
