@@ -21,11 +21,14 @@ def clean_id(c: Column) -> Column:
 
 
 def n_tag_length(seq: Column, least: int = 6) -> Column:
-    return F.length(F.regexp_extract(F.upper(seq), f"^H{{{least},}}", 0))
+    first = F.upper(F.substring(seq, 1, least))
+    return F.when(first != "H" * least, 0).otherwise(F.length(F.regexp_extract(F.upper(seq), f"^H{{{least},}}", 0)))
 
 
 def c_tag_length(seq: Column, least: int = 6) -> Column:
-    return F.length(F.regexp_extract(F.upper(seq), f"H{{{least},}}$", 0))
+    # A tag stands in the last letters (a line end of up to two may follow); few texts need the scan of all.
+    last = F.upper(F.substring(seq, -(least + 2), least + 2))
+    return F.when(~F.contains(last, F.lit("H" * least)), 0).otherwise(F.length(F.regexp_extract(F.upper(seq), f"H{{{least},}}$", 0)))
 
 
 def tag_spans(seq: Column, least: int = 6) -> Column:

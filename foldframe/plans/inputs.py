@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def residue_letters(c: Column) -> Column:
     """The letters of a text that name residues, in upper case."""
-    return F.regexp_replace(F.upper(F.regexp_replace(c, "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
+    return F.upper(F.regexp_replace(c, "[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]+", ""))
 
 
 def tagged_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
+from foldframe.functions import sequences
+from foldframe.plans.inputs import residue_letters
 from jobs import evaluate_new, queries, training_set
 
 DATA = "/root/testdata/sf0.001"
@@ -130,3 +133,18 @@ def test_registered_jobs_equal_their_sql(spark, name):
     assert sorted(columns) == sorted(got.columns)
     plain = lambda rows: sorted(repr([0.0 if v == 0 else v for v in r]) for r in rows)  # noqa: E731  (no minus zero)
     assert plain(got.select(*columns).collect()) == plain(want.fetchall())
+
+
+def test_tags_are_found_without_a_scan_of_every_text(spark):
+    """The lengths of both tags are those of the plain patterns, which only texts that may hold a tag still meet."""
+    texts = ["", "H", "HHHHH", "HHHHHH", "hhhhhhA", "AHHHHHHH", "AHHHHHH\n", "AHHHHHHH\r\n", "AHHHHHHA", "HHHHHHAHHHHHHH", "AHHHHHHAA", None]
+    seq = F.col("t")
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    plain = [F.length(F.regexp_extract(F.upper(seq), p, 0)) for p in ("^H{6,}", "H{6,}$")]
+    rows = df.select(sequences.n_tag_length(seq), sequences.c_tag_length(seq), *plain).collect()
+    assert all(tuple(r)[:2] == tuple(r)[2:] for r in rows) and rows[6][1] == 6
+    letters = ["", "Ab-C\u017fs\u212ak\u0131z\n", "  XxBbZz jJ ", "\u00e4MkT", None]
+    old = F.regexp_replace(F.upper(F.regexp_replace(seq, "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
+    assert all(a == b for a, b in spark.createDataFrame([(t,) for t in letters], "t string").select(residue_letters(seq), old).collect())
+    plan = df.select(sequences.c_tag_length(seq))._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "case when" in plan or "if (" in plan
